@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stationlens.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), max_tokens=1024, end_id=2)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stationlens.llm.token_count import count_tokens
 
@@ -22,6 +28,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op9_token_counts": op9_token_counts,
 }
 
