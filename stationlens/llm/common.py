@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationlens.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
@@ -28,6 +30,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession) -> None:
+        ship(spark)
         self.spark, self.paths = spark, {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +56,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

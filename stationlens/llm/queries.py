@@ -21,6 +21,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), max_tokens=1024, end_id=2)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stationlens.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stationlens.llm.token_count import count_tokens
 
@@ -29,6 +35,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
 }
 
