@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stationlens.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stationlens.llm.packing import pack
 
@@ -27,6 +33,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stationlens.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stationlens.llm.token_count import count_tokens
 
@@ -34,8 +46,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_imatch_fingerprints": op6_imatch_fingerprints,
     "op9_token_counts": op9_token_counts,
 }
 

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stationlens.session import ship
+
 #: Distinct chunks whose counts a worker keeps; beyond it the table starts anew, so memory stays bounded.
 CACHE_ENTRIES = 600_000
 #: Longer chunks are counted without being kept.
@@ -137,6 +139,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     are ignored. One narrow pass: no shuffle, and memory bounded by a record batch and the chunk cache.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer).count
         for batch in batches:
