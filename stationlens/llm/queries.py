@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stationlens.llm.common import table
 
@@ -39,6 +40,21 @@ def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the URL query: (verdict, host and path).
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose id is the number in its path; it is bad if that document is of low quality."""
+    from stationlens.llm.url_filter import judge_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = pages.select("page_id", F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*/[^/?#]*/([0-9]+)', 1) as bigint)").alias("doc_id"))
+    known = table(spark, sf_dir, "labels").filter("quality IN (0, 1)").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("bad"))
+    labels = shown.join(known, "doc_id").groupBy("page_id").agg(F.max("bad").alias("bad"))
+    return judge_urls(pages, labels, URL_RULES)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stationlens.llm.token_count import count_tokens
 
@@ -50,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_imatch_fingerprints": op6_imatch_fingerprints,
+    "op8_url_templates": op8_url_templates,
     "op9_token_counts": op9_token_counts,
 }
 
