@@ -8,7 +8,7 @@ both: a tile is the set of documents that agree on one part. Tiles lose no link
 Equal sets count once. Each tile first links its members to its smallest one (no pairs among the rest); members that
 are in one class by then need no comparison. What is left is compared block by block: hashed bitmaps, as wide as the
 band's sets need, bound the overlap from above by bit counts, and only pairs that pass meet in an exact
-intersection of sorted arrays. A block returns a spanning forest of its links, never all pairs.
+intersection of sorted arrays. Tiles with the same members are compared once.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -192,7 +191,7 @@ def _arrays(size: int):
                 batch = whole.slice(at, 256)
                 sets = [shingles(t.as_py(), size) for t in batch.column(1)]
                 bits = [bitmap([x], bitmap_width(len(x))).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "members", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "members", "bits"])
 
     return run
 
@@ -204,50 +203,66 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _verify(bands: Bands):
-    """Rows (a, b, a_members, a_bits, b_members, b_bits) -> linked (a, b)."""
+def _bounded(bands: Bands):
+    """Rows (a, b, a_n, a_bits, b_n, b_bits) -> the (a, b) whose bit counts allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)
             found = []
-            a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(batch.num_rows):
-                x, y = (batch.column(c)[i].values.to_numpy().view(np.uint64) for c in (2, 4))
-                p, q = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (3, 5))
+            for a, b, n, p, m, q in rows:
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 words = min(len(p), len(q))
                 p, q = _fold(p, words), _fold(q, words)
                 both = int(np.bitwise_count(p & q).sum())
-                bound = min(len(x) - int(np.bitwise_count(p).sum()), len(y) - int(np.bitwise_count(q).sum())) + both
-                if bands.linked(bound, len(x), len(y)) and bands.linked(overlap(x, y), len(x), len(y)):
+                bound = min(n - int(np.bitwise_count(p).sum()), m - int(np.bitwise_count(q).sum())) + both
+                if bands.linked(bound, n, m):
+                    found.append((a, b))
+            yield _pairs(found)
+
+    return run
+
+
+def _exact(bands: Bands):
+    """Rows (a, b, a_members, b_members) -> the linked (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i].values.to_numpy().view(np.uint64) for c in (2, 3))
+                if bands.linked(overlap(x, y), len(x), len(y)):
                     found.append((a_ids[i], b_ids[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield _pairs(found)
 
     return run
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def _block(bands: Bands):
-    """The members of a block -> a spanning forest of the links that join different classes."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        members = [np.asarray(x, np.int64).view(np.uint64) for x in group["members"]]
-        ids, side = group["id"].to_numpy(), group["block"].to_numpy()
-        _, root = np.unique(group["component"].to_numpy(), return_inverse=True)
-        n = np.fromiter(map(len, members), np.int64, len(members))
-        bits = bitmap(members, bitmap_width(int(n.max())))
-        filled = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    """The members of a block -> the pairs in different classes whose bit counts allow a link."""
+
+    def run(group: pa.Table) -> pa.Table:
+        left, right = group["i"][0].as_py(), group["j"][0].as_py()
+        rows = [np.frombuffer(x, np.uint64) for x in group["bits"].to_pylist()]
+        words = min(map(len, rows))
+        bits = np.stack([_fold(x, words) for x in rows])
+        ids, side, n, root = (group[c].to_numpy() for c in ("id", "block", "n", "component"))
+        spare = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
         found = []
         for r in np.flatnonzero(side == left):
             others = np.flatnonzero((root != root[r]) & (side == right) & ((left != right) | (ids > ids[r])))
             if not len(others):
                 continue
             both = np.bitwise_count(bits[r] & bits[others]).sum(axis=1).astype(np.int64)
-            bound = np.minimum(n[r] - filled[r], n[others] - filled[others]) + both
-            for o in others[bands.linked(bound, n[r], n[others])]:
-                if root[o] != root[r] and bands.linked(overlap(members[r], members[o]), n[r], n[o]):
-                    root[root == root[o]] = root[r]
-                    found.append((ids[r], ids[o]))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+            bound = np.minimum(spare[r], spare[others]) + both
+            near = ids[others[bands.linked(bound, n[r], n[others])]]
+            found.extend((ids[r], x) for x in near)
+        return pa.Table.from_batches([_pairs(found)])
 
     return run
 
@@ -276,29 +291,34 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     shared = signs.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).filter("center < last").select("key", "center")
     tiles = scratch.keep(signs.join(shared, "key"), "tiles")
     ids = scratch.keep(tiles.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    arrays = scratch.keep(semi_by_id(texts, ids, "doc_id").mapInArrow(_arrays(size), "doc_id long, members array<long>, bits binary"), "arrays")
+    arrays = scratch.keep(semi_by_id(texts, ids, "doc_id").mapInArrow(_arrays(size), "doc_id long, n long, members array<long>, bits binary"), "arrays")
+
+    def sided(pairs: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(arrays.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+        return pairs.select("a", "b", *(f"{side}_{c}" for side in ("a", "b") for c in columns))
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        return sided(scratch.keep(pairs, name), "members").mapInArrow(_exact(bands), "a long, b long")
 
-    pairs = tiles.filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    left = arrays.select(F.col("doc_id").alias("a"), F.col("members").alias("a_members"), F.col("bits").alias("a_bits"))
-    right = arrays.select(F.col("doc_id").alias("b"), F.col("members").alias("b_members"), F.col("bits").alias("b_bits"))
-    tested = pairs.join(left, "a").join(right, "b").select("a", "b", "a_members", "a_bits", "b_members", "b_bits")
-    stars = tested.mapInArrow(_verify(bands), "a long, b long")
+    partners = tiles.filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    stars = links(sided(partners, "n", "bits").mapInArrow(_bounded(bands), "a long, b long"), "partners")
     # rows of one id but different sets
     least = rows.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).filter("b < most")
     again = rows.join(least, "doc_id").select(F.col("rep").alias("a"), "b")
     first = scratch.keep(components(stars.unionByName(again), scratch, "stars"), "first")
 
-    # members of a tile that are in different classes still: block by block
+    # members of a tile that are in different classes still: block by block, once for each set of members
     marked = tiles.select("key", "id", "n").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     marked = scratch.keep(marked, "marked")
-    opened = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"), F.max("n").alias("widest")).filter("lo < hi")
+    opened = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"), F.max("n").alias("widest"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"))
+    opened = opened.filter("lo < hi").groupBy("many", "x", "y").agg(F.min("key").alias("key"), F.max("widest").alias("widest"))
     fit = F.greatest(F.lit(8), F.least(F.lit(BLOCK_DOCS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("widest"))))
     opened = opened.select("key", F.ceil(F.col("many") / fit).cast("int").alias("blocks"))
-    dealt = marked.join(opened, "key").withColumn("block", F.expr("cast(pmod(xxhash64(id, key), blocks) as int)"))
-    dealt = dealt.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    filled = dealt.join(arrays.select(F.col("doc_id").alias("id"), "members"), "id")
-    more = scratch.keep(filled.groupBy("key", "i", "j").applyInPandas(_block(bands), "a long, b long"), "more")
+    dealt = marked.join(opened, "key").join(arrays.select(F.col("doc_id").alias("id"), "bits"), "id").withColumn("block", F.expr("cast(pmod(xxhash64(id, key), blocks) as int)"))
+    dealt = dealt.select("key", "id", "component", "n", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "id", "component", "n", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    more = scratch.keep(links(dealt.groupBy("key", "i", "j").applyInArrow(_block(bands), "a long, b long").distinct(), "near"), "more")
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     last = scratch.keep(components(joined, scratch, "all"), "last")
     out = scratch.keep(rows.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "out")
