@@ -40,6 +40,12 @@ def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stationlens.llm.pii import replace_entities
+
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: The rules of the URL query: (verdict, host and path).
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_imatch_fingerprints": op6_imatch_fingerprints,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_url_templates": op8_url_templates,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
