@@ -14,7 +14,6 @@ a document, lowest hashes of the id first); scoring is one narrow pass over whol
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -26,14 +25,16 @@ from pyspark.sql import functions as F
 
 from stationlens.session import ship
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
 TRAIN_WINDOWS = 8
 WINDOW, STRIDE = 64, 48
 #: Entries of the vocabularies, at most; rarer ones (documents) are unknown.
 MAX_WORDS, MAX_GRAMS, LEAST_DOCS = 30_000, 30_000, 3
 WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
-EPOCHS, BATCH, RATE, FOLDS = 8, 48, 0.01, 4
+EPOCHS, BATCH, RATE, FOLDS = 6, 48, 0.01, 4
 THRESHOLD = 0.3
+#: Small samples are gone over more often, for so many steps.
+LEAST_STEPS = 150
 #: Of either label, that many unseen documents at least fit the last layer.
 LEAST_HELD = 20
 #: Distinct words a worker keeps projected; longer chunks share their first and last characters' n-grams.
@@ -176,16 +177,17 @@ def gru_start(rng: np.random.Generator, inputs: int) -> dict[str, np.ndarray]:
 # ---------------------------------------------------------------- inputs
 
 
-def _vocabulary(docs: list[set[str]], y: np.ndarray, size: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Entries by how far their document counts are from independence of the label; their counts among clean and toxic."""
-    counts = (Counter(), Counter())
-    for found, label in zip(docs, y, strict=True):
-        counts[label].update(found)
-    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    weigh = lambda x: abs(counts[1][x] / n1 - counts[0][x] / n0)
-    known = [x for x in counts[0].keys() | counts[1].keys() if counts[0][x] + counts[1][x] >= LEAST_DOCS]
-    known = sorted(known, key=lambda x: (-weigh(x), x))[:size]
-    return {x: i + 1 for i, x in enumerate(known)}, np.array([0, *(counts[0][x] for x in known)], float), np.array([0, *(counts[1][x] for x in known)], float)
+def _select(c0: np.ndarray, c1: np.ndarray, n0: int, n1: int, size: int) -> np.ndarray:
+    """Indexes of the entries whose document counts are farthest from independence of the label."""
+    known = np.flatnonzero(c0 + c1 >= LEAST_DOCS)
+    return known[np.argsort(-np.abs(c1[known] / max(1, n1) - c0[known] / max(1, n0)), kind="stable")][:size]
+
+
+def _take(flat: np.ndarray, start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of ``which`` out of lists held one after another: their entries and sizes."""
+    sizes = start[which + 1] - start[which]
+    at = np.repeat(start[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    return flat[at], sizes
 
 
 def _odds(c0: np.ndarray, c1: np.ndarray, n0: int, n1: int) -> np.ndarray:
@@ -218,38 +220,46 @@ def features(P: dict[str, np.ndarray], wid: np.ndarray, flat: np.ndarray, sizes:
 # ---------------------------------------------------------------- training
 
 
-def train(bags: list[list[list[str]]], labels: list[int], share: float, seed: int = 7) -> Model:
-    """A model from documents as lists of windows of normalised words; ``share`` is that of toxic labels overall."""
+def train(names: list[str], bags: list[list[np.ndarray]], labels: list[int], share: float, seed: int = 7) -> Model:
+    """A model from documents as lists of windows of indexes into ``names``; ``share`` is that of toxic labels overall."""
     y = np.array(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Model(prior=float(share))
     rng = np.random.default_rng(seed)
-    seen_words = [{w for win in bag for w in win} for bag in bags]
-    cache: dict[str, list[str]] = {}
-    for found in seen_words:
-        for w in found:
-            if w not in cache:
-                cache[w] = grams(w)
-    seen_grams = [{g for w in found for g in cache[w]} for found in seen_words]
-    words, w0, w1 = _vocabulary(seen_words, y, MAX_WORDS)
-    gram_ids, g0, g1 = _vocabulary(seen_grams, y, MAX_GRAMS)
+    met: dict[str, int] = {}
+    lists = [[met.setdefault(g, len(met)) for g in grams(w)] for w in names]
+    all_flat, sizes = _csr(lists)
+    all_start = np.concatenate([[0], np.cumsum(sizes)])
+    del lists
+    doc_words = [np.unique(np.concatenate(bag)) for bag in bags]
+    doc_grams = lambda i: np.unique(_take(all_flat, all_start, doc_words[i])[0])
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
-    model = Model(words, gram_ids, _odds(w0, w1, n0, n1), _odds(g0, g1, n0, n1))
-    # out-of-fold log-odds for the training documents
+    # document counts by fold and label, so that a fold's own can be left out
     fold = rng.permutation(len(y)) % FOLDS
+    cw, cg = np.zeros((FOLDS, 2, len(names)), np.int32), np.zeros((FOLDS, 2, len(met)), np.int32)
+    docs_in = np.zeros((FOLDS, 2), np.int64)
+    for i in range(len(y)):
+        cw[fold[i], y[i], doc_words[i]] += 1
+        cg[fold[i], y[i], doc_grams(i)] += 1
+        docs_in[fold[i], y[i]] += 1
+    tw, tg = cw.sum(axis=0), cg.sum(axis=0)
+    word_pick, gram_pick = _select(tw[0], tw[1], n0, n1, MAX_WORDS), _select(tg[0], tg[1], n0, n1, MAX_GRAMS)
+    gram_names = list(met)
+    words, gram_ids = {names[j]: k + 1 for k, j in enumerate(word_pick)}, {gram_names[j]: k + 1 for k, j in enumerate(gram_pick)}
+    del met, gram_names
+    pad = lambda x, pick: np.concatenate([np.zeros((*x.shape[:-1], 1), x.dtype), x[..., pick]], axis=-1).astype(float)
+    cw, cg, tw, tg = pad(cw, word_pick), pad(cg, gram_pick), pad(tw, word_pick), pad(tg, gram_pick)
+    model = Model(words, gram_ids, _odds(tw[0], tw[1], n0, n1), _odds(tg[0], tg[1], n0, n1))
     odds = []
     for k in range(FOLDS):
-        own = [0, 0]
-        sub = [np.zeros_like(w0), np.zeros_like(w0)], [np.zeros_like(g0), np.zeros_like(g0)]
-        for i in np.flatnonzero(fold == k):
-            own[y[i]] += 1
-            for which, vocab, found in ((0, words, seen_words[i]), (1, gram_ids, seen_grams[i])):
-                at = [vocab[x] for x in found if x in vocab]
-                sub[which][y[i]][at] += 1
-        odds.append((_odds(w0 - sub[0][0], w1 - sub[0][1], n0 - own[0], n1 - own[1]), _odds(g0 - sub[1][0], g1 - sub[1][1], n0 - own[0], n1 - own[1])))
-    del seen_grams
-    gram_lists = {w: [gram_ids[g] for g in gs if g in gram_ids] for w, gs in cache.items()}
-    del cache
+        m0, m1 = n0 - docs_in[k, 0], n1 - docs_in[k, 1]
+        odds.append((_odds(tw[0] - cw[k, 0], tw[1] - cw[k, 1], m0, m1), _odds(tg[0] - cg[k, 0], tg[1] - cg[k, 1], m0, m1)))
+    word_id, gram_id = np.zeros(len(names), np.int64), np.zeros(int(all_flat.max(initial=0)) + 1, np.int64)
+    word_id[word_pick], gram_id[gram_pick] = np.arange(1, len(word_pick) + 1), np.arange(1, len(gram_pick) + 1)
+    known = gram_id[all_flat] > 0
+    flat_known = gram_id[all_flat][known]
+    start_known = np.concatenate([[0], np.cumsum(known)])[all_start]
+    del all_flat, all_start, known
 
     P = gru_start(rng, WORD_DIM + GRAM_DIM + 3)
     P["Ew"] = rng.normal(0, 0.1, (len(words) + 1, WORD_DIM)).astype(np.float32)
@@ -261,37 +271,37 @@ def train(bags: list[list[list[str]]], labels: list[int], share: float, seed: in
     weight = np.where(y == 1, 0.5 / max(1, n1), 0.5 / max(1, n0)) * len(y) ** 1.0
     step = 0
 
-    def inputs(chosen: np.ndarray, of: list[int]):
-        """Distinct words of the documents' windows, and the windows as indexes into them."""
-        rows: dict[tuple[str, int], int] = {}
-        idx = [[rows.setdefault((w, fold[i]), len(rows)) for w in bags[i][k]] for i, k in of]
-        keys = list(rows)
-        wid = np.fromiter((words.get(w, 0) for w, _ in keys), np.int64, len(keys))
-        of_fold = np.fromiter((f for _, f in keys), np.int64, len(keys))
-        flat, sizes = _csr([gram_lists[w] for w, _ in keys])
+    def inputs(of: list[tuple[int, int]]):
+        """Features of the distinct words (by fold) of some windows, and the windows as indexes into them."""
+        own = [bags[i][k] for i, k in of]
+        lens = np.fromiter(map(len, own), np.int64, len(own))
+        keys, where = np.unique(np.concatenate(own) * FOLDS + np.repeat(fold[[i for i, _ in of]], lens), return_inverse=True)
+        name, of_fold = keys // FOLDS, keys % FOLDS
+        wid = word_id[name]
+        flat, sizes = _take(flat_known, start_known, name)
         feats = np.zeros((len(keys), WORD_DIM + GRAM_DIM + 3), np.float32)
         gram_fold = np.repeat(of_fold, sizes)
         for f in range(FOLDS):
-            if (of_fold == f).any():
-                pick = of_fold == f
+            pick = of_fold == f
+            if pick.any():
                 feats[pick] = features(P, wid[pick], flat[gram_fold == f], sizes[pick], *odds[f])
-        steps = max(1, max(map(len, idx), default=1))
-        at, mask = np.zeros((steps, len(idx)), np.int64), np.zeros((steps, len(idx)), bool)
-        for n, own in enumerate(idx):
-            at[: len(own), n], mask[: len(own), n] = own, True
-        return wid, flat, sizes, feats, at, mask
+        mask = np.arange(max(1, int(lens.max(initial=0))))[:, None] < lens
+        at = np.zeros((len(own), len(mask)), np.int64)
+        at[mask.T] = where
+        return wid, flat, sizes, feats, np.ascontiguousarray(at.T), mask
 
     def score(of: list[tuple[int, int]]) -> np.ndarray:
         out = []
         for a in range(0, len(of), 512):
-            wid, flat, sizes, feats, at, mask = inputs(None, of[a : a + 512])
+            wid, flat, sizes, feats, at, mask = inputs(of[a : a + 512])
             X = (feats @ P["Wx"] + P["bx"])[at]
             out.append(forward(P, X[:, :, : 3 * HIDDEN], X[:, :, 3 * HIDDEN :], mask))
         return np.concatenate(out) if out else np.empty(0, np.float32)
 
-    for _epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, -(-len(order_all) // BATCH))))
+    for epoch in range(epochs):
         order = rng.permutation(order_all)
-        rate = RATE * (1 - _epoch / (EPOCHS + 1))
+        rate = RATE * (1 - epoch / (epochs + 1))
         for a in range(0, len(order), BATCH):
             chosen = order[a : a + BATCH]
             every = [(i, k) for i in chosen for k in range(len(bags[i]))]
@@ -301,7 +311,7 @@ def train(bags: list[list[list[str]]], labels: list[int], share: float, seed: in
                 if i not in best or s > best[i][0]:
                     best[i] = (s, k)
             of = [(i, best[i][1]) for i in chosen]
-            wid, flat, sizes, feats, at, mask = inputs(chosen, of)
+            wid, flat, sizes, feats, at, mask = inputs(of)
             X = (feats @ P["Wx"] + P["bx"])[at]
             kept: dict = {}
             logit = forward(P, X[:, :, : 3 * HIDDEN], X[:, :, 3 * HIDDEN :], mask, kept)
@@ -469,8 +479,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = first(1, SAMPLE_TOXIC).unionByName(first(0, SAMPLE_CLEAN))  # so few rows that they can be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_cut_windows, "doc_id long, bag array<string>, toxic long").toArrow().sort_by([("doc_id", "ascending")])
-    bags = [[w.split(" ") if w else [] for w in bag] for bag in rows["bag"].to_pylist()]
-    return train(bags, rows["toxic"].to_pylist(), share)
+    ids: dict[str, int] = {}
+    bags = [[np.array([ids.setdefault(w, len(ids)) for w in win.as_py().split(" ")], np.int64) for win in bag] for bag in rows["bag"]]
+    return train(list(ids), bags, rows["toxic"].to_pylist(), share)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
