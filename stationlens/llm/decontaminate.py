@@ -205,35 +205,47 @@ def _find(items, threshold: float):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of ``docs`` and item found in it: doc_id, item_id, score, matched, first_word, last_word.
-
-    Null and empty texts hold no item and are none. Repeated rows (of either table) give their rows each; null ids are
-    kept. Other columns are ignored. Without test items there are no rows.
-    """
+def _prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[object]:
+    """Broadcast blocks of test items with their rare seeds marked, from counts over all documents."""
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total, out = None, None
+    texts, total = docs.select(F.col("text").cast("string").alias("text")), None
     for block in _blocks(benchmark):
         items = Items(block)
         if not len(items.seeds):
             continue
         total = texts.count() if total is None else total
         sent = spark.sparkContext.broadcast(items)
-        counts = texts.select("text").mapInArrow(_count_seeds(sent), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # a row a seed of the block
+        counts = texts.mapInArrow(_count_seeds(sent), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # a row a seed of the block
         df = np.zeros(len(items.seeds), np.int64)
         df[counts["seed"].to_numpy()] = counts["n"].to_numpy()
         items.rare = df <= max(3, RARE_SHARE * total)
-        found = texts.mapInArrow(_find(spark.sparkContext.broadcast(items), threshold), FOUND)
+        yield spark.sparkContext.broadcast(items)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each row of ``docs`` and item found in it: doc_id, item_id, score, matched, first_word, last_word.
+
+    Null and empty texts hold no item and are none. Repeated rows (of either table) give their rows each; null ids are
+    kept. Other columns are ignored. Without test items there are no rows.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for items in _prepared(docs, benchmark):
+        found = texts.mapInArrow(_find(items, threshold), FOUND)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], FOUND) if out is None else out
+    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text holds no item of the benchmark, with all their columns; the ids don't matter."""
-    spark = docs.sparkSession
-    keyed = docs.withColumn("_key", F.monotonically_increasing_id())
-    texts = keyed.select(F.col("_key").alias("doc_id"), "text")
-    held = leaks(texts, benchmark, threshold).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(held, "_key", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose text holds no item of the benchmark, with all their columns."""
+    at = docs.columns.index("text")
+    for items in _prepared(docs, benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            finder = Finder(items.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not finder.find(t.as_py(), threshold) for t in batch.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -80,14 +80,10 @@ class Bands:
     """Size bands for a threshold of ``num``/``den``: their bounds, the differences a link allows, their parts."""
 
     def __init__(self, num: int, den: int) -> None:
+        if 3 * num < 2 * den:
+            raise ValueError("bands grow by half: a partner must be in the same band or the next")
         self.num, self.den = num, den
 
-    def lower(self, i: int) -> int:
-        at = 1
-        for _ in range(i):
-            at = max(at + 1, math.ceil(at * 1.5))
-        return at
-
     def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each size's band, and the bounds up to one beyond the last band needed."""
         bounds = [1]
@@ -325,3 +321,16 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     scratch.paths.pop("out")  # the result is read from it
     scratch.drop()
     return out
+
+
+def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, with all columns, of the smallest id of each class; one row where an id is repeated.
+
+    Rows with a null id stay, as they link with nothing.
+    """
+    classes = jaccard_components(docs, size, num, den)
+    gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(F.broadcast(gone) if small_enough(gone, 1_000_000) else gone, "doc_id", "left_anti").select(*docs.columns)
+    if classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    return kept

@@ -22,12 +22,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents labelled as good quality."""
+    from stationlens.llm.lm_scoring import cross_entropy_difference
+
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stationlens.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), max_tokens=1024, end_id=2)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stationlens.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stationlens.llm.jaccard import jaccard_components
 
@@ -75,7 +89,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality": op4_quality,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_imatch_fingerprints": op6_imatch_fingerprints,
     "op7_pii_surrogates": op7_pii_surrogates,
