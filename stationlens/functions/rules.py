@@ -94,7 +94,7 @@ def of_risk(risk_: Column, which: int) -> Column:
 
 
 def priority(risk_: Column, duration: Column, found: Column, p95_pickups: Column, p95_dropoffs: Column, trend: Column, cfg: RuleConfig) -> Column:
-    """struct(severity, action, reasons, the five components, score)."""
+    """struct(level, action, reasons, the five components, score)."""
     p = float(cfg.persistence_seconds)
     stepped = 60.0 + 40.0 * F.greatest(F.lit(0.0), duration - p) / p
     persistence = F.least(F.lit(100.0), stepped if cfg.persistence_form == "stepped" else 60.0 * duration / p)
@@ -112,7 +112,7 @@ def priority(risk_: Column, duration: Column, found: Column, p95_pickups: Column
         )
     )
     score = F.round(reduce(lambda a, b: a + b, (cfg.weights[name] * part for name, part in parts.items())), 2)
-    return F.struct(of_risk(risk_, 2).alias("severity"), of_risk(risk_, 0).alias("action"), reasons.alias("reasons"), *(c.alias(n) for n, c in parts.items()), score.alias("score"))
+    return F.struct(of_risk(risk_, 2).alias("level"), of_risk(risk_, 0).alias("action"), reasons.alias("reasons"), *(c.alias(n) for n, c in parts.items()), score.alias("score"))
 
 
 # ---------------------------------------------------------------- plain Python, for keyed state

@@ -43,3 +43,9 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(ROOT))
     context.addPyFile(path)
     context._stationlens_shipped = True
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A folder that all executors see: the one in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return found.rstrip("/") if found else tempfile.mkdtemp(prefix="stationlens-work-")
