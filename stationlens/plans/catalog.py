@@ -256,7 +256,7 @@ CAST(0.4 AS DOUBLE) * c1 + CAST(0.2 AS DOUBLE) * c2 + CAST(0.2 AS DOUBLE) * c3 +
 
 
 @query(
-    f"""WITH {_SCORED_SQL} SELECT alert_id, severity, recommended_action, c1 AS severity_score, c2 AS persistence, c3 AS historical_demand, c4 AS recent_trend, round(raw_score, 1) AS score,
+    f"""WITH {_SCORED_SQL} SELECT alert_id, severity, recommended_action, c1 AS severity_score, c2 AS persistence, c3 AS historical_demand, c4 AS recent_trend, CAST(round(CAST(raw_score AS DECIMAL(30, 18)), 2) AS DOUBLE) AS score,
 concat_ws('|', CASE risk WHEN 'STALE' THEN 'SOURCE_STALE' WHEN 'OFFLINE' THEN 'STATION_OFFLINE' WHEN 'DATA_QUALITY' THEN 'DATA_QUALITY_RISK' ELSE risk || '_PERSISTED' END, CASE WHEN c3 >= 80 AND risk IN ('EMPTY', 'LOW_BIKES') THEN 'HIGH_HISTORICAL_PICKUP_DEMAND' WHEN c3 >= 80 THEN 'HIGH_HISTORICAL_DROPOFF_DEMAND' END,
 CASE WHEN c4 >= 60 AND risk IN ('EMPTY', 'LOW_BIKES') THEN 'RAPID_OUTFLOW' WHEN c4 >= 60 AND risk IN ('FULL', 'LOW_DOCKS') THEN 'RAPID_INFLOW' END) AS reasons FROM scored"""
 )
@@ -265,18 +265,18 @@ def priority_score(spark, sf_dir):
 
 
 def _priority_columns(s: DataFrame) -> DataFrame:
-    return s.select("alert_id", F.col("p.level").alias("severity"), F.col("p.action").alias("recommended_action"), F.col("p.severity").alias("severity_score"), "p.persistence", "p.historical_demand", "p.recent_trend", F.round("p.score", 1).alias("score"), "p.reasons")
+    return s.select("alert_id", F.col("p.level").alias("severity"), F.col("p.action").alias("recommended_action"), F.col("p.severity").alias("severity_score"), "p.persistence", "p.historical_demand", "p.recent_trend", F.col("p.score").alias("score"), "p.reasons")
 
 
 def _alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir)
     return s.select(
         "alert_id", "station_id", F.col("risk").alias("alert_type"), F.when(F.col("resolved_at").isNotNull(), "RESOLVED").otherwise("OPEN").alias("lifecycle_status"), F.col("p.level").alias("severity"),
-        F.col("p.action").alias("recommended_action"), F.round("p.score", 1).alias("priority_score"), F.col("opened_at").alias("detected_at"), F.coalesce("resolved_at", "opened_at").alias("event_time"), F.col("alert_id").alias("alert_event_id"),
+        F.col("p.action").alias("recommended_action"), F.col("p.score").alias("priority_score"), F.col("opened_at").alias("detected_at"), F.coalesce("resolved_at", "opened_at").alias("event_time"), F.col("alert_id").alias("alert_event_id"),
     )
 
 
-_STATE_SQL = f"{_SCORED_SQL}, alert_state AS (SELECT alert_id, station_id, risk AS alert_type, CASE WHEN resolved_at IS NOT NULL THEN 'RESOLVED' ELSE 'OPEN' END AS lifecycle_status, severity, recommended_action, round(raw_score, 1) AS priority_score, opened_at AS detected_at, coalesce(resolved_at, opened_at) AS event_time FROM scored)"
+_STATE_SQL = f"{_SCORED_SQL}, alert_state AS (SELECT alert_id, station_id, risk AS alert_type, CASE WHEN resolved_at IS NOT NULL THEN 'RESOLVED' ELSE 'OPEN' END AS lifecycle_status, severity, recommended_action, CAST(round(CAST(raw_score AS DECIMAL(30, 18)), 2) AS DOUBLE) AS priority_score, opened_at AS detected_at, coalesce(resolved_at, opened_at) AS event_time FROM scored)"
 
 
 @query(f"WITH {_STATE_SQL} SELECT alert_id, priority_score, event_time, CAST(row_number() OVER (ORDER BY priority_score DESC, event_time, alert_id) AS INTEGER) AS queue_rank FROM alert_state WHERE lifecycle_status <> 'RESOLVED'")
