@@ -192,6 +192,37 @@ def _arrays(size: int):
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, n) in order -> those of keys with several ids, with the key's smallest id as ``center``."""
+    last_key = last_id = center = None
+    pending = None  # the first row of the last key, as long as it is the only one
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, ident, n = (batch.column(c).to_numpy() for c in range(3))
+        repeated = np.zeros(len(key), bool)
+        repeated[1:] = (key[1:] == key[:-1]) & (ident[1:] == ident[:-1])
+        repeated[0] = key[0] == last_key and ident[0] == last_id
+        key, ident, n = key[~repeated], ident[~repeated], n[~repeated]
+        if not len(key):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        first = ident[start]
+        goes_on = key[0] == last_key
+        emits = size > 1
+        if goes_on:
+            first[0], emits[0] = center, True
+            if pending is not None:
+                key, ident, n = (np.concatenate([[x], y]) for x, y in zip(pending, (key, ident, n), strict=True))
+                size[0] += 1
+        alone = size[-1] == 1 and not emits[-1]
+        pending = (key[-1], ident[-1], n[-1]) if alone else None
+        last_key, last_id, center = key[-1], ident[-1], first[-1]
+        row = np.repeat(emits, size)
+        yield pa.RecordBatch.from_arrays([pa.array(x[row]) for x in (key, ident, n, np.repeat(first, size))], ["key", "id", "n", "center"])
+
+
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     while len(bits) > words:
         # bit i of a narrower bitmap stands for all i modulo its width
@@ -283,9 +314,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     own = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "keys").join(F.broadcast(copies) if small_enough(copies, 1_000_000) else copies, "doc_id", "left_anti")
     signs = own.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
 
-    # tiles with more than one member; their smallest is the first partner of all
-    shared = signs.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).filter("center < last").select("key", "center")
-    tiles = scratch.keep(signs.join(shared, "key"), "tiles")
+    # tiles with more than one member; their smallest is the first partner of all. One shuffle of the keys: a tile's rows
+    # stream through a task in order, none is held but the first
+    tiles = scratch.keep(signs.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long, n long, center long"), "tiles")
+    scratch.drop("signed")
     ids = scratch.keep(tiles.select(F.col("id").alias("doc_id")).distinct(), "ids")
     arrays = scratch.keep(semi_by_id(texts, ids, "doc_id").mapInArrow(_arrays(size), "doc_id long, n long, members array<long>, bits binary"), "arrays")
 
