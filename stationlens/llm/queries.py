@@ -100,4 +100,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard": """WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+members AS (SELECT doc_id, unnest(s) AS x FROM sets), shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM members a JOIN members b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT o.a, o.b FROM shared o JOIN sets p ON p.doc_id = o.a JOIN sets q ON q.doc_id = o.b WHERE 100 * o.o >= 90 * (len(p.s) + len(q.s) - o.o)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach(id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id FROM sets s JOIN (SELECT id, min(other) AS c FROM reach GROUP BY 1) r ON r.id = s.doc_id""",
+}
