@@ -82,6 +82,27 @@ def acknowledge(events: DataFrame, commands: DataFrame) -> tuple[DataFrame, Data
     return made.drop("acknowledged_at").select(*events.columns), pending.join(active.select("alert_id"), "alert_id", "left_anti")
 
 
+def decide_commands(commands: DataFrame, applied: DataFrame, state: DataFrame) -> DataFrame:
+    """What becomes of acknowledge commands (idempotency_key, alert_id): ``outcome`` and ``command_id``.
+
+    ``applied``: (idempotency_key, alert_id) of commands done before. A key that was used for the same alert is REPLAYED,
+    for another one a CONFLICT; then an unknown alert is NOT_FOUND, a resolved one a CONFLICT, an acknowledged one
+    ALREADY_ACKNOWLEDGED (its event is the answer), an open one ACCEPTED. Of several commands of one key the first by alert counts.
+    """
+    first = latest_by(commands, "idempotency_key", F.asc("alert_id"))
+    known = applied.select("idempotency_key", F.col("alert_id").alias("_used_for"))
+    joined = first.join(known, "idempotency_key", "left").join(state.select("alert_id", F.col("lifecycle_status").alias("_status")), "alert_id", "left")
+    outcome = (
+        F.when(F.col("_used_for") == F.col("alert_id"), "REPLAYED")
+        .when(F.col("_used_for").isNotNull(), "CONFLICT")
+        .when(F.col("_status").isNull(), "NOT_FOUND")
+        .when(F.col("_status") == "RESOLVED", "CONFLICT")
+        .when(F.col("_status") == "ACKNOWLEDGED", "ALREADY_ACKNOWLEDGED")
+        .otherwise("ACCEPTED")
+    )
+    return joined.select("idempotency_key", "alert_id", outcome.alias("outcome"), hash_parts(F.col("idempotency_key"), F.col("alert_id"), F.lit("ACKNOWLEDGE")).alias("command_id"))
+
+
 def consumer_offsets(records: DataFrame) -> DataFrame:
     return records.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"))
 

@@ -345,6 +345,21 @@ def ack_overlay(spark, sf_dir):
     return sv.acknowledge(events, commands)[0].select("alert_id", "station_id", "alert_event_id", "event_type", "lifecycle_status")
 
 
+@query(
+    """WITH c AS (SELECT 'key-' || c_custkey AS idempotency_key, CAST(c_custkey % 40 AS VARCHAR) AS alert_id, c_custkey AS n FROM customer), a AS (SELECT 'key-' || c_custkey AS k, CAST((c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END) % 40 AS VARCHAR) AS used FROM customer WHERE c_custkey % 5 = 0),
+s AS (SELECT CAST(x AS VARCHAR) AS alert_id, CASE x % 3 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'ACKNOWLEDGED' ELSE 'OPEN' END AS st FROM range(30) t(x))
+SELECT c.idempotency_key, c.alert_id, CASE WHEN a.used = c.alert_id THEN 'REPLAYED' WHEN a.used IS NOT NULL THEN 'CONFLICT' WHEN s.st IS NULL THEN 'NOT_FOUND' WHEN s.st = 'RESOLVED' THEN 'CONFLICT' WHEN s.st = 'ACKNOWLEDGED' THEN 'ALREADY_ACKNOWLEDGED' ELSE 'ACCEPTED' END AS outcome,
+sha256(concat_ws('|', c.idempotency_key, c.alert_id, 'ACKNOWLEDGE')) AS command_id FROM c LEFT JOIN a ON a.k = c.idempotency_key LEFT JOIN s ON s.alert_id = c.alert_id"""
+)
+def acknowledge_commands(spark, sf_dir):
+    n = F.col("c_custkey")
+    customers = load(spark, sf_dir, "customer").select(n, F.concat(F.lit("key-"), n.cast("string")).alias("idempotency_key"))
+    commands = customers.select("idempotency_key", (n % 40).cast("string").alias("alert_id"))
+    applied = customers.filter(n % 5 == 0).select("idempotency_key", ((n + F.when(n % 2 == 0, 1).otherwise(0)) % 40).cast("string").alias("alert_id"))
+    state = spark.range(30).select(F.col("id").cast("string").alias("alert_id"), F.when(F.col("id") % 3 == 0, "RESOLVED").when(F.col("id") % 3 == 1, "ACKNOWLEDGED").otherwise("OPEN").alias("lifecycle_status"))
+    return sv.decide_commands(commands, applied, state)
+
+
 @query("SELECT event_type AS topic, user_id % 3 AS partition, max(event_id) + 1 AS next_offset FROM events GROUP BY 1, 2")
 def consumer_offsets(spark, sf_dir):
     e = load(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), (F.col("user_id") % 3).alias("partition"), F.col("event_id").alias("offset"))
