@@ -21,11 +21,14 @@ from stationlens.llm.common import Scratch
 SLOTS = 1 << 20
 SUBSETS = 32
 FEWEST = 8
+#: Texts with fewer lexicon terms have the hashes of all their terms as well, so that an edit across FEWEST can be seen.
+BOTH_BELOW = 64
 #: Lexicon: terms in at most one document of 8 and at least one of 400, so at most 400 x (terms a document) terms.
 LOWEST_IDF, HIGHEST_IDF = math.log(8), math.log(400)
 
 _TERMS = r"array_distinct(transform(filter(split(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> ''), w -> xxhash64(w)))"
 _EMPTY = "0000"
+_PART = 3 + 8 * SUBSETS
 _NULL_ID = -(1 << 63)
 
 
@@ -55,34 +58,47 @@ def _hashes(terms: str) -> str:
 def with_fingerprints(df: DataFrame, texts: dict[str, str]) -> DataFrame:
     """Adds the fingerprint of each text column (``texts``: its name -> that of its fingerprint); uses up the texts and ``bits``."""
     keep = f"filter(_terms_{{c}}, h -> (shiftrightunsigned(element_at(bits, cast(shiftrightunsigned(h & {SLOTS - 1}, 6) as int) + 1), cast(h & 63 as int)) & 1L) = 1L)"
-    thin = "filter(_used_{c}, h -> (shiftrightunsigned(h, 40) & (shiftleft(1L, {level}) - 1L)) = 0L)"
+    level = f"cast(greatest(0, floor(log2(greatest(size({{of}}), 1) / {SUBSETS}))) as int)"
+    thin = "filter({of}, h -> (shiftrightunsigned(h, 40) & (shiftleft(1L, {level}) - 1L)) = 0L)"
+    of = lambda sql, kind, **k: sql.replace("{of}", f"_{kind}_{{c}}").replace("{level}", k.get("level", ""))
     steps = [
         {"_band_{c}": keep},
-        {"_used_{c}": f"array_sort(if(size(_band_{{c}}) >= {FEWEST}, _band_{{c}}, _terms_{{c}}))", "_kind_{c}": f"if(size(_band_{{c}}) >= {FEWEST}, 'b', 'a')"},
-        {"_level_{c}": f"cast(greatest(0, floor(log2(greatest(size(_used_{{c}}), 1) / {SUBSETS}))) as int)"},
-        {"_own_{c}": thin.replace("{level}", "_level_{c}"), "_next_{c}": thin.replace("{level}", "_level_{c} + 1")},
+        # b: terms in the lexicon, if there are enough; a: all terms, if there are few in the lexicon
+        {"_b_{c}": f"if(size(_band_{{c}}) >= {FEWEST}, array_sort(_band_{{c}}), array())", "_a_{c}": f"if(size(_band_{{c}}) < {BOTH_BELOW}, array_sort(_terms_{{c}}), array())"},
+        {f"_level_{k}_{{c}}": of(level, k) for k in "ab"},
+        {f"_{w}_{k}_{{c}}": of(thin, k, level=f"_level_{k}_{{c}}{plus}") for k in "ab" for w, plus in (("own", ""), ("next", " + 1"))},
     ]
+    spent = [{"bits"}, {f"_terms_{c}" for c in texts}, set(), {f"_{k}_{c}" for c in texts for k in "ab"}]
     # each step is a projection without what is used up, as the lexicon is large beside a row
     df = df.select(*(c for c in df.columns if c not in texts and c != "bits"), *(F.expr(_TERMS.format(text=c)).alias(f"_terms_{c}") for c in texts), "bits")
-    spent = [{"bits"}, {f"_{k}_{c}" for c in texts for k in ("terms", "band")}, set(), {f"_used_{c}" for c in texts}]
     for step, gone in zip(steps, spent, strict=True):
         made = [F.expr(sql.replace("{c}", c)).alias(name.replace("{c}", c)) for c in texts for name, sql in step.items()]
         df = df.select(*(c for c in df.columns if c not in gone), *made)
-    made = [F.expr(f"concat(_kind_{c}, lpad(cast(_level_{c} as string), 2, '0'), {_hashes(f'_own_{c}')}, {_hashes(f'_next_{c}')})").alias(out) for c, out in texts.items()]
+    part = lambda k, c: f"concat('{k}', lpad(cast(_level_{k}_{c} as string), 2, '0'), {_hashes(f'_own_{k}_{c}')}, {_hashes(f'_next_{k}_{c}')})"
+    made = [F.expr(f"concat(if(size(_band_{c}) >= {FEWEST}, {part('b', c)}, ''), if(size(_band_{c}) < {BOTH_BELOW}, {part('a', c)}, ''))").alias(out) for c, out in texts.items()]
     return df.select(*(c for c in df.columns if not c.startswith("_")), *made)
 
 
 def likeness(a: str, b: str) -> str:
-    """SQL for the likeness (0 to 1) of two fingerprint columns: share of the filled subsets with equal hashes."""
-    level = "cast(substr({x}, 2, 2) as int)"
-    la, lb = level.format(x=a), level.format(x=b)
-    part = "substr({x}, 4 + 4 * k + {skip} * (greatest({la}, {lb}) - {own}), 4)"
-    pa = part.format(x=a, skip=4 * SUBSETS, la=la, lb=lb, own=la)
-    pb = part.format(x=b, skip=4 * SUBSETS, la=la, lb=lb, own=lb)
-    pairs = f"transform(sequence(0, {SUBSETS - 1}), k -> struct({pa} as p, {pb} as q))"
-    filled = f"filter({pairs}, x -> x.p <> '{_EMPTY}' or x.q <> '{_EMPTY}')"
-    score = f"aggregate({filled}, struct(0 as same, 0 as n), (s, x) -> struct(s.same + int(x.p = x.q) as same, s.n + 1 as n), s -> if(s.n = 0, 0D, s.same / s.n))"
-    return f"case when {a} = {b} then 1D when substr({a}, 1, 1) <> substr({b}, 1, 1) or abs({la} - {lb}) > 1 then 0D else {score} end"
+    """SQL for the likeness (0 to 1) of two fingerprint columns: share of the filled subsets with equal hashes.
+
+    Compared are the parts of the same kind: lexicon terms where both have that, else all terms where both have those.
+    """
+
+    def parts(kind: str) -> str:
+        # a text without enough lexicon terms has part a alone, one with a few has it after part b
+        pick = {"b": "substr({x}, 1, {n})", "a": "if(substr({x}, 1, 1) = 'a', {x}, substr({x}, {n} + 1))"}[kind].replace("{n}", str(_PART))
+        x, y = pick.format(x=a), pick.format(x=b)
+        la, lb = (f"cast(substr({p}, 2, 2) as int)" for p in (x, y))
+        cut = lambda p, own: f"substr({p}, 4 + 4 * k + {4 * SUBSETS} * (greatest({la}, {lb}) - {own}), 4)"
+        pairs = f"transform(sequence(0, {SUBSETS - 1}), k -> struct({cut(x, la)} as p, {cut(y, lb)} as q))"
+        filled = f"filter({pairs}, x -> x.p <> '{_EMPTY}' or x.q <> '{_EMPTY}')"
+        score = f"aggregate({filled}, struct(0 as same, 0 as n), (s, x) -> struct(s.same + int(x.p = x.q) as same, s.n + 1 as n), s -> if(s.n = 0, 0D, s.same / s.n))"
+        return f"if(abs({la} - {lb}) > 1, 0D, {score})"
+
+    with_b = f"substr({a}, 1, 1) = 'b' and substr({b}, 1, 1) = 'b'"
+    with_a = " and ".join(f"(substr({x}, 1, 1) = 'a' or length({x}) > {_PART})" for x in (a, b))
+    return f"case when {a} = {b} then 1D when {with_b} then {parts('b')} when {with_a} then {parts('a')} else 0D end"
 
 
 def in_order(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
