@@ -3,16 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlens.session import ship
 
 
+#: Rows and bytes of an Arrow batch: texts are long rows, and a batch is held by the executor and its worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package and keeps Arrow batches small; sizes that the session sets smaller stay."""
+    ship(spark)
+    for key, most in ((_ROWS, BATCH_ROWS), (_BYTES, BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        size = int(now) if now and now.lstrip("-").isdigit() else 0
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -30,7 +49,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        ship(spark)
+        prepare(spark)
         self.spark, self.paths = spark, {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -56,7 +75,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,3 +92,22 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str, rows: int = 1_000_000) -
     """Rows of ``df`` whose ``key`` is in ``ids``: broadcast up to ``rows`` ids (8 bytes each), else a shuffled join."""
     side = F.broadcast(ids) if small_enough(ids, rows) else ids
     return df.join(side, key, "left_semi")
+
+
+_OWNER: dict[str, Callable[[], object]] = {}
+#: Returns free heap pages; only the GNU C library has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def own_caches(name: str, clear: Callable[[], object]) -> None:
+    """Called by an operator's tasks in a worker: what another operator kept there before is given up, and freed memory
+    goes back to the system, as workers share a machine with their executor."""
+    if name not in _OWNER:
+        for other in _OWNER.values():
+            other()
+        _OWNER.clear()
+        _OWNER[name] = clear
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)

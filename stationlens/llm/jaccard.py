@@ -7,8 +7,8 @@ both: a tile is the set of documents that agree on one part. Tiles lose no link
 
 Equal sets count once. Each tile first links its members to its smallest one (no pairs among the rest); members that
 are in one class by then need no comparison. What is left is compared block by block: hashed bitmaps, as wide as the
-band's sets need, bound the overlap from above by bit counts, and only pairs that pass meet in an exact
-intersection of sorted arrays. Tiles with the same members are compared once.
+sets need, bound the overlap from above by bit counts, and only pairs that pass meet in an exact intersection of
+sorted arrays. Tiles with the same members are compared once.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlens.llm.common import Scratch, semi_by_id, small_enough
+from stationlens.llm.common import Scratch, own_caches, semi_by_id, small_enough
 from stationlens.llm.components import components
 
 #: Parts beyond k + 1, so that a document with a few empty parts still shares a filled one.
@@ -138,16 +138,17 @@ def part_keys(flat: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.nda
     return docs[order], keys[order]
 
 
-def bitmap(members: list[np.ndarray], width: int) -> np.ndarray:
-    """A row of ``width`` bits for each sorted array, as 64-bit words; width is a power of two."""
-    bits = np.zeros((len(members), width), np.bool_)
-    for i, x in enumerate(members):
-        bits[i, (x >> np.uint64(7)) & np.uint64(width - 1)] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+def bitmap_width(n: int) -> int:
+    return 1 << max(6, (n - 1).bit_length())
 
 
-def bitmap_width(n: int) -> int:
-    return 1 << max(8, (4 * n - 1).bit_length())
+def bitmap(members: np.ndarray, width: int) -> np.ndarray:
+    """A parity bitmap as 64-bit words: each member flips one of ``width`` (a power of two) bits.
+
+    Two sets' bitmaps differ in no more bits than the sets do in members, which bounds the overlap from above.
+    """
+    flips = np.bincount(((members >> np.uint64(7)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -161,6 +162,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def _signatures(size: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("jaccard", _WORDS.clear)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -175,26 +177,25 @@ def _signatures(size: int, bands: Bands):
                 docs, keys = part_keys(flat, sizes, bands)
                 offsets = np.searchsorted(docs, np.arange(len(sets) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *hashes, lists], ["doc_id", "n", "h1", "h2", "keys"])
+                bits = pa.array([bitmap(x, bitmap_width(len(x))).tobytes() for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *hashes, lists, bits], ["doc_id", "n", "h1", "h2", "keys", "bits"])
 
     return run
 
 
-def _arrays(size: int):
+def _members(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                sets = [shingles(t.as_py(), size) for t in batch.column(1)]
-                bits = [bitmap([x], bitmap_width(len(x))).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "members", "bits"])
+        own_caches("jaccard", _WORDS.clear)
+        for batch in batches:
+            sets = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "members"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, n) in order -> those of keys with several ids, with the key's smallest id as ``center``."""
-    last_key = last_id = center = None
+    """Rows (key, id, n) in order -> those of keys with several ids, with the key's smallest id as ``center`` and its size."""
+    last_key = last_id = center = center_n = None
     pending = None  # the first row of the last key, as long as it is the only one
     for batch in batches:
         if not batch.num_rows:
@@ -208,25 +209,25 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
-        first = ident[start]
+        first, first_n = ident[start], n[start]
         goes_on = key[0] == last_key
         emits = size > 1
         if goes_on:
-            first[0], emits[0] = center, True
+            first[0], first_n[0], emits[0] = center, center_n, True
             if pending is not None:
                 key, ident, n = (np.concatenate([[x], y]) for x, y in zip(pending, (key, ident, n), strict=True))
                 size[0] += 1
         alone = size[-1] == 1 and not emits[-1]
         pending = (key[-1], ident[-1], n[-1]) if alone else None
-        last_key, last_id, center = key[-1], ident[-1], first[-1]
+        last_key, last_id, center, center_n = key[-1], ident[-1], first[-1], first_n[-1]
         row = np.repeat(emits, size)
-        yield pa.RecordBatch.from_arrays([pa.array(x[row]) for x in (key, ident, n, np.repeat(first, size))], ["key", "id", "n", "center"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[row]) for x in (key, ident, n, np.repeat(first, size), np.repeat(first_n, size))], ["key", "id", "n", "center", "center_n"])
 
 
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The parity bitmap of a smaller width: bit i stands for all bits that are i modulo it."""
     while len(bits) > words:
-        # bit i of a narrower bitmap stands for all i modulo its width
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
     return bits
 
 
@@ -241,9 +242,7 @@ def _bounded(bands: Bands):
                 p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 words = min(len(p), len(q))
                 p, q = _fold(p, words), _fold(q, words)
-                both = int(np.bitwise_count(p & q).sum())
-                bound = min(n - int(np.bitwise_count(p).sum()), m - int(np.bitwise_count(q).sum())) + both
-                if bands.linked(bound, n, m):
+                if bands.linked((n + m - int(np.bitwise_count(p ^ q).sum())) // 2, n, m):
                     found.append((a, b))
             yield _pairs(found)
 
@@ -271,25 +270,49 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _block(bands: Bands):
-    """The members of a block -> the pairs in different classes whose bit counts allow a link."""
+    """Rows (key, i, j, id, component, n, block, bits) in order of key, i, j -> pairs whose bit counts allow a link.
 
-    def run(group: pa.Table) -> pa.Table:
-        left, right = group["i"][0].as_py(), group["j"][0].as_py()
-        rows = [np.frombuffer(x, np.uint64) for x in group["bits"].to_pylist()]
+    A group (key, i, j) is two blocks of a tile, or one; pairs are of members in different classes, one from either block.
+    """
+
+    def pairs(ids: np.ndarray, root: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
+        rows = [np.frombuffer(x, np.uint64) for x in bits]
         words = min(map(len, rows))
-        bits = np.stack([_fold(x, words) for x in rows])
-        ids, side, n, root = (group[c].to_numpy() for c in ("id", "block", "n", "component"))
-        spare = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        found = []
-        for r in np.flatnonzero(side == left):
-            others = np.flatnonzero((root != root[r]) & (side == right) & ((left != right) | (ids > ids[r])))
-            if not len(others):
+        whole = np.stack([_fold(x, words) for x in rows])
+        found, lows = [], np.flatnonzero(left)
+        step = max(1, (1 << 20) // whole.size)
+        for a in range(0, len(lows), step):
+            own = lows[a : a + step]
+            apart = np.bitwise_count(whole[own][:, None] ^ whole[None]).sum(axis=2, dtype=np.int64)
+            near = bands.linked((n[own][:, None] + n[None] - apart) // 2, n[own][:, None], n[None])
+            near &= (root[own][:, None] != root[None]) & right[None]
+            near &= (ids[own][:, None] < ids[None]) | ~(left & right)[None]
+            r, c = np.nonzero(near)
+            found.extend(zip(ids[own][r].tolist(), ids[c].tolist(), strict=True))
+        return found
+
+    def groups(table: pa.Table) -> list[tuple[int, int]]:
+        key, i, j, ids, root, n, block = (table.column(c).to_numpy() for c in range(7))
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        bits, found = table.column(7).to_pylist(), []
+        for a, b in zip(start, np.append(start[1:], len(key)), strict=True):
+            if b - a > 1:
+                found += pairs(ids[a:b], root[a:b], n[a:b], block[a:b] == i[a], block[a:b] == j[a], bits[a:b])
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None  # the rows of the last group, which the next batch may go on with
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if carry is None else [*carry.to_batches(), batch])
+            if not table.num_rows:
                 continue
-            both = np.bitwise_count(bits[r] & bits[others]).sum(axis=1).astype(np.int64)
-            bound = np.minimum(spare[r], spare[others]) + both
-            near = ids[others[bands.linked(bound, n[r], n[others])]]
-            found.extend((ids[r], x) for x in near)
-        return pa.Table.from_batches([_pairs(found)])
+            last = np.stack([table.column(c).to_numpy() for c in range(3)])
+            cut = int(np.flatnonzero((last != last[:, -1:]).any(axis=0))[-1]) + 1 if (last != last[:, -1:]).any() else 0
+            carry = table.slice(cut)
+            if cut:
+                yield _pairs(groups(table.slice(0, cut)))
+        if carry is not None and carry.num_rows:
+            yield _pairs(groups(carry))
 
     return run
 
@@ -305,7 +328,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     spark = docs.sparkSession
     bands, scratch = Bands(num, den), Scratch(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.keep(texts.mapInArrow(_signatures(size, bands), "doc_id long, n long, h1 long, h2 long, keys array<long>"), "signed")
+    signed = scratch.keep(texts.mapInArrow(_signatures(size, bands), "doc_id long, n long, h1 long, h2 long, keys array<long>, bits binary"), "signed")
 
     # equal sets: one representative each, by a pre-aggregated minimum
     sets = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
@@ -316,21 +339,27 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
 
     # tiles with more than one member; their smallest is the first partner of all. One shuffle of the keys: a tile's rows
     # stream through a task in order, none is held but the first
-    tiles = scratch.keep(signs.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long, n long, center long"), "tiles")
-    scratch.drop("signed")
+    tiles = scratch.keep(signs.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long, n long, center long, center_n long"), "tiles")
     ids = scratch.keep(tiles.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    arrays = scratch.keep(semi_by_id(texts, ids, "doc_id").mapInArrow(_arrays(size), "doc_id long, n long, members array<long>, bits binary"), "arrays")
+    maps = scratch.keep(semi_by_id(signed.select("doc_id", "n", "h1", "h2", "bits"), ids, "doc_id").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "n", "bits"), "maps")
+    scratch.drop("signed")
 
-    def sided(pairs: DataFrame, *columns: str) -> DataFrame:
+    def sided(pairs: DataFrame, side_rows: DataFrame, *columns: str) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(arrays.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+            pairs = pairs.join(side_rows.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
         return pairs.select("a", "b", *(f"{side}_{c}" for side in ("a", "b") for c in columns))
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        return sided(scratch.keep(pairs, name), "members").mapInArrow(_exact(bands), "a long, b long")
-
-    partners = tiles.filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    stars = links(sided(partners, "n", "bits").mapInArrow(_bounded(bands), "a long, b long"), "partners")
+        """The pairs that the exact intersection confirms; only their documents' arrays are made."""
+        pairs = scratch.keep(pairs, name)
+        met = scratch.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
+        arrays = scratch.keep(semi_by_id(texts, met, "doc_id").mapInArrow(_members(size), "doc_id long, members array<long>"), f"{name}-arrays")
+        return sided(pairs, arrays, "members").mapInArrow(_exact(bands), "a long, b long")
+
+    # a first pass over likely pairs: of a tile's smallest member and one it shares several tiles with, of fitting sizes
+    fitting = F.lit(den) * F.least("n", "center_n") >= F.lit(num) * F.greatest("n", "center_n")
+    partners = tiles.filter((F.col("id") != F.col("center")) & fitting).groupBy(F.col("id").alias("a"), F.col("center").alias("b")).agg(F.count("*").alias("tiles")).filter("tiles > 1").drop("tiles")
+    stars = links(sided(partners, maps, "n", "bits").mapInArrow(_bounded(bands), "a long, b long"), "partners")
     # rows of one id but different sets
     least = rows.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).filter("b < most")
     again = rows.join(least, "doc_id").select(F.col("rep").alias("a"), "b")
@@ -343,10 +372,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     opened = opened.filter("lo < hi").groupBy("many", "x", "y").agg(F.min("key").alias("key"), F.max("widest").alias("widest"))
     fit = F.greatest(F.lit(8), F.least(F.lit(BLOCK_DOCS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("widest"))))
     opened = opened.select("key", F.ceil(F.col("many") / fit).cast("int").alias("blocks"))
-    dealt = marked.join(opened, "key").join(arrays.select(F.col("doc_id").alias("id"), "bits"), "id").withColumn("block", F.expr("cast(pmod(xxhash64(id, key), blocks) as int)"))
+    dealt = marked.join(opened, "key").join(maps.select(F.col("doc_id").alias("id"), "bits"), "id").withColumn("block", F.expr("cast(pmod(xxhash64(id, key), blocks) as int)"))
     dealt = dealt.select("key", "id", "component", "n", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", "id", "component", "n", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = scratch.keep(links(dealt.groupBy("key", "i", "j").applyInArrow(_block(bands), "a long, b long").distinct(), "near"), "more")
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "id", "component", "n", "block", "bits")
+    more = scratch.keep(links(ordered.mapInArrow(_block(bands), "a long, b long").distinct(), "near"), "more")
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     last = scratch.keep(components(joined, scratch, "all"), "last")
     out = scratch.keep(rows.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "out")

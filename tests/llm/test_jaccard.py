@@ -9,7 +9,7 @@ import pytest
 
 from stationlens.llm.common import Scratch
 from stationlens.llm.components import components
-from stationlens.llm.jaccard import Bands, bitmap, bitmap_width, jaccard_components, one_of_each, overlap, part_keys
+from stationlens.llm.jaccard import Bands, _fold, bitmap, bitmap_width, jaccard_components, one_of_each, overlap, part_keys
 from tests.llm.helpers import none, odd, odd_rows
 
 
@@ -79,10 +79,10 @@ def test_linked_sets_share_a_tile_and_pass_the_bound():
             b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.06], rng.integers(0, 2**63, int(rng.integers(0, 6))).astype(np.uint64)]))
             o = overlap(a, b)
             assert o == len(np.intersect1d(a, b))
-            width = bitmap_width(max(len(a), len(b)))
-            x, y = bitmap([a], width)[0], bitmap([b], width)[0]
-            both = int(np.bitwise_count(x & y).sum())
-            assert o <= min(len(a) - int(np.bitwise_count(x).sum()), len(b) - int(np.bitwise_count(y).sum())) + both
+            width = bitmap_width(min(len(a), max(1, len(b))))
+            x, y = _fold(bitmap(a, bitmap_width(len(a))), width // 64), bitmap(b, width)
+            assert (x == bitmap(a, width)).all()
+            assert o <= (len(a) + len(b) - int(np.bitwise_count(x ^ y).sum())) // 2
             if len(b) and bands.linked(o, len(a), len(b)) and o < max(len(a), len(b)):
                 docs, keys = part_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), bands)
                 assert set(keys[docs == 0]) & set(keys[docs == 1])
