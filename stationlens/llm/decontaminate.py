@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlens.session import ship
+from stationlens.llm.common import own_caches, prepare
 
 SEED_WORDS = 3
 #: A seed is rare in at most this share of the documents (or in three).
@@ -183,6 +183,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 
 def _count_seeds(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("decontaminate", int)
         finder = Finder(items.value)
         counts = np.zeros(len(finder.items.seeds), np.int64)
         for batch in batches:
@@ -208,7 +209,7 @@ def _find(items, threshold: float):
 def _prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[object]:
     """Broadcast blocks of test items with their rare seeds marked, from counts over all documents."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     texts, total = docs.select(F.col("text").cast("string").alias("text")), None
     for block in _blocks(benchmark):
         items = Items(block)
@@ -243,6 +244,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for items in _prepared(docs, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            own_caches("decontaminate", int)
             finder = Finder(items.value)
             for batch in batches:
                 yield batch.filter(pa.array([not finder.find(t.as_py(), threshold) for t in batch.column(at)], pa.bool_()))

@@ -17,8 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlens.llm.common import Scratch, small_enough
-from stationlens.session import ship
+from stationlens.llm.common import Scratch, own_caches, prepare, small_enough
 
 VOCABULARY, PAIRS = 1 << 16, 1 << 20
 #: Weights of the pair, word and uniform parts.
@@ -76,6 +75,7 @@ class Counts:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own_caches("lm_scoring", _NUMBERS.clear)
     models: dict[int, Counts] = {}
     for batch in batches:
         for side, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -128,13 +128,14 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     part. Repeated rows give a row each; a null id is never a target; other columns are ignored.
     """
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     scratch = Scratch(spark)
     ids = scratch.keep(target_ids.select("doc_id").distinct(), "target")
     models, share = train(docs, ids)
     sent = spark.sparkContext.broadcast(models)  # arrays of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("lm_scoring", _NUMBERS.clear)
         target, background = sent.value[1], sent.value[0]
         for batch in batches:
             rows = []

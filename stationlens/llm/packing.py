@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlens.llm.common import Scratch
-from stationlens.session import ship
+from stationlens.llm.common import Scratch, own_caches, prepare
 
 #: Ranks within a length are dealt out over so many buckets, so that a hot length is no hot task.
 RANK_BUCKETS = 512
@@ -100,10 +99,11 @@ def cut(n: int, max_tokens: int) -> list[tuple[int, int]]:
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of each document; a null text is empty, so each document has at least its end id."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("packing", _ENCODERS.clear)
         encode = encoder(tokenizer).encode
         for batch in batches:
             rows = []

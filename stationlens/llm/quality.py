@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlens.session import ship
+from stationlens.llm.common import own_caches, prepare
 
 SAMPLE_DOCS = 4000
 FEATURES = 1 << 16
@@ -176,7 +176,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> Model | None:
     """The model, or None for an empty table."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(_patterns, "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).toArrow().sort_by("pattern")
     if not len(rows):
@@ -199,10 +199,11 @@ def quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     scores), null ids are kept, other columns are ignored, an empty table gives no rows.
     """
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     sent = spark.sparkContext.broadcast(fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("quality", _HASHED.clear)
         model = sent.value
         for batch in batches:
             weak, score = [], []

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlens.session import ship
+from stationlens.llm.common import own_caches, prepare
 
 #: Distinct chunks whose counts a worker keeps; beyond it the table starts anew, so memory stays bounded.
 CACHE_ENTRIES = 600_000
@@ -139,9 +139,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     are ignored. One narrow pass: no shuffle, and memory bounded by a record batch and the chunk cache.
     """
 
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("token_count", _COUNTERS.clear)
         count = counter(tokenizer).count
         for batch in batches:
             n = [count(t.as_py()) for t in batch.column(1)]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlens.session import ship
+from stationlens.llm.common import own_caches, prepare
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
 TRAIN_WINDOWS = 8
@@ -38,7 +38,7 @@ LEAST_STEPS = 150
 #: Of either label, that many unseen documents at least fit the last layer.
 LEAST_HELD = 20
 #: Distinct words a worker keeps projected; longer chunks share their first and last characters' n-grams.
-CACHE_ROWS, WORD_CHARS = 700_000, 24
+CACHE_ROWS, WORD_CHARS = 300_000, 24
 
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&@^~`+-=_/\\0123456789¿¡«»“”‘’…–—"
 
@@ -378,7 +378,7 @@ class Scorer(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.rows = np.zeros((1, 6 * HIDDEN), np.float32)
+        self.rows = np.zeros((1, 6 * HIDDEN), np.float16)
         self.fresh: list[str] = []
         self.known = 0
 
@@ -399,7 +399,7 @@ class Scorer(dict):
         made = features(P, wid, flat, sizes, m.word_odds, m.gram_odds) @ P["Wx"] + P["bx"]
         need = self.known + len(fresh)
         if need > len(self.rows):
-            grown = np.zeros((max(need, 2 * len(self.rows)), 6 * HIDDEN), np.float32)
+            grown = np.zeros((max(need, len(self.rows) * 3 // 2), 6 * HIDDEN), np.float16)
             grown[: self.known] = self.rows[: self.known]
             self.rows = grown
         self.rows[self.known : need] = made
@@ -418,7 +418,7 @@ class Scorer(dict):
                 mask = np.arange(steps)[:, None] < np.maximum(sizes[own], 1)
             for n, i in enumerate(own):
                 idx[: sizes[i], n] = at[i]
-            X = self.rows[idx]
+            X = self.rows[idx].astype(np.float32)
             out[own] = forward(P, X[:, :, : 3 * HIDDEN], X[:, :, 3 * HIDDEN :], mask)
         return out
 
@@ -471,7 +471,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     A document with several labels counts as toxic if one says so; null labels don't count. Without two kinds of
     labels the model scores all texts with the share of toxic ones (0 without labels).
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     totals = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     share = totals["toxic"] / totals["n"] if totals["n"] else 0.0
@@ -492,6 +492,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabularies' sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("toxicity", _SCORERS.clear)
         own = scorer(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -515,6 +516,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("toxicity", _SCORERS.clear)
         own = scorer(sent.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
