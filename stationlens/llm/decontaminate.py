@@ -29,7 +29,7 @@ THRESHOLD = 0.4
 SHORT_ITEM = 8
 #: A block of test items: words, at most (an item is never cut).
 BLOCK_WORDS = 2_000_000
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&@^~`+-=_/\\¿¡«»“”‘’…–—"
 FOUND = "doc_id long, item_id long, score double, matched int, first_word long, last_word long"

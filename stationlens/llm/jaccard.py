@@ -29,7 +29,7 @@ from stationlens.llm.components import components
 SPARE_PARTS = 2
 #: Members of a block and shingles in a block, at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 21
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 100_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

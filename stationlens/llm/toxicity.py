@@ -38,7 +38,7 @@ LEAST_STEPS = 150
 #: Of either label, that many unseen documents at least fit the last layer.
 LEAST_HELD = 20
 #: Distinct words a worker keeps projected; longer chunks share their first and last characters' n-grams.
-CACHE_ROWS, WORD_CHARS = 300_000, 24
+CACHE_ROWS, WORD_CHARS = 150_000, 24
 
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&@^~`+-=_/\\0123456789¿¡«»“”‘’…–—"
 
