@@ -1,10 +1,10 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
-Both models are interpolated bigram models over one shared vocabulary: words hashed to ``VOCABULARY`` numbers, pairs of
-them to ``PAIRS`` slots, so that a model is two arrays of fixed size whatever the corpus. They are matched: the background is
-a hash-chosen share of the other documents, as large in words as the target. Counts cover all words of all documents of
-either set: each task counts into arrays and passes on the slots it filled, which are summed by slot. A document that
-a model was counted on is scored without its own counts.
+Both models are interpolated bigram models over one shared vocabulary, that of all words of both sets: words are 64-bit
+hashes, pairs are two of them. The background is all other documents. Counts of words and pairs are written tables that grow
+with the corpus: tasks count what they read and pass on a row a pair. A document asks for its pairs' counts by a
+join on the pair's key; pairs with a share of ``1 / HOT_KEYS`` of all words or more (so at most ``HOT_KEYS``) are
+broadcast instead, so that no key of the join is large. A document is scored without its own counts.
 """
 
 from __future__ import annotations
@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from stationlens.llm.common import Scratch, own_caches, prepare, small_enough
 
-VOCABULARY, PAIRS = 1 << 16, 1 << 20
 #: Weights of the pair, word and uniform parts.
 WEIGHTS = (0.55, 0.4, 0.05)
 CACHE_ENTRIES = 400_000
-#: Ids that may be broadcast to mark the target's documents.
-BROADCAST_IDS = 1_000_000
+#: Ids or words that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = BROADCAST_WORDS = 1_000_000
+#: Keys with at least 1 in so many of all words go by broadcast.
+HOT_KEYS = 100_000
+#: Pairs a task gathers before it sums them, and sums it holds before it passes them on.
+GATHERED = 1 << 21
 
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&@^~`+-=_/\\¿¡«»“”‘’…–—"
 SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
@@ -32,7 +35,7 @@ SCORES = "doc_id long, n_words long, target_loss double, background_loss double,
 
 class _Numbers(dict):
     def __missing__(self, chunk: str) -> int:
-        n = xxhash.xxh3_64_intdigest(chunk.lower().strip(_STRIP)) % (VOCABULARY - 1) + 1
+        n = xxhash.xxh3_64_intdigest(chunk.lower().strip(_STRIP))
         if len(chunk) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -45,78 +48,142 @@ _NUMBERS = _Numbers()
 
 def number(text: str | None) -> np.ndarray:
     words = text.split() if text else []
-    return np.fromiter(map(_NUMBERS.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(_NUMBERS.__getitem__, words), np.uint64, len(words)).view(np.int64)
 
 
-def pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(history, slot) for each word; the first follows 0, the start of the text."""
-    before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-    x = (before * VOCABULARY + ids).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return before, (x >> np.uint64(44)).astype(np.int64)  # the upper 20 bits
+def history(ids: np.ndarray) -> np.ndarray:
+    """What each word follows; the first follows 0, the start of the text."""
+    return np.concatenate([np.zeros(1, np.int64), ids[:-1]]) if len(ids) else ids
 
 
-class Counts:
-    """One model's counts: of words, of histories (0 is the start) and of pair slots."""
+def pair_key(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    h = before.view(np.uint64)
+    return ((h << np.uint64(21)) | (h >> np.uint64(43))).view(np.int64) ^ ids
 
-    def __init__(self) -> None:
-        self.words, self.before, self.slots = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int64), np.zeros(PAIRS, np.int64)
 
-    def losses(self, ids: np.ndarray, own: bool) -> np.ndarray:
-        """Bits for each word; ``own`` leaves out the text's own counts."""
-        before, slots = pairs(ids)
-        w, h, p, total = self.words[ids], self.before[before], self.slots[slots], int(self.words.sum())
-        if own:
-            for counts, keys in ((w, ids), (h, before), (p, slots)):
-                _, where, many = np.unique(keys, return_inverse=True, return_counts=True)
-                counts -= many[where]
-            total -= len(ids)
-        a, b, c = WEIGHTS
-        return -np.log2(a * p / np.maximum(h, 1) + b * w / max(total, 1) + c / VOCABULARY)
+def _pair_key(before: Column, word: Column) -> Column:
+    return F.shiftleft(before, 21).bitwiseOR(F.shiftrightunsigned(before, 43)).bitwiseXOR(word)
+
+
+def bits(p, h, w, total, vocabulary, log2=np.log2, greatest=np.maximum):
+    """Bits for a word, from the counts of the pair, its history, the word and all words."""
+    a, b, c = WEIGHTS
+    return -log2(a * p / greatest(h, 1) + b * w / greatest(total, 1) + c / vocabulary)
+
+
+def _summed(before: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, first, where = np.unique(pair_key(before, word), return_index=True, return_inverse=True)
+    return before[first], word[first], np.stack([np.bincount(where, weights=x, minlength=len(first)) for x in n]).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own_caches("lm_scoring", _NUMBERS.clear)
-    models: dict[int, Counts] = {}
+    parts, held = [], 0
+
+    def summed():
+        return _summed(*(np.concatenate([p[k] for p in parts], axis=-1) for k in range(3)))
+
+    def rows(own):
+        before, word, (b, t) = own
+        for a in range(0, len(word), 1 << 17):
+            e = a + (1 << 17)
+            yield pa.RecordBatch.from_arrays([pa.array(x[a:e]) for x in (before, word, t, b)], ["h", "w", "t", "b"])
+
     for batch in batches:
         for side, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids = number(text.as_py())
             if len(ids):
-                before, slots = pairs(ids)
-                own = models.setdefault(side, Counts())
-                for counts, keys in ((own.words, ids), (own.before, before), (own.slots, slots)):
-                    np.add.at(counts, keys, 1)
-    for side, own in models.items():
-        for part, counts in enumerate((own.words, own.before, own.slots)):
-            filled = np.flatnonzero(counts)
-            for a in range(0, len(filled), 1 << 17):
-                at = filled[a : a + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 3 * side + part, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["part", "slot", "n"])
-
-
-def _sides(docs: DataFrame, target_ids: DataFrame, share: Column | float) -> DataFrame:
-    """doc_id, text, side: 1 target, 0 background, null neither."""
-    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("_target", F.lit(True))
+                n = np.zeros((2, len(ids)), np.int64)
+                n[side] = 1
+                parts.append((history(ids), ids, n))
+                held += len(ids)
+                if held >= GATHERED:
+                    parts = [summed()]
+                    held = len(parts[0][1])
+                    if 2 * held >= GATHERED:
+                        yield from rows(parts[0])
+                        parts, held = [], 0
+    if parts:
+        yield from rows(summed())
+
+
+def _sides(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """doc_id, text, side: 1 target, 0 background."""
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("_target", F.lit(1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     side = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    chosen = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < share
-    return texts.join(side, "doc_id", "left").select("doc_id", "text", F.when(F.col("_target"), 1).when(chosen, 0).cast("int").alias("side"))
-
-
-def train(docs: DataFrame, target_ids: DataFrame) -> tuple[dict[int, Counts], float]:
-    """The two models (1 target, 0 background) and the share of the other documents that the background took."""
-    sized = _sides(docs, target_ids, 1.0).groupBy("side").agg(F.sum(F.length("text")).alias("n")).collect()
-    size = {r["side"]: r["n"] or 0 for r in sized}
-    share = min(1.0, size.get(1, 0) / size[0]) if size.get(0) else 1.0
-    chosen = _sides(docs, target_ids, share).filter("side IS NOT NULL").select("side", "text")
-    # 2 x (2 x VOCABULARY + PAIRS) rows at most reach the driver
-    rows = chosen.mapInArrow(_count, "part int, slot int, n long").groupBy("part", "slot").agg(F.sum("n").alias("n")).toArrow()
-    models = {0: Counts(), 1: Counts()}
-    part, slot, n = (rows[c].to_numpy() for c in ("part", "slot", "n"))
-    for side, own in models.items():
-        for k, counts in enumerate((own.words, own.before, own.slots)):
-            pick = part == 3 * side + k
-            counts[slot[pick]] = n[pick]
-    return models, share
+    return texts.join(side, "doc_id", "left").select("doc_id", "text", F.coalesce("_target", F.lit(0)).alias("side"))
+
+
+def _attach(pairs: DataFrame, words: DataFrame, key: str, cut: int) -> DataFrame:
+    """``pairs`` with the counts of ``words``: by broadcast if there are few, else by a shuffle of all but those over ``cut``."""
+    if small_enough(words, BROADCAST_WORDS):
+        return pairs.join(F.broadcast(words), key)
+    size = F.col(words.columns[1]) + F.col(words.columns[2])
+    hot = F.broadcast(words.filter(size >= cut))
+    return pairs.join(hot, key).unionByName(pairs.join(hot, key, "left_anti").join(words.filter(size < cut), key))
+
+
+def train(sided: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, int]]:
+    """A row a pair (k, counts of it, its history and its word in both sets), and the totals t, b and vocabulary."""
+    counted = sided.select("side", "text").mapInArrow(_count, "h long, w long, t long, b long").groupBy("h", "w").agg(F.sum("t").alias("tp"), F.sum("b").alias("bp"))
+    pairs = scratch.keep(counted, "pairs")
+    words = scratch.keep(pairs.groupBy("w").agg(F.sum("tp").alias("tw"), F.sum("bp").alias("bw")), "words")
+    before = scratch.keep(pairs.groupBy("h").agg(F.sum("tp").alias("th"), F.sum("bp").alias("bh")), "histories")
+    totals = words.agg(F.coalesce(F.sum("tw"), F.lit(0)).alias("t"), F.coalesce(F.sum("bw"), F.lit(0)).alias("b"), F.greatest(F.count("*"), F.lit(1)).alias("vocabulary")).first().asDict()
+    totals["cut"] = max(2, -(-(totals["t"] + totals["b"]) // HOT_KEYS))
+    whole = _attach(_attach(pairs, words, "w", totals["cut"]), before, "h", totals["cut"])
+    return whole.select(_pair_key(F.col("h"), F.col("w")).alias("k"), "tp", "bp", "th", "bh", "tw", "bw"), totals
+
+
+def _ask(hot, totals: dict[str, int]):
+    """A row for each text (many -1, the losses of its broadcast pairs) and for each of its other pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("lm_scoring", _NUMBERS.clear)
+        keys, counts = hot.value
+        vocabulary = totals["vocabulary"]
+        for batch in batches:
+            out = []
+            for row, doc, text, side in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                ids = number(text)
+                before, n = history(ids), len(ids)
+                k, first, many = np.unique(pair_key(before, ids), return_index=True, return_counts=True)
+                own_h, own_w = (np.unique(x, return_inverse=True, return_counts=True) for x in (before, ids))
+                own_h, own_w = own_h[2][own_h[1]][first], own_w[2][own_w[1]][first]
+                at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+                met = keys[at] == k if len(keys) else np.zeros(len(k), bool)
+                sums = [0.0, 0.0]
+                for s, total in ((1, totals["t"]), (0, totals["b"])):
+                    p, h, w = counts[3 * (1 - s) : 3 * (1 - s) + 3, at[met]] if met.any() else np.zeros((3, 0), np.int64)
+                    if s == side:
+                        p, h, w, total = p - many[met], h - own_h[met], w - own_w[met], total - n
+                    sums[s] = float((many[met] * bits(p, h, w, total, vocabulary)).sum())
+                cold = ~met
+                size = int(cold.sum()) + 1
+                zeros = np.zeros(size)
+                zt, zb = zeros.copy(), zeros
+                zt[0], zb[0] = sums[1], sums[0]
+                out.append((
+                    np.full(size, row), pa.array([doc], pa.int64()).take(pa.array(np.zeros(size, np.int64))), np.full(size, 2 * n + side),
+                    np.concatenate([[xxhash.xxh3_64_intdigest(str(row)) >> 1], k[cold]]).astype(np.int64), np.concatenate([[-1], many[cold]]),
+                    np.concatenate([[0], (own_h[cold] << 31) | own_w[cold]]), zt, zb,
+                ))
+                if len(out) >= 500:
+                    yield _batch(out)
+                    out = []
+            if out:
+                yield _batch(out)
+
+    return run
+
+
+_ASKED = "row long, doc_id long, size_side long, k long, many long, own long, t double, b double"
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.concat_arrays([o[1] for o in out]) if c == 1 else pa.array(np.concatenate([o[c] for o in out])) for c in range(8)]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _ASKED.split(", ")])
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -130,23 +197,23 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark)
-    ids = scratch.keep(target_ids.select("doc_id").distinct(), "target")
-    models, share = train(docs, ids)
-    sent = spark.sparkContext.broadcast(models)  # arrays of fixed size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_caches("lm_scoring", _NUMBERS.clear)
-        target, background = sent.value[1], sent.value[0]
-        for batch in batches:
-            rows = []
-            for text, side in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = number(text.as_py())
-                if not len(words):
-                    rows.append((0, 0.0, 0.0, 0.0))
-                    continue
-                t, b = target.losses(words, side == 1), background.losses(words, side == 0)
-                rows.append((len(words), float(t.mean()), float(b.mean()), float((b - t).mean())))
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return _sides(docs, ids, share).mapInArrow(run, SCORES)
+    sided = _sides(docs, scratch.keep(target_ids.select("doc_id").distinct(), "target"))
+    model, totals = train(sided, scratch)
+    large = model.filter(F.col("tp") + F.col("bp") >= totals["cut"]).toArrow().sort_by("k")  # HOT_KEYS rows at most
+    hot = spark.sparkContext.broadcast((large["k"].to_numpy(), np.stack([large[c].to_numpy() for c in ("tp", "th", "tw", "bp", "bh", "bw")])))
+    asked = sided.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "side").mapInArrow(_ask(hot, totals), _ASKED)
+    cold = model.filter(F.col("tp") + F.col("bp") < totals["cut"])
+    n, side = F.shiftright("size_side", 1), F.col("size_side").bitwiseAND(F.lit(1))
+
+    def loss(s: str, own: Column) -> Column:
+        less = lambda c, x: F.col(c) - F.when(own, x).otherwise(F.lit(0))
+        each = bits(
+            less(f"{s}p", F.col("many")), less(f"{s}h", F.shiftright("own", 31)), less(f"{s}w", F.col("own").bitwiseAND(F.lit((1 << 31) - 1))),
+            F.lit(totals[s]) - F.when(own, n).otherwise(F.lit(0)), totals["vocabulary"], F.log2, lambda x, least: F.greatest(x, F.lit(least)),
+        )
+        return F.when(F.col("many") < 0, F.col(s)).otherwise(F.col("many") * each)
+
+    each = asked.join(cold, "k", "left").select("row", "doc_id", n.alias("n"), loss("t", side == 1).alias("t"), loss("b", side == 0).alias("b"))
+    sums = each.groupBy("row", "doc_id").agg(F.max("n").alias("n_words"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    mean = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
+    return sums.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), ((F.col("b") - F.col("t")) / F.greatest("n_words", F.lit(1))).alias("score"))

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from stationlens.llm import decontaminate, pii, toxicity, url_filter
+from stationlens.llm import decontaminate, lm_scoring, pii, toxicity, url_filter
 from stationlens.llm.fingerprint import fingerprints
 from stationlens.llm.lm_scoring import cross_entropy_difference
 from stationlens.llm.quality import estimate, pattern, quality
@@ -105,6 +108,50 @@ def test_lm_scores(spark):
     assert cross_entropy_difference(odd(spark), spark.createDataFrame([], "doc_id long")).count() == len(odd_rows())
 
 
+def lm_brute_force(rows, target):
+    norm = lambda t: [w.lower().strip(lm_scoring._STRIP) for w in (t or "").split()]
+    sides = {s: [norm(t) for i, t in rows if (i in target) == bool(s)] for s in (0, 1)}
+    vocabulary = len({w for s in sides.values() for t in s for w in t})
+    out = {}
+    for i, t in rows:
+        words, loss = norm(t), {}
+        for s in (0, 1):
+            texts = list(sides[s])
+            if (i in target) == bool(s):
+                texts.remove(words)
+            pair, before, word = Counter(), Counter(), Counter()
+            for x in texts:
+                word.update(x)
+                for h, w in zip([None, *x], x, strict=False):
+                    pair[h, w] += 1
+                    before[h] += 1
+            a, b, c = lm_scoring.WEIGHTS
+            loss[s] = sum(-math.log2(a * pair[h, w] / max(1, before[h]) + b * word[w] / max(1, word.total()) + c / vocabulary) for h, w in zip([None, *words], words, strict=False)) / max(1, len(words))
+        out[i] = (len(words), loss[1], loss[0])
+    return out
+
+
+@pytest.mark.parametrize(("hot", "few"), [(100_000, 1_000_000), (3, 1_000_000), (10, 0)])
+def test_lm_counts_are_those_of_all_pairs(spark, monkeypatch, hot, few):
+    monkeypatch.setattr(lm_scoring, "HOT_KEYS", hot)
+    monkeypatch.setattr(lm_scoring, "BROADCAST_WORDS", few)
+    rows = [(i, prose(30, i)) for i in range(30)] + [(40, None), (41, "a b a b a"), (42, "a b a b a"), (43, "alone")]
+    target = set(range(0, 30, 3)) | {41}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
+    want = lm_brute_force(rows, target)
+    assert len(got) == len(rows)
+    for i, (n, t, b) in want.items():
+        assert got[i].n_words == n and got[i].target_loss == pytest.approx(t) and got[i].background_loss == pytest.approx(b) and got[i].score == pytest.approx(b - t)
+
+
+def test_lm_pairs_do_not_share_counts():
+    docs = [" ".join(f"w{i}x{k}" for k in range(1000)) for i in range(1500)]  # more distinct pairs than 2^20
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(docs), pa.int32()), pa.array(docs)], ["side", "text"])
+    rows = pa.Table.from_batches(list(lm_scoring._count(iter([batch]))))
+    assert rows.num_rows == 1_500_000 and set(rows["b"].unique().to_pylist()) == {1}
+
+
 def test_estimate_finds_the_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(20000) < 0.8
