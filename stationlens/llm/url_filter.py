@@ -1,9 +1,10 @@
 """URL verdicts by rules and, where no rule fits, by a tree of path templates per host; DataFrame operations only.
 
 Paths are first reduced to shapes (numbers, hexadecimal keys and UUIDs become placeholders) and counted per host, so
-that a host with a third of all pages is a few rows from there on. Going down the tree, a node with many children
-gives its rare ones one wildcard, and literal siblings whose share of bad labels can't be told from their parent's
-share (two-sided z test) are merged. A template is rejected when its purity, the share of good labels smoothed
+that a host with a third of all pages is a few rows from there on. Going down the tree, siblings whose share of bad labels
+can't be told from their parent's share (two-sided z test) are merged: literal ones, and any rare ones of a node with many
+children. Its other rare ones are merged where their share can't be told from that of their median label; what differs from
+both keeps its name. Below ``DEEP`` levels only branches with both kinds of labels are followed. A template is rejected when its purity, the share of good labels smoothed
 towards its host's and that towards the share of all, is under ``PURITY``.
 """
 
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 from stationlens.llm.common import Scratch
 
-#: Levels of the tree; what lies deeper is one wildcard.
-MAX_DEPTH = 6
-#: A node with more children gives a wildcard to those with less than this share of its pages.
+#: From this level on a branch whose labels are all alike, or that is a single path, ends in one wildcard.
+DEEP = 6
+#: A node with more children may merge placeholders with less than this share of its pages, and such children among themselves.
 MANY_CHILDREN, RARE_SHARE = 12, 0.05
 #: Below this z, siblings are alike.
 SIMILAR_Z = 1.96
@@ -52,32 +53,50 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
 
 
 def shaped_segments(path: Column) -> Column:
-    """The path's segments with variable parts as placeholders; those below MAX_DEPTH are one."""
+    """The path's segments with variable parts as placeholders."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    shape = F.transform(
+    return F.transform(
         segments,
         lambda s: F.when(s.rlike("^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"), "{uuid}")
         .when(s.rlike("^(?=.*[0-9])[0-9a-fA-F]{12,}$"), "{hex}")
         .when(s.rlike("[0-9]"), F.regexp_replace(s, "[0-9]+", "{num}"))
         .otherwise(s),
     )
-    return F.when(F.size(shape) > MAX_DEPTH, F.concat(F.slice(shape, 1, MAX_DEPTH), F.array(F.lit("{rest}")))).otherwise(shape)
+
+
+def _ended(tree: DataFrame, d: int) -> DataFrame:
+    """Branches that go on below level ``d`` though their labels are all alike, or as a single path, end in one segment."""
+    below = tree.filter(F.size("segments") > d)
+    nodes = below.groupBy("host", "template").agg(F.count("*").alias("_paths"), F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
+    mixed = (F.col("_paths") > 1) & (F.col("_bad") > 0) & (F.col("_bad") < F.col("_labelled"))
+    ends = (F.size("segments") > d) & ~F.coalesce("_mixed", F.lit(False))
+    marked = tree.join(nodes.filter(mixed).select("host", "template", F.lit(True).alias("_mixed")), ["host", "template"], "left").withColumn("_ends", ends)
+    return marked.withColumn("template", F.when(F.col("_ends"), F.concat("template", F.lit("/{rest}"))).otherwise(F.col("template"))).withColumn("segments", F.when(F.col("_ends"), F.slice("segments", 1, d)).otherwise(F.col("segments"))).drop("_mixed", "_ends")
 
 
 def path_templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, segments, n, labelled, bad) -> the same with ``template``: the shape's place in its host's tree."""
+    scratch = Scratch(shapes.sparkSession)
     deepest = shapes.agg(F.max(F.size("segments"))).first()[0] or 0
     tree = shapes.withColumn("template", F.lit(""))
-    for d in range(min(deepest, MAX_DEPTH + 1)):
+    for d in range(deepest):
+        tree = scratch.keep(_ended(tree, d) if d >= DEEP else tree, f"level-{d}")  # each level reads it several times
+        scratch.drop(f"level-{d - 1}")
+        if d >= DEEP and not tree.filter(F.size("segments") > d).limit(1).count():
+            break
         tree = tree.withColumn("seg", F.get("segments", F.lit(d)))
         children = tree.filter("seg IS NOT NULL").groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
         parents = children.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         both = children.join(parents, ["host", "template"])
-        p = F.col("all_bad") / F.greatest("all_labelled", F.lit(1))
-        z = F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - p) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) / F.greatest("labelled", F.lit(1)))
+        many = F.greatest("labelled", F.lit(1))
+        near = lambda p: (F.col("labelled") == 0) | (F.abs(F.col("bad") / many - p) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) / many) < SIMILAR_Z)
         rare = (F.col("kids") > MANY_CHILDREN) & (F.col("n") < RARE_SHARE * F.col("all_n"))
-        alike = (F.col("kids") > 1) & ((F.col("labelled") == 0) | (z < SIMILAR_Z)) & ~F.col("seg").contains("{")
-        step = both.select("host", "template", "seg", F.when(rare | alike, "*").otherwise(F.col("seg")).alias("to"))
+        alike = (F.col("kids") > 1) & near(F.col("all_bad") / F.greatest("all_labelled", F.lit(1))) & (rare | ~F.col("seg").contains("{"))
+        both = both.withColumn("rare", rare & ~alike).withColumn("alike", alike)
+        # the share that half of the labels of the rare ones lie under, in thousandths, so that a node's state is of fixed size
+        middle = both.filter("rare").groupBy("host", "template").agg(F.expr("percentile(round(bad / labelled, 3), 0.5, labelled)").alias("middle"))
+        both = both.join(middle, ["host", "template"], "left")
+        step = both.select("host", "template", "seg", F.when(F.col("alike"), "*").when(F.col("rare") & near(F.col("middle")), "{rare}").otherwise(F.col("seg")).alias("to"))
         tree = tree.join(step, ["host", "template", "seg"], "left")
         tree = tree.withColumn("template", F.when(F.col("to").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "to"))).drop("to", "seg")
     return tree
