@@ -4,11 +4,13 @@ The test items are broadcast in blocks of bounded size; the documents are read o
 them each seed (an n-gram of an item) occurs, and once to find candidates: an item and a band of diagonals on which a
 document has ``RARE_HITS`` seeds that are rare in the corpus, or a share ``SHARE_HITS`` of the item's seeds, rare or not (as
 those of a passage that thousands of documents copy are not). The passage around a candidate is aligned with the item
-word by word; the score is the alignment's over that of the whole item against itself.
+word by word; the score is the alignment's over that of the whole item against itself. A character of a script without
+spaces is a word; what is empty without its punctuation is none. Items of fewer words than a seed are found by whole match.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,16 @@ SHARE_HITS, LEAST_HITS = 0.2, 3
 BAND = 32
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
-#: Items with fewer words count only where they are met whole; those with fewer than SEED_WORDS are not searched.
+#: Items with fewer words count only where they are met whole.
 SHORT_ITEM = 8
 #: A block of test items: words, at most (an item is never cut).
 BLOCK_WORDS = 2_000_000
 CACHE_ENTRIES = 200_000
 
-_STRIP = ".,;:!?\"'()[]{}<>|*#$%&@^~`+-=_/\\¿¡«»“”‘’…–—"
+_STRIP = ".,;:!?\"'()[]{}<>|*#$%&@^~`+-=_/\\¿¡«»“”‘’…–—。，、！？；：「」『』（）・"
+#: Han, kana, Thai, Lao, Burmese, Khmer.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ONE, _PARTS = re.compile(f"[{_UNSPACED}]"), re.compile(f"[{_UNSPACED}]|[^{_UNSPACED}]+")
 FOUND = "doc_id long, item_id long, score double, matched int, first_word long, last_word long"
 
 
@@ -39,18 +44,36 @@ def normal(chunk: str) -> str:
     return chunk.lower().strip(_STRIP)
 
 
+def cut(text: str | None) -> tuple[list[str], np.ndarray | None]:
+    """The chunks of a text, and the whitespace word each is of where that is not its own place."""
+    chunks = text.split() if text else []
+    if not chunks or text.isascii() or not _ONE.search(text):
+        return chunks, None
+    parts = [_PARTS.findall(c) for c in chunks]
+    return [p for own in parts for p in own], np.repeat(np.arange(len(parts)), [len(own) for own in parts])
+
+
 class Items:
     """A block of test items: their words as numbers from 1, and their seeds with postings."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
         self.vocabulary: dict[str, int] = {}
         self.ids, self.words = [], []
+        short: list[tuple[int, np.ndarray]] = []
         for item, text in items:
-            words = [w for w in map(normal, (text or "").split()) if w]
+            words = [w for w in map(normal, cut(text)[0]) if w]
+            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
             if len(words) >= SEED_WORDS:
                 self.ids.append(item)
-                self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
+                self.words.append(numbers)
+            elif len(words):
+                short.append((item, numbers))
         self.base = len(self.vocabulary) + 1
+        #: By number of words: key of the whole item -> its ids.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for item, numbers in short:
+            self.short.setdefault(len(numbers), {}).setdefault(int(self.keys(numbers, len(numbers))[0]), []).append(item)
+        self.short_keys = {n: np.sort(np.fromiter(own, np.int64, len(own))) for n, own in self.short.items()}
         own = [self.keys(w) for w in self.words]
         flat = np.concatenate(own) if own else np.empty(0, np.int64)
         item = np.repeat(np.arange(len(own)), [len(x) for x in own])
@@ -62,13 +85,25 @@ class Items:
         self.n_seeds = np.array([len(x) for x in own], np.int64)
         self.rare = np.ones(len(self.seeds), bool)
 
-    def keys(self, ids: np.ndarray) -> np.ndarray:
-        many = len(ids) - SEED_WORDS + 1
-        out = np.zeros(max(0, many), np.int64)
-        for k in range(SEED_WORDS):
+    def keys(self, ids: np.ndarray, size: int = SEED_WORDS) -> np.ndarray:
+        many = max(0, len(ids) - size + 1)
+        out = np.zeros(many, np.int64)
+        for k in range(size):
             out = out * self.base + ids[k : k + many]
         return out
 
+    def whole(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, words, place) of the items too short for a seed, at their first place."""
+        out = []
+        for n, own in self.short_keys.items():
+            key = self.keys(ids, n)
+            for k in range(n):
+                key[ids[k : k + len(key)] == 0] = -1
+            place = np.flatnonzero(own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key)
+            met, first = np.unique(key[place], return_index=True)
+            out += [(item, n, int(place[f])) for k, f in zip(met, first, strict=True) for item in self.short[n][int(k)]]
+        return out
+
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, seed) of the seeds among a document's words; 0 is a word of no item."""
         if len(ids) < SEED_WORDS or not len(self.seeds):
@@ -120,23 +155,31 @@ class Finder(dict):
         self.items = items
 
     def __missing__(self, chunk: str) -> int:
-        n = self.items.vocabulary.get(normal(chunk), 0)
+        word = normal(chunk)
+        n = self.items.vocabulary.get(word, 0) if word else -1
         if len(chunk) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[chunk] = n
         return n
 
-    def number(self, text: str | None) -> np.ndarray:
-        words = text.split() if text else []
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def number(self, text: str | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Numbers of the words, and the whitespace word each is of where that is not its own place."""
+        chunks, owner = cut(text)
+        ids = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        if len(ids) and ids.min() < 0:
+            kept = np.flatnonzero(ids >= 0)
+            return ids[kept], kept if owner is None else owner[kept]
+        return ids, owner
 
     def find(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int, int]]:
         it = self.items
-        ids = self.number(text)
+        ids, owner = self.number(text)
         at, seed = it.hits(ids)
+        word = (lambda k: k) if owner is None else (lambda k: int(owner[k]))
+        found = [(item, 1.0, n, word(p), word(p + n - 1)) for item, n, p in it.whole(ids)] if it.short else []
         if len(at) < 1:
-            return []
+            return found
         many = it.end[seed] - it.start[seed]
         first = np.repeat(it.start[seed], many)
         post = first + np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
@@ -166,14 +209,14 @@ class Finder(dict):
                     share = score / (MATCH * len(words))
                     if share >= (1.0 if len(words) < SHORT_ITEM else threshold) and share > best.get(k, (0.0,))[0]:
                         best[k] = (share, matched, lo + a, lo + b)
-        return [(it.ids[k], *found) for k, found in sorted(best.items())]
+        return found + [(it.ids[k], share, matched, word(a), word(b)) for k, (share, matched, a, b) in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
     block, words = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
         block.append((row[0], row[1]))
-        words += len((row[1] or "").split())
+        words += len(cut(row[1])[0])
         if words >= BLOCK_WORDS:
             yield block
             block, words = [], 0
@@ -188,7 +231,7 @@ def _count_seeds(items):
         counts = np.zeros(len(finder.items.seeds), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                counts[np.unique(finder.items.hits(finder.number(text.as_py()))[1])] += 1
+                counts[np.unique(finder.items.hits(finder.number(text.as_py())[0])[1])] += 1
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["seed", "n"])
 
@@ -214,6 +257,8 @@ def _prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[object]:
     for block in _blocks(benchmark):
         items = Items(block)
         if not len(items.seeds):
+            if items.short:
+                yield spark.sparkContext.broadcast(items)
             continue
         total = texts.count() if total is None else total
         sent = spark.sparkContext.broadcast(items)
