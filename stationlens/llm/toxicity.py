@@ -2,7 +2,8 @@
 
 Inputs of a step are a word and its characters: a learned word vector, the mean of learned vectors of the word's
 character n-grams (with its start and end marked), and the log-odds of word and n-grams among the labelled training
-documents (from the other folds while training, so that they don't repeat a document's own label). A text is cut into
+documents (from the other folds while training, so that they don't repeat a document's own label). A chunk of more than
+``WORD_CHARS`` characters is cut at marks inside it, and what is still longer into overlapping runs. A text is cut into
 overlapping windows of words, all of which are scored; training sees each document as a bag whose highest window
 carries the label. A logistic layer over the highest, the mean of the three highest and the mean of all window scores,
 fitted on documents the network has not seen and weighted to the share of toxic labels, gives a probability.
@@ -13,6 +14,7 @@ a document, lowest hashes of the id first); scoring is one narrow pass over whol
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,8 +39,10 @@ THRESHOLD = 0.3
 LEAST_STEPS = 150
 #: Of either label, that many unseen documents at least fit the last layer.
 LEAST_HELD = 20
-#: Distinct words a worker keeps projected; longer chunks share their first and last characters' n-grams.
-CACHE_ROWS, WORD_CHARS = 150_000, 24
+#: Distinct words a worker keeps projected.
+CACHE_ROWS = 150_000
+#: Characters of a word, at most; runs of a longer one start so many apart, so that its n-grams are whole in one of them.
+WORD_CHARS, RUN_STRIDE = 24, 18
 
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&@^~`+-=_/\\0123456789¿¡«»“”‘’…–—"
 
@@ -47,12 +51,27 @@ def normal(chunk: str) -> str:
     return chunk.lower().strip(_STRIP)
 
 
+_GLUE = re.compile(r"[.,;:!?\"'()\[\]{}<>|*#$%&@^~`+\-=_/\\¿¡«»“”‘’…–—。，、！？；：「」『』（）\u00ad\u200b-\u200f\u2060\ufeff]+")
+
+
+def steps(text: str | None) -> list[str]:
+    """The words of a text; those of a long chunk are its parts between marks, in overlapping runs where they are long as well."""
+    out: list[str] = []
+    for chunk in text.split() if text else []:
+        if len(chunk) <= WORD_CHARS:
+            out.append(chunk)
+            continue
+        parts = [p for p in _GLUE.split(chunk) if p]
+        for part in parts or [""]:
+            n = len(part) - WORD_CHARS
+            out += [part] if n <= 0 else [part[s : s + WORD_CHARS] for s in (*range(0, n, RUN_STRIDE), n)]
+    return out
+
+
 def grams(word: str) -> list[str]:
     """Marked character n-grams: starts of 3 to 5 characters, the end, and all inner runs of four."""
     if not word:
         return []
-    if len(word) > WORD_CHARS:
-        word = word[: WORD_CHARS // 2] + word[-WORD_CHARS // 2 :]
     marked = f"^{word}$"
     return [marked[:4], marked[:5], marked[:6], *[marked[i : i + 4] for i in range(1, len(marked) - 3)]]
 
@@ -427,7 +446,7 @@ class Scorer(dict):
             return np.full(len(texts), self.model.prior)
         if self.known > CACHE_ROWS:
             self.reset()
-        chunks = [t.split() if t else [] for t in texts]
+        chunks = [steps(t) for t in texts]
         ids = [np.fromiter(map(self.__getitem__, c or [""]), np.int64) for c in chunks]
         self.project()
         cuts = [windows(len(x)) for x in ids]
@@ -457,7 +476,7 @@ def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = []
         for text in batch.column(1).to_pylist():
-            words = [normal(c) for c in (text or "").split()]
+            words = [normal(c) for c in steps(text)]
             cuts = windows(len(words))
             if len(cuts) > TRAIN_WINDOWS:
                 cuts = [cuts[round(k * (len(cuts) - 1) / (TRAIN_WINDOWS - 1))] for k in range(TRAIN_WINDOWS)]
