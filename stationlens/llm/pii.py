@@ -37,11 +37,11 @@ PHONE = r"(?<![\w+])(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"
 CARD = r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-])"
-SECRET = r"""(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])|(?<=(?:token|TOKEN|password|PASSWORD|secret|SECRET|api_key|API_KEY)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_/+-]{8,64}(?![\p{L}\p{N}])"""
+SECRET = r"""(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])|(?<=(?i:token|password|secret|api_key)\s{0,2}[=:]\s{0,2}["']?)(?=[\p{L}\p{N}_/+-][\p{L}\p{N}_/+.=-]{6,}[\p{L}\p{N}_/+=-])[\p{L}\p{N}_/+-]++(?:[.=]++[\p{L}\p{N}_/+-]++)*+=*+"""
 NAME = rf"(?<!\p{{L}})(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
 PATTERN = "|".join([EMAIL, IP, PHONE, SSN, CARD, SECRET, NAME])
 #: Texts without any of these hold no entity.
-HINT = rf"[0-9@]|(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? \p{{Lu}}|(?:token|TOKEN|password|PASSWORD|secret|SECRET|api_key|API_KEY)\s{{0,2}}[=:]"
+HINT = rf"[0-9@]|(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? \p{{Lu}}|(?i:token|password|secret|api_key)\s{{0,2}}[=:]"
 
 
 def mentions(text: Column) -> Column:
@@ -55,7 +55,7 @@ def kind(m: Column) -> Column:
         F.when(m.contains("@"), "email")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike(r"^(\+|\()|^\d{3}-\d{3}-\d{4}$"), "phone")
+        .when(m.rlike(r"^[+(][\d(). -]+$|^\d{3}-\d{3}-\d{4}$"), "phone")
         .when(m.rlike(r"^[\d -]{13,19}$"), "card")
         .when(m.rlike(r"^[\p{L}-]+\.? \p{Lu}"), "name")
         .otherwise("secret")
@@ -158,7 +158,8 @@ def surrogate(type_: Column, norm: Column, attempt: Column, key: str = KEY) -> C
             lambda c, i: F.when((i < 4) & norm.startswith("AKIA"), c)
             .when(c.rlike("[0-9]"), _draw(seed, i, 10).cast("string"))
             .when(c.rlike("[A-Z]"), F.upper(F.substr(F.lit(LATIN), (_draw(seed, i, 26) + 1).cast("int"), F.lit(1))))
-            .when(c.rlike("[a-z]"), F.substr(F.lit(LATIN), (_draw(seed, i, 26) + 1).cast("int"), F.lit(1)))
+            .when(c.rlike(r"\p{L}"), F.substr(F.lit(LATIN), (_draw(seed, i, 26) + 1).cast("int"), F.lit(1)))
+            .when(c.rlike(r"\p{N}"), _draw(seed, i, 10).cast("string"))
             .otherwise(c),
         ),
         "",
