@@ -181,6 +181,12 @@ def dead_letter(spark, sf_dir):
     return plain(letters.filter((F.col("record_key") != F.col("raw_sha256")) | (F.col("raw_fragment") == "{not json")).select("input_offset", "error_codes", "record_key"))
 
 
+@query()
+def dead_letter_all(spark, sf_dir):
+    """All dead letters; SQL has no hash of the JSON text, which is the key of those that came without one, so that ``dead_letter`` leaves them out."""
+    return plain(dead_letters(parse_observations(_records(spark, sf_dir))).select("input_offset", "error_codes", "record_key"))
+
+
 def _raw_time() -> Column:
     n, now = F.col("event_id") % 9, F.unix_timestamp("event_time")
     return F.when(n == 1, F.lit(86400)).when(n == 2, F.lit(1000)).when(n == 3, now + 301).when(n != 0, now - F.col("source_age_seconds")).cast("bigint")
@@ -588,6 +594,14 @@ def stream_alerts(spark, sf_dir):
     return plain(out.filter("event_type <> 'ALERT_UPDATED'").select(*_LIFE))
 
 
+@query()
+def stream_alerts_all(spark, sf_dir):
+    """All alert events of the stream, updates included."""
+    from stationlens.streaming.processors import alert_events
+
+    return plain(_drain(spark, alert_events(_state_documents(_stream(spark, sf_dir)), CONFIG, SOURCE), "update", "alerts-all").select(*_LIFE))
+
+
 @query()
 def alert_replay(spark, sf_dir):
     """All lifecycle events, updates included, by the machine over sorted partitions."""
