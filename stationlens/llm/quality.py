@@ -3,8 +3,8 @@
 Each labeller votes good, bad or not at all on a text's form. How often each vote occurs among good and bad texts is
 estimated by expectation-maximisation over the counts of vote patterns of all documents (at most 3 to the number of
 labellers, whatever the corpus); the posterior of a pattern is the label that a linear scorer over hashed words, their
-shapes and the text's measures is trained on. The scorer learns from a bounded sample (``SAMPLE_DOCS``, lowest hashes of the
-text first); statistics of the votes cover all documents, and whole texts are scored.
+shapes and the text's measures is trained on. The scorer learns from a bounded sample of distinct texts (2 x ``SAMPLE_DOCS``,
+lowest hashes first, weighted by 1 + the logarithm of their copies, so that no text drowns the rest); statistics of the votes cover all documents, and whole texts are scored.
 """
 
 from __future__ import annotations
@@ -138,14 +138,14 @@ def features(text: str | None, m: list[float]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([at, own]), np.concatenate([4 * n / len(words), np.ones(len(own))])
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Logistic weights and bias by adaptive gradient steps on soft labels."""
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, weight: np.ndarray, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Logistic weights and bias by adaptive gradient steps on soft labels of weighted rows."""
     w, b, past = np.zeros(FEATURES), 0.0, np.full(FEATURES, 1e-6)
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
             at, x = rows[i]
-            g = 1 / (1 + np.exp(-np.clip(w[at] @ x + b, -30, 30))) - good[i]
+            g = weight[i] * (1 / (1 + np.exp(-np.clip(w[at] @ x + b, -30, 30))) - good[i])
             step = g * x + DECAY * w[at]
             past[at] += step * step
             w[at] -= RATE * step / np.sqrt(past[at])
@@ -171,7 +171,17 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, x = features(t, m)
             out.append((pattern(votes(m)), at.tolist(), x.tolist()))
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.list_(pa.float64()))], ["pattern", "at", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.list_(pa.float64())), batch.column(1)], ["pattern", "at", "x", "n"])
+
+
+def sampled(texts: DataFrame) -> DataFrame:
+    """(text, n): the distinct texts of the lowest hashes, with their copies; ``2 * SAMPLE_DOCS`` at most."""
+    known = texts.filter("text IS NOT NULL")
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    # a first cut at four times the share that is needed, as the number of distinct texts is an estimate
+    many = known.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
+    cut = int(min(1.0, 8 * SAMPLE_DOCS / max(1, many)) * (1 << 40))
+    return known.filter(place <= cut).groupBy("text").agg(F.count("*").alias("n")).orderBy(place, "text").limit(2 * SAMPLE_DOCS)
 
 
 def fit(docs: DataFrame) -> Model | None:
@@ -184,11 +194,9 @@ def fit(docs: DataFrame) -> Model | None:
     codes, counts = rows["pattern"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(float)
     good, table = estimate(codes, counts, LABELLERS)
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
-    share = min(1.0, 1.5 * SAMPLE_DOCS / counts.sum())
-    chosen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE_DOCS)
-    sample = chosen.mapInArrow(_sample, "pattern int, at array<long>, x array<double>").toArrow().slice(0, 2 * SAMPLE_DOCS)
+    sample = sampled(texts).mapInArrow(_sample, "pattern int, at array<long>, x array<double>, n long").toArrow()
     parts = [(np.array(a, np.int64), np.array(x)) for a, x in zip(sample["at"].to_pylist(), sample["x"].to_pylist(), strict=True)]
-    w, b = fit_scorer(parts, np.array([posterior.get(p, 0.5) for p in sample["pattern"].to_pylist()]))
+    w, b = fit_scorer(parts, np.array([posterior.get(p, 0.5) for p in sample["pattern"].to_pylist()]), 1 + np.log(sample["n"].to_numpy()))
     return Model(w, b, table, posterior)
 
 
