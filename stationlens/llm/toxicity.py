@@ -8,8 +8,8 @@ overlapping windows of words, all of which are scored; training sees each docume
 carries the label. A logistic layer over the highest, the mean of the three highest and the mean of all window scores,
 fitted on documents the network has not seen and weighted to the share of toxic labels, gives a probability.
 
-The network is fitted on a bounded sample of labelled documents (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN``, ``TRAIN_WINDOWS``
-a document, lowest hashes of the id first); scoring is one narrow pass over whole texts.
+The network is fitted on a bounded sample of labelled documents (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN``,
+lowest hashes of the id first), on all their windows; scoring is one narrow pass over whole texts.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from stationlens.llm.common import own_caches, prepare
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
-TRAIN_WINDOWS = 8
 WINDOW, STRIDE = 64, 48
 #: Entries of the vocabularies, at most; rarer ones (documents) are unknown.
 MAX_WORDS, MAX_GRAMS, LEAST_DOCS = 30_000, 30_000, 3
@@ -477,10 +476,7 @@ def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = []
         for text in batch.column(1).to_pylist():
             words = [normal(c) for c in steps(text)]
-            cuts = windows(len(words))
-            if len(cuts) > TRAIN_WINDOWS:
-                cuts = [cuts[round(k * (len(cuts) - 1) / (TRAIN_WINDOWS - 1))] for k in range(TRAIN_WINDOWS)]
-            bags.append([" ".join(w or "_" for w in words[s:e]) for s, e in cuts])
+            bags.append([" ".join(w or "_" for w in words[s:e]) for s, e in windows(len(words))])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.list_(pa.string())), batch.column(2)], ["doc_id", "bag", "toxic"])
 
 

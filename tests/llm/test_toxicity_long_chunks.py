@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from stationlens.llm import toxicity
@@ -31,3 +32,10 @@ def test_toxic_passage_in_a_text_without_spaces(spark, glue):
     toxic = clean[:30] + INSULTS * 3 + clean[30:]
     a, b = toxicity.scorer(test_toxic_passage_in_a_text_without_spaces.model).scores([glue.join(clean), glue.join(toxic)])
     assert b > a + 0.2 and b >= toxicity.THRESHOLD
+
+
+def test_training_sees_all_words_of_a_long_document():
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}x" for k in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(words)]), pa.array([1])], ["doc_id", "text", "toxic"])
+    (bag,) = next(toxicity._cut_windows(iter([batch]))).column(1).to_pylist()
+    assert len(bag) == len(toxicity.windows(5000)) and {w for win in bag for w in win.split()} == set(words)
