@@ -5,16 +5,20 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
+import os
+import pickle
+import traceback
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from stationlens.session import ship
+from stationlens.session import delete, ship, work_dir
 
 
 #: Rows and bytes of an Arrow batch: texts are long rows, and a batch is held by the executor and its worker.
@@ -32,16 +36,6 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="stationlens-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder so that a lost executor costs one stage, not the lineage.
 
@@ -53,25 +47,16 @@ class Scratch:
         self.spark, self.paths = spark, {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/llm/{name}-{uuid.uuid4().hex}"
+        path = f"{work_dir(self.spark)}/llm/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         self.paths.setdefault(name, []).append(path)
-        atexit.register(_delete, self.spark, path)
+        atexit.register(delete, self.spark, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names or list(self.paths):
             for path in self.paths.pop(name, []):
-                _delete(self.spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session is gone: the folder's owner cleans it
-        pass
+                delete(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +68,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of ``columns`` (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a written table has at most so many rows; asked before it is broadcast."""
     return df.limit(rows + 1).count() <= rows
@@ -94,6 +87,57 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str, rows: int = 1_000_000) -
     return df.join(side, key, "left_semi")
 
 
+def in_one_task(rows: DataFrame, make: Callable[[pa.Table], object]) -> object:
+    """What ``make`` returns for all of ``rows`` (a bounded sample or table of statistics), worked out by one task.
+
+    So neither the rows nor what training leaves behind are held by the driver, and a lost executor costs the task. The
+    work is done by a child of the task's worker, as a worker lives on and may keep memory that it has freed.
+    """
+    schema = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("one task", int)
+        made = _by_a_child(make, pa.Table.from_batches([b.cast(schema) for b in batches], schema))
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["made"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "made binary").first()["made"])
+
+
+def _by_a_child(make: Callable[[pa.Table], object], table: pa.Table) -> bytes:
+    """``make(table)``, pickled, from a process of its own."""
+    read, write = os.pipe()
+    child = os.fork()
+    if not child:
+        status = 1
+        try:
+            os.close(read)
+            with os.fdopen(write, "wb") as out:
+                try:
+                    out.write(pickle.dumps(make(table)))
+                    status = 0
+                except BaseException:  # noqa: BLE001  told to the parent
+                    out.write(traceback.format_exc().encode())
+        finally:
+            os._exit(status)
+    os.close(write)
+    with os.fdopen(read, "rb") as said:
+        made = said.read()
+    if os.waitpid(child, 0)[1]:
+        raise RuntimeError(f"the work of one task failed: {made.decode(errors='replace')}")
+    return made
+
+
+def in_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts have so many bytes together (or are one row), so that work on them stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 _OWNER: dict[str, Callable[[], object]] = {}
 #: Returns free heap pages; only the GNU C library has it.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)

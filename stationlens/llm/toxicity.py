@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlens.llm.common import own_caches, prepare
+from stationlens.llm.common import in_one_task, own_caches, prepare
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
 WINDOW, STRIDE = 64, 48
@@ -493,10 +493,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     first = lambda k, n: known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(1, SAMPLE_TOXIC).unionByName(first(0, SAMPLE_CLEAN))  # so few rows that they can be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_cut_windows, "doc_id long, bag array<string>, toxic long").toArrow().sort_by([("doc_id", "ascending")])
-    ids: dict[str, int] = {}
-    bags = [[np.array([ids.setdefault(w, len(ids)) for w in win.as_py().split(" ")], np.int64) for win in bag] for bag in rows["bag"]]
-    return train(list(ids), bags, rows["toxic"].to_pylist(), share)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_cut_windows, "doc_id long, bag array<string>, toxic long")
+
+    def learn(table: pa.Table) -> Model:
+        own_caches("toxicity", _SCORERS.clear)
+        table = table.sort_by([("doc_id", "ascending")])
+        ids: dict[str, int] = {}
+        bags = [[np.array([ids.setdefault(w, len(ids)) for w in win.as_py().split(" ")], np.int64) for win in bag] for bag in table["bag"]]
+        return train(list(ids), bags, table["toxic"].to_pylist(), share)
+
+    return in_one_task(rows, learn)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
