@@ -1,9 +1,11 @@
 """Exact set-similarity join of documents on word shingles, and the classes its links make.
 
 Size-banded tiles. Band boundaries grow by half; a document signs its own band, and the next one if a partner there
-can still be similar enough. Within a band two linked sets differ in at most k shingles (k follows from the band's
-upper size and the threshold), so with the shingles dealt by hash into k + 1 parts at least one part is the same in
-both: a tile is the set of documents that agree on one part. Tiles lose no link and hold few strangers.
+can still be similar enough. A set can differ from a linked one in at most k shingles (k follows from its size, the
+band's upper size and the threshold). The shingles are dealt by hash into somewhat more than k parts; if more than k of a set's parts
+are filled, any linked set agrees with it on a filled one. A set with too few filled parts signs more finely cut
+levels as well until one has enough, so two linked sets always meet on the first level that is enough for either. A tile is the set of documents
+that agree on one filled part: tiles lose no link, and no part without shingles ever joins strangers.
 
 Equal sets count once. Each tile first links its members to its smallest one (no pairs among the rest); members that
 are in one class by then need no comparison. What is left is compared block by block: hashed bitmaps, as wide as the
@@ -22,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlens.llm.common import Scratch, own_caches, semi_by_id, small_enough
+from stationlens.llm.common import Scratch, in_slices, own_caches, semi_by_id, small_enough
 from stationlens.llm.components import components
 
-#: Parts beyond k + 1, so that a document with a few empty parts still shares a filled one.
-SPARE_PARTS = 2
+#: Parts beyond k + 1 on the first level: some, and one in so many, as about one in seventy is empty in a set of the largest size.
+SPARE_PARTS, SPARE_SHARE = 2, 24
+#: A set with more than 1 in so many of all copies, and more than ``LARGE_ROWS``, is led by broadcast.
+LARGE_SETS, LARGE_ROWS = 10_000, 200
 #: Members of a block and shingles in a block, at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 21
 CACHE_ENTRIES = 100_000
@@ -97,12 +101,17 @@ class Bands:
         """Shingles in which two linked sets of sizes below ``upper`` can differ."""
         return 2 * (upper - 1) * (self.den - self.num) // (self.den + self.num)
 
+    def differences(self, sizes: np.ndarray, upper: np.ndarray) -> np.ndarray:
+        """Shingles in which sets of these sizes can differ from any linked one of their band."""
+        reach = sizes + sizes * self.den // self.num
+        return np.minimum(self.allowed(upper), reach * (self.den - self.num) // (self.den + self.num))
+
     def linked(self, overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.den * overlap >= self.num * (a + b - overlap)
 
 
 def part_keys(flat: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, key) of every filled part of every band that a document signs."""
+    """(document index, key) of every filled part of every band and level that a document signs."""
     band, edges = bands.of(sizes)
     out_doc, out_key = [], []
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -111,26 +120,29 @@ def part_keys(flat: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.nda
         mine = band + step
         upper = edges[np.minimum(mine + 1, len(edges) - 1)]
         k = bands.allowed(upper)
+        need = bands.differences(sizes, upper) + 1
         signs = (sizes > 0) & (k > 0)
         if step:  # a partner in the next band has at least that band's lower bound
             signs &= bands.den * sizes >= bands.num * edges[mine]
-        parts = np.where(signs, k + 1 + SPARE_PARTS, 0)
-        base = np.cumsum(parts) - parts
-        use = signs[owner]
-        if not use.any():
-            continue
-        who, some = owner[use], flat[use]
-        slot = base[who] + ((mix(some + mine[who].astype(np.uint64) * _C) >> np.uint64(20)) % parts[who].astype(np.uint64)).astype(np.int64)
-        total = int(parts.sum())
-        filled = np.bincount(slot, minlength=total) > 0
-        sums = [np.bincount(slot, weights=w[use], minlength=total).astype(np.uint64) for w in (low, high)]
-        doc = np.repeat(np.arange(len(sizes)), parts)
-        part = (np.arange(total) - base[doc]).astype(np.uint64)
-        key = mix(mix(sums[0] * _A + sums[1]) + part * _B + mine[doc].astype(np.uint64) * _C)
-        empty = np.bincount(doc[~filled], minlength=len(sizes))
-        emits = filled | (empty > SPARE_PARTS)[doc]  # too many empty parts: these count as parts, too
-        out_doc.append(doc[emits])
-        out_key.append(key[emits])
+        level = 0
+        while signs.any():
+            salt = mine.astype(np.uint64) * _C + mix(np.full(1, level, np.uint64))
+            cut = (k + 1) * (1 << level) + (k // SPARE_SHARE if level == 0 else 0) + SPARE_PARTS
+            parts = np.where(signs, cut, 0)
+            base = np.cumsum(parts) - parts
+            use = signs[owner]
+            who, some = owner[use], flat[use]
+            slot = base[who] + ((mix(some + salt[who]) >> np.uint64(20)) % parts[who].astype(np.uint64)).astype(np.int64)
+            total = int(parts.sum())
+            filled = np.bincount(slot, minlength=total) > 0
+            sums = [np.bincount(slot, weights=w[use], minlength=total).astype(np.uint64) for w in (low, high)]
+            doc = np.repeat(np.arange(len(sizes)), parts)
+            part = (np.arange(total) - base[doc]).astype(np.uint64)
+            key = mix(mix(sums[0] * _A + sums[1]) + part * _B + salt[doc])
+            out_doc.append(doc[filled])
+            out_key.append(key[filled])
+            signs = signs & (np.bincount(doc[filled], minlength=len(sizes)) < need)
+            level += 1
     if not out_doc:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     docs, keys = np.concatenate(out_doc), np.concatenate(out_key)
@@ -164,8 +176,7 @@ def _signatures(size: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_caches("jaccard", _WORDS.clear)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in in_slices(whole, 1):
                 sets = [shingles(t.as_py(), size) for t in batch.column(1)]
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -186,9 +197,10 @@ def _signatures(size: int, bands: Bands):
 def _members(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_caches("jaccard", _WORDS.clear)
-        for batch in batches:
-            sets = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "members"])
+        for whole in batches:
+            for batch in in_slices(whole, 1):
+                sets = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "members"])
 
     return run
 
@@ -331,8 +343,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     signed = scratch.keep(texts.mapInArrow(_signatures(size, bands), "doc_id long, n long, h1 long, h2 long, keys array<long>, bits binary"), "signed")
 
     # equal sets: one representative each, by a pre-aggregated minimum
-    sets = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    rows = scratch.keep(signed.select("doc_id", "n", "h1", "h2").join(sets, ["h1", "h2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "rows")
+    full = signed.filter("n > 0 AND doc_id IS NOT NULL")
+    sets = scratch.keep(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")).filter("many > 1"), "sets")
+    narrow, whose = signed.select("doc_id", "n", "h1", "h2"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")
+    # sets with very many copies are broadcast (there are few), so that no task gets all rows of one
+    large = F.col("many") > max(LARGE_ROWS, (sets.agg(F.sum("many")).first()[0] or 0) // LARGE_SETS)
+    led = narrow.join(F.broadcast(sets.filter(large).select("h1", "h2", "n", F.col("rep").alias("_lead"))), ["h1", "h2", "n"], "left")
+    some = led.filter("_lead IS NULL").drop("_lead").join(sets.filter(~large).drop("many"), ["h1", "h2", "n"], "left")
+    rows = scratch.keep(some.select("doc_id", "n", whose).unionByName(led.filter("_lead IS NOT NULL").withColumnRenamed("_lead", "rep").select("doc_id", "n", whose)), "rows")
     copies = rows.filter("doc_id <> rep").select("doc_id").distinct()
     own = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "keys").join(F.broadcast(copies) if small_enough(copies, 1_000_000) else copies, "doc_id", "left_anti")
     signs = own.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
