@@ -54,10 +54,18 @@ def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: The session setting that names the key of the surrogates, and the key of tests and registered queries where it is unset.
+PII_KEY_SETTING, PII_TEST_KEY = "spark.stationlens.piiKey", "for tests only"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_KEY_SETTING, PII_TEST_KEY)
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stationlens.llm.pii import replace_entities
 
-    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 #: The rules of the URL query: (verdict, host and path).

@@ -24,7 +24,7 @@ SECRETS = [("hash ", drawn("0123456789abcdef", 128)), ("Password: ", drawn(ALNUM
 @pytest.fixture(scope="module")
 def replaced(spark):
     rows = [(i, f"see {label}{secret}. Then on") for i, (label, secret) in enumerate(SECRETS)]
-    return {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
 
 
 @pytest.mark.parametrize("i", range(len(SECRETS)))

@@ -17,6 +17,7 @@ from stationlens.llm.quality import estimate, pattern, quality
 from stationlens.llm.queries import URL_RULES
 from tests.llm.helpers import none, odd, odd_rows, prose
 
+KEY = "a key of the tests"
 INSULTS = ["dolt", "oafish", "blockhead", "numbskull"]
 
 
@@ -205,7 +206,7 @@ def luhn(digits: str) -> bool:
 
 
 def test_surrogates_keep_type_and_coreference(spark):
-    r = pii.replace_entities(spark.createDataFrame([(1, PRIVATE)], "doc_id long, text string")).first()
+    r = pii.replace_entities(spark.createDataFrame([(1, PRIVATE)], "doc_id long, text string"), KEY).first()
     t = r.text
     for real in ("Olm", "668", "4111", " 1.2.3.4 ", "11.2.3.45", "04dbebab", "AKIAMD", "Byron", "Petrov", "Каренина", "123-45"):
         assert real not in t
@@ -224,7 +225,7 @@ def test_surrogates_keep_type_and_coreference(spark):
 
 def test_surrogates_are_distinct(spark):
     rows = [(i, f"mail a{i}@x.example.org from 10.0.{i // 256}.{i % 256}") for i in range(600)]
-    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
     assert len({r.text.split()[1] for r in got}) == 600 and len({r.text.split()[3] for r in got}) == 600
     assert not {r.text.split()[1] for r in got} & {t.split()[1] for _, t in rows}
 
@@ -232,19 +233,58 @@ def test_surrogates_are_distinct(spark):
 def test_redrawn_entities_by_map_and_by_join(spark, monkeypatch):
     rows = [(i, f"to {c}@x.example.org now") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(99, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    by_map = {r.doc_id: r.text for r in pii.replace_entities(docs).collect()}
+    by_map = {r.doc_id: r.text for r in pii.replace_entities(docs, KEY).collect()}
     monkeypatch.setattr(pii, "MAP_ENTRIES", 0)
-    by_join = {r.doc_id: r.text for r in pii.replace_entities(docs).collect()}
+    by_join = {r.doc_id: r.text for r in pii.replace_entities(docs, KEY).collect()}
     assert by_map == by_join and len(set(by_map.values())) == 27
 
 
 def test_surrogates_of_odd_rows(spark):
-    got = pii.replace_entities(odd(spark))
+    got = pii.replace_entities(odd(spark), KEY)
     assert got.columns == [*odd(spark).columns, "n_entities"]
     plain = sorted((str(r.doc_id), str(r.text)) for r in got.collect())
     want = sorted((str(r[0]), str(r[1])) for r in odd_rows())
     assert [p == w for p, w in zip(plain, want, strict=True)].count(False) == 1  # the address
-    assert pii.replace_entities(none(spark)).count() == 0
+    assert pii.replace_entities(none(spark), KEY).count() == 0
+
+
+@pytest.mark.parametrize("entries", [2048, 0])
+def test_surrogates_keep_columns_of_any_name(spark, monkeypatch, entries):
+    monkeypatch.setattr(pii, "MAP_ENTRIES", entries)
+    names = ["_m", "_attempts", "_DIGEST", "_parts", "map", "many", "digest", "entity", "m"]
+    rows = [(i, f"to {c}@x.example.org now", *(f"kept {n}" for n in names)) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = pii.replace_entities(docs, KEY)
+    assert got.columns == [*docs.columns, "n_entities"]
+    assert all([r[n] for n in names] == [f"kept {n}" for n in names] and r.n_entities == 1 and "@x." not in r.text for r in got.collect())
+
+
+def test_domains_are_entities(spark):
+    rows = [(i, f"write to ann@{c}.org, {c}@example.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    got = [re.findall(r"\S+@(\S+?),? (\S+)@(\S+)", r.text.replace("to ", "")) for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()]
+    domains = {g[0][0] for g in got}
+    assert len(domains) == 26 and not domains & {f"{c}.org" for c in "abcdefghijklmnopqrstuvwxyz"}
+    assert {g[0][2] for g in got} == {"example.com"} and len({g[0][1] for g in got}) == 26
+
+
+def test_surrogates_need_a_key_and_depend_on_it(spark):
+    docs = spark.createDataFrame([(1, "call +1 212 555 0147 or ann@some.org")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pii.replace_entities(docs, "")
+    assert len({pii.replace_entities(docs, k).first().text for k in ("one", "two", "three")}) == 3
+
+
+def test_a_text_that_holds_the_mark(spark):
+    text = f"a{pii.MARK}b ann@some.org {pii.MARK}{pii.MARK} 10.1.2.3 {pii.MARK}"
+    r = pii.replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).first()
+    assert r.n_entities == 2 and re.fullmatch(rf"a{pii.MARK}b \w+@\w+\.org {pii.MARK}{pii.MARK} [\d.]+ {pii.MARK}", r.text) and "ann@" not in r.text and "10.1.2.3" not in r.text
+
+
+def test_numbers_of_a_full_format_are_replaced_without_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ROUNDS", 2)
+    rows = [(i, f"from +1 {i:02d} {k:02d} on") for i in range(10) for k in range(10)]
+    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
+    assert len(got) == 100 and all(re.fullmatch(r"from \+1 \d\d \d\d on", r.text) for r in got)
 
 
 # ---------------------------------------------------------------- URLs
