@@ -11,6 +11,7 @@ from stationlens.llm.decontaminate import remove_leaks
 from stationlens.llm.jaccard import one_of_each
 from stationlens.llm.packing import pack
 from stationlens.llm.pii import replace_entities
+from stationlens.llm.queries import pii_key
 from stationlens.llm.toxicity import reject_toxic
 
 
@@ -31,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; ``n_chars`` follows the new text."""
-    replaced = replace_entities(docs)
+    replaced = replace_entities(docs, pii_key(spark))
     return replaced.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
