@@ -58,6 +58,61 @@ def observation_errors(o: Column, event_time: Column, key: Column, source_system
     )
 
 
+#: What a published observation may say: fixed values of the contract.
+MATCHES = ("MATCHED_BY_STATION_ID", "UNMATCHED")
+TIMESTAMP_STATES = ("VALID", "SENTINEL", "MISSING", "FUTURE", "OUT_OF_RANGE")
+CAPACITY_STATES = ("EXACT", "MISMATCH", "NOT_EVALUATED")
+ISSUES = ("SOURCE_TIMESTAMP_SENTINEL", "SOURCE_TIMESTAMP_MISSING", "SOURCE_TIMESTAMP_FUTURE", "SOURCE_TIMESTAMP_OUT_OF_RANGE", "SOURCE_STALE", "METADATA_UNMATCHED", "CAPACITY_MISMATCH")
+
+
+def publication_errors(o: Column, source_system: str = SOURCE_SYSTEM) -> Column:
+    """What the full contract has against an observation that is to be published: the paths of wrong fields, in order."""
+    station, a, q, source, time = (o[c] for c in ("station", "availability", "quality", "source", "time"))
+    outside = lambda c, low, high: c.isNotNull() & ~c.between(low, high)
+    unknown = lambda c, known: missing_or(c, ~c.isin(*known))
+    instant = lambda c: F.try_to_timestamp(c).isNull()
+    return codes(
+        (missing_or(o["schema_version"], o["schema_version"] != "1.0"), "schema_version"),
+        (missing_or(o["event_id"], ~o["event_id"].rlike(_SHA)), "event_id"),
+        (missing_or(o["event_type"], o["event_type"] != "STATION_STATUS_OBSERVED"), "event_type"),
+        (missing_or(o["source_system"], o["source_system"] != source_system), "source_system"),
+        (missing_or(station["station_id"], F.length(station["station_id"]) == 0), "station.station_id"),
+        (outside(station["latitude"], -90, 90), "station.latitude"),
+        (outside(station["longitude"], -180, 180), "station.longitude"),
+        (station["capacity"] < 0, "station.capacity"),
+        (unknown(station["metadata_match_status"], MATCHES), "station.metadata_match_status"),
+        *((missing_or(a[c], a[c] < 0), f"availability.{c}") for c in ("bikes_available", "bikes_disabled", "docks_available", "docks_disabled")),
+        (a["ebikes_available"] < 0, "availability.ebikes_available"),
+        *((o["service"][c].isNull(), f"service.{c}") for c in ("is_installed", "is_renting", "is_returning")),
+        *((instant(time[c]), f"time.{c}") for c in ("snapshot_updated_at_utc", "observed_at_utc", "normalized_at_utc")),
+        (time["station_reported_at_raw"] < 0, "time.station_reported_at_raw"),
+        (time["station_reported_at_utc"].isNotNull() & instant(time["station_reported_at_utc"]), "time.station_reported_at_utc"),
+        (time["source_age_seconds"] < 0, "time.source_age_seconds"),
+        (missing_or(source["feed_name"], source["feed_name"] != "station_status"), "source.feed_name"),
+        (unknown(source["feed_version"], FEED_VERSIONS), "source.feed_version"),
+        (source["feed_ttl_seconds"] < 0, "source.feed_ttl_seconds"),
+        (missing_or(source["snapshot_sha256"], ~source["snapshot_sha256"].rlike(_SHA)), "source.snapshot_sha256"),
+        (missing_or(source["raw_archive_path"], F.length(source["raw_archive_path"]) == 0), "source.raw_archive_path"),
+        (unknown(q["timestamp_status"], TIMESTAMP_STATES), "quality.timestamp_status"),
+        (unknown(q["capacity_consistency"], CAPACITY_STATES), "quality.capacity_consistency"),
+        (q["issue_codes"].isNull() | (F.size(F.array_distinct(q["issue_codes"])) < F.size(q["issue_codes"])) | (F.size(F.array_except(q["issue_codes"], F.array(*map(F.lit, ISSUES)))) > 0), "quality.issue_codes"),
+    )
+
+
+def required_state_errors(s: Column) -> Column:
+    """What a serving table demands of a current state before it is stored."""
+    absent = ("schema_version", "station_id", "event_id", "event_time_utc", "station", "availability", "service")
+    return codes(*((s[c].isNull(), f"MISSING_{c.upper()}") for c in absent), (~s["station_id"].eqNullSafe(s["station"]["station_id"]), "STATION_ID_MISMATCH"))
+
+
+def request_errors(command: Column) -> Column:
+    """What is wrong with an acknowledge request (idempotency_key, requested_by, acknowledged_at_utc as text, may be null)."""
+    at = command["acknowledged_at_utc"]
+    zoned = at.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & F.try_to_timestamp(at).isNotNull()
+    between = lambda c, low, high: missing_or(c, ~F.length(c).between(low, high))
+    return codes((between(command["idempotency_key"], 8, 128), "IDEMPOTENCY_KEY_INVALID"), (between(command["requested_by"], 1, 128), "REQUESTED_BY_INVALID"), (at.isNotNull() & ~zoned, "ACKNOWLEDGED_AT_INVALID"))
+
+
 def current_state_errors(s: Column, event_time: Column, key: Column) -> Column:
     return codes(
         (missing_or(s["schema_version"], s["schema_version"] != "1.0"), "SCHEMA_VERSION_INVALID"),
@@ -90,12 +145,12 @@ def alert_errors(a: Column) -> Column:
 
 
 def parse_records(raw: DataFrame, schema: str, time_path: str, errors, malformed: str) -> DataFrame:
-    """Raw (input_key, raw_value, lineage) -> with ``record``, ``event_time``, ``error_codes``, ``is_valid``.
+    """Records (key, body, origin) -> input_key, raw_value, the lineage that outputs carry, ``record``, ``event_time``, ``error_codes``, ``is_valid``.
 
     A malformed record has that code alone. A bad time is null and named; it does not fail the query.
     """
-    record = F.from_json("raw_value", schema)
-    parsed = raw.withColumn("record", record).withColumn("event_time", F.try_to_timestamp(F.col(f"record.{time_path}")))
+    lineage = [F.col(f"origin.{c}").alias(f"input_{c}") for c in ("topic", "partition", "offset")]
+    parsed = raw.select(F.col("key").alias("input_key"), F.col("body").alias("raw_value"), *lineage).withColumn("record", F.from_json("raw_value", schema)).withColumn("event_time", F.try_to_timestamp(F.col(f"record.{time_path}")))
     found = F.when(F.get_json_object("raw_value", "$").isNull(), F.array(F.lit(malformed))).otherwise(errors(F.col("record"), F.col("event_time"), F.col("input_key")))
     return parsed.withColumn("error_codes", found).withColumn("is_valid", F.size("error_codes") == 0)
 

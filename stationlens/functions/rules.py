@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,6 +46,8 @@ class RuleConfig:
     weights: dict[str, float] = field(default_factory=lambda: dict(zip(COMPONENTS, (0.4, 0.2, 0.2, 0.1, 0.1), strict=True)))
     #: "linear" is the older persistence score, 60 at the persistence time and in proportion to the duration.
     persistence_form: str = "stepped"
+    #: Whether an open alert is sent again when its score moves; the older form only opens and resolves.
+    send_updates: bool = True
 
     def __post_init__(self) -> None:
         if set(self.weights) != set(COMPONENTS):
@@ -111,7 +114,9 @@ def priority(risk_: Column, duration: Column, found: Column, p95_pickups: Column
             F.when(rapid & about_bikes, "RAPID_OUTFLOW").when(rapid & about_docks, "RAPID_INFLOW"),
         )
     )
-    score = F.round(reduce(lambda a, b: a + b, (cfg.weights[name] * part for name, part in parts.items())), 2)
+    # in decimals, so that a half is a half in any engine
+    weighted = (F.lit(Decimal(str(cfg.weights[name]))) * part.cast("decimal(7,2)") for name, part in parts.items())
+    score = F.round(reduce(lambda a, b: a + b, weighted), 2).cast("double")
     return F.struct(of_risk(risk_, 2).alias("level"), of_risk(risk_, 0).alias("action"), reasons.alias("reasons"), *(c.alias(n) for n, c in parts.items()), score.alias("score"))
 
 

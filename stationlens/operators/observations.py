@@ -30,20 +30,17 @@ def window_metrics(events: DataFrame, width: str = "5 minutes") -> DataFrame:
     )
 
 
-def with_baseline(events: DataFrame, baseline: DataFrame, key: str = "short_name", broadcast_rows: int = 2_000_000, time_zone: str = TIME_ZONE) -> DataFrame:
+def with_baseline(events: DataFrame, baseline: DataFrame, key: str = "short_name", time_zone: str = TIME_ZONE) -> DataFrame:
     """Events with the demand that is usual at their station, local weekday and hour; ``found`` says whether it is known.
 
-    The baseline is broadcast after its rows were counted; a larger one is joined by a shuffle (not possible on a stream
-    without a bound, so there it raises).
+    The baseline's lineage runs once: whether it is broadcast is left to its size as Spark knows it, from its files or, in
+    a batch, from the stage that made it; a larger one is joined by a shuffle.
     """
     local = F.from_utc_timestamp("event_time", time_zone)
-    small = baseline.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if not small and events.isStreaming:
-        raise ValueError(f"the baseline has more than {broadcast_rows} rows")
     stats = [f"{s}_{d}" for d in ("pickups", "dropoffs") for s in ("avg", "p50", "p95")]
     side = baseline.select(F.col("station_id").alias(key), "iso_weekday", "local_hour", "calendar_days", *stats)
     timed = events.withColumns({"iso_weekday": iso_weekday(local), "local_hour": F.hour(local)})
-    return timed.join(F.broadcast(side) if small else side, [key, "iso_weekday", "local_hour"], "left").withColumn("found", F.col("calendar_days").isNotNull())
+    return timed.join(side, [key, "iso_weekday", "local_hour"], "left").withColumn("found", F.col("calendar_days").isNotNull())
 
 
 def reported_status(raw: Column, observed_at: Column) -> Column:
@@ -77,13 +74,15 @@ def capacity_status(capacity: Column, observed: Column) -> Column:
 
 
 def normalize_snapshot(status: DataFrame, information: DataFrame, source_system: str, stale_after: int = 180) -> DataFrame:
-    """Status documents (value, observed_at, snapshot_sha256, feed_version) and information documents -> observations.
+    """Status documents (value, observed_at, snapshot_sha256, feed_version; feed_ttl_seconds, raw_archive_path if known) and information documents -> observations.
 
     One row a station with its metadata (or its being unmatched), identity, timestamp worth, source age, capacity check
     and issue codes in order, each once.
     """
     meta = latest_by(stations_of(information, _INFORMATION).select("last_updated", "station.*"), "station_id", F.desc("last_updated")).drop("last_updated")
-    s = stations_of(status, _STATUS).select("observed_at", "snapshot_sha256", "feed_version", "last_updated", "station.*")
+    lineage = {"feed_ttl_seconds": "bigint", "raw_archive_path": "string"}
+    status = status.withColumns({c: F.lit(None).cast(t) for c, t in lineage.items() if c not in status.columns})
+    s = stations_of(status, _STATUS).select("observed_at", "snapshot_sha256", "feed_version", "feed_ttl_seconds", "raw_archive_path", "last_updated", "station.*")
     s = s.join(meta, "station_id", "left")
     snapshot = F.timestamp_seconds("last_updated")
     state = reported_status(F.col("last_reported"), F.col("observed_at"))
@@ -107,11 +106,11 @@ def normalize_snapshot(status: DataFrame, information: DataFrame, source_system:
     event_id = hash_parts(F.lit(source_system), F.col("station_id"), utc_text(snapshot), *counts, *(F.initcap(f.cast("string")) for f in flags), F.col("last_reported"))
     return s.select(
         F.lit("1.0").alias("schema_version"), event_id.alias("event_id"), F.lit("STATION_STATUS_OBSERVED").alias("event_type"), F.lit(source_system).alias("source_system"),
-        F.struct("station_id", "short_name", "name", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "capacity", F.when(matched, "MATCHED").otherwise("UNMATCHED").alias("metadata_match_status")).alias("station"),
+        F.struct("station_id", "short_name", "name", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "capacity", F.when(matched, "MATCHED_BY_STATION_ID").otherwise("UNMATCHED").alias("metadata_match_status")).alias("station"),
         F.struct(*(c.alias(n) for c, n in zip([*counts, F.col("num_ebikes_available")], ("bikes_available", "bikes_disabled", "docks_available", "docks_disabled", "ebikes_available"), strict=True))).alias("availability"),
         F.struct(*(f.alias(n) for f, n in zip(flags, ("is_installed", "is_renting", "is_returning"), strict=True))).alias("service"),
         F.struct(utc_text(snapshot).alias("snapshot_updated_at_utc"), F.col("last_reported").alias("station_reported_at_raw"), F.when(state == "VALID", utc_text(F.timestamp_seconds("last_reported"))).alias("station_reported_at_utc"), utc_text(F.col("observed_at")).alias("observed_at_utc"), utc_text(F.col("observed_at")).alias("normalized_at_utc"), age.alias("source_age_seconds")).alias("time"),
-        F.struct(F.lit("station_status").alias("feed_name"), "feed_version", F.lit(None).cast("bigint").alias("feed_ttl_seconds"), "snapshot_sha256", F.lit(None).cast("string").alias("raw_archive_path")).alias("source"),
+        F.struct(F.lit("station_status").alias("feed_name"), "feed_version", "feed_ttl_seconds", "snapshot_sha256", "raw_archive_path").alias("source"),
         F.struct(state.alias("timestamp_status"), capacity.alias("capacity_consistency"), issues.alias("issue_codes")).alias("quality"),
     )
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationlens.operators.ranking import quantiles, ranked
+
 #: Upper bounds of the latency histogram in seconds: fixed values.
 LATENCY_BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 
@@ -17,29 +22,33 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def duration_profile(df: DataFrame, seconds: str) -> DataFrame:
+    """Extremes, mean, threshold counts and exact quantiles; the quantiles by global ranks, so that no buffer holds all values."""
     d = F.col(seconds)
-    quantiles = [F.round(F.percentile(d, F.lit(q)), 3).alias(f"p{int(100 * q):02d}") for q in (0.01, 0.5, 0.95, 0.99)]
+    at = quantiles(df, seconds, {"median": 0.5, "p01": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99})
     counts = {"negative": d < 0, "zero": d == 0, "under_minute": (d >= 0) & (d < 60), "over_day": d > 86400}
-    return df.agg(F.count(d).alias("trips"), F.min(d).alias("shortest"), F.max(d).alias("longest"), F.round(F.avg(d), 3).alias("mean"), F.round(F.median(d), 3).alias("median"), *quantiles, *(F.count_if(c).alias(n) for n, c in counts.items()))
+    stats = df.agg(F.count(d).alias("trips"), F.min(d).alias("shortest"), F.max(d).alias("longest"), F.round(F.avg(d), 3).alias("mean"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    return stats.withColumn("_q", at.select(F.struct("*")).scalar()).select("*", "_q.*").drop("_q")
+
+
+def outside_month(df: DataFrame, time: str, year: int, month: int) -> DataFrame:
+    """Rows by whether their time lies in the month, lies outside of it, or is not known."""
+    t = F.col(time)
+    inside = (F.year(t) == year) & (F.month(t) == month)
+    return df.agg(F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"), F.count_if(t.isNull()).alias("unknown"))
 
 
 def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *columns).limit(k)
 
 
-def systematic_sample(df: DataFrame, key: str, step: int) -> DataFrame:
-    """Every step-th row in the order of a unique key: ranks by key ranges, so no task holds all rows.
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in an order, nulls first: a bounded top-k, not a sort of the table."""
+    return df.orderBy(*(F.col(c).asc_nulls_first() for c in order)).limit(n)
 
-    A range's rank offset is the count of the rows before it; only those counts meet in one window.
-    """
-    parts = 64
-    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    wide = df.withColumn("_span", span.select(F.struct("lo", "hi")).scalar())
-    ranged = wide.withColumn("_range", F.floor((F.col(key) - F.col("_span.lo")) * parts / (F.col("_span.hi") - F.col("_span.lo") + 1)))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
-    ranked = ranged.join(F.broadcast(before), "_range").withColumn("row_number", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(key)))
-    return ranked.filter(F.col("row_number") % step == 0).select(*df.columns, "row_number")
+
+def systematic_sample(df: DataFrame, key: str, step: int) -> DataFrame:
+    """Every step-th row in the order of a unique key, by global ranks over ranges of the key as it is distributed."""
+    return ranked(df, [F.col(key)], "row_number").filter(F.col("row_number") % step == 0)
 
 
 def key_coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -67,10 +76,14 @@ def latency_histogram(requests: DataFrame, seconds: str, *labels: str) -> DataFr
     return grouped.select(*labels, "request_count", "duration_sum", F.explode(rows).alias("b")).select(*labels, "b.le", "b.bucket_count", "request_count", "duration_sum")
 
 
+def _escaped(label: str) -> Column:
+    c = F.col(label).cast("string")
+    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+
 def exposition(histogram: DataFrame, name: str, *labels: str) -> DataFrame:
     """The histogram as text lines of the metrics format, labels escaped."""
-    escape = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    tags = F.concat_ws(",", *(F.concat(F.lit(f'{x}="'), escape(x), F.lit('"')) for x in (*labels, "le")))
+    tags = F.concat_ws(",", *(F.concat(F.lit(f'{x}="'), _escaped(x), F.lit('"')) for x in (*labels, "le")))
     return histogram.select(F.concat(F.lit(f"{name}_bucket{{"), tags, F.lit("} "), F.col("bucket_count").cast("string")).alias("line"))
 
 
@@ -86,6 +99,12 @@ def latency_summary(requests: DataFrame, seconds: str, ok: Column) -> DataFrame:
     return requests.agg(F.count("*").alias("requests"), F.min(seconds).alias("fastest"), *ranks, F.max(seconds).alias("slowest"), F.round(100.0 * F.count_if(ok) / F.greatest(F.count("*"), F.lit(1)), 4).alias("success_percent"))
 
 
+def status_counts(requests: DataFrame, status: str, elapsed: float) -> DataFrame:
+    """Requests by status, and how many of all there were a second in a run of ``elapsed`` seconds."""
+    counts = requests.groupBy(F.col(status).cast("string").alias("status")).agg(F.count("*").alias("requests"))
+    return counts.withColumn("requests_per_second", F.round(F.sum("requests").over(Window.partitionBy()) / F.lit(elapsed), 2))
+
+
 def request_rates(requests: DataFrame, time: str, failed: Column, width: str = "5 minutes") -> DataFrame:
     """Requests a second and the share of failures by window."""
     seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
@@ -93,18 +112,92 @@ def request_rates(requests: DataFrame, time: str, failed: Column, width: str = "
     return grouped.select(F.col("w.start").alias("window_start"), F.round(F.col("n") / seconds, 6).alias("request_rate"), F.round(F.col("bad") / F.greatest("n", F.lit(1)), 6).alias("error_ratio"))
 
 
-def sustained(samples: DataFrame, key: str, time: str, holds: Column, seconds: int) -> DataFrame:
+def sustained(samples: DataFrame, key: str | list[str], time: str, holds: Column, seconds: int | Column) -> DataFrame:
     """Where a condition held for so long without a break: key, since when, when it first fired."""
-    w = Window.partitionBy(key).orderBy(time)
+    keys = [key] if isinstance(key, str) else key
+    w = Window.partitionBy(*keys).orderBy(time)
     broken = samples.withColumn("_holds", F.coalesce(holds, F.lit(False))).withColumn("_run", F.sum((~F.col("_holds")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    since = F.min(time).over(Window.partitionBy(key, "_run"))
+    since = F.min(time).over(Window.partitionBy(*keys, "_run"))
     timed = broken.filter("_holds").withColumn("held_since", since)
-    return timed.filter(F.unix_timestamp(time) - F.unix_timestamp("held_since") >= seconds).groupBy(key, "held_since").agg(F.min(time).alias("fired_at"))
+    return timed.filter(F.unix_timestamp(time) - F.unix_timestamp("held_since") >= seconds).groupBy(*keys, "held_since").agg(F.min(time).alias("fired_at"))
+
+
+def recording_rules(requests: DataFrame, time: str, seconds: str, failed: Column, width: str = "5 minutes", quantile: float = 0.95) -> DataFrame:
+    """By window: requests a second, the share of failures (of at least 0.001 a second), and a quantile from the histogram.
+
+    The quantile lies in the first bucket that reaches its rank, in proportion between the bucket's bounds; beyond the
+    last bound it is that bound.
+    """
+    d = F.col(seconds)
+    counts = [F.count_if(d <= b).alias(f"_{i}") for i, b in enumerate(LATENCY_BUCKETS)]
+    grouped = requests.groupBy(F.window(time, width).alias("w")).agg(F.count("*").alias("n"), F.count_if(failed).alias("bad"), *counts)
+    long = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
+    rank, found = F.col("n") * quantile, F.lit(float(LATENCY_BUCKETS[-1]))
+    for i in reversed(range(len(LATENCY_BUCKETS))):
+        low, under = (float(LATENCY_BUCKETS[i - 1]), F.col(f"_{i - 1}")) if i else (0.0, F.lit(0))
+        here = F.col(f"_{i}") - under
+        inside = low + (float(LATENCY_BUCKETS[i]) - low) * (rank - under) / F.greatest(here, F.lit(1))
+        found = F.when(F.col(f"_{i}") >= rank, inside).otherwise(found)
+    rate = F.col("n") / long
+    return grouped.select(F.col("w.start").alias("window_start"), F.round(rate, 6).alias("request_rate"), F.round((F.col("bad") / long) / F.greatest(rate, F.lit(0.001)), 6).alias("error_ratio"), F.round(found, 6).alias("latency_p95_seconds"))
+
+
+def number_text(c: Column) -> Column:
+    """A number as the metrics format has it: up to six places, without the zeros at their end."""
+    return F.regexp_replace(F.format_string("%.6f", c.cast("double")), r"\.?0+$", "")
+
+
+def metrics_document(requests: DataFrame, gauges: dict[str, tuple[str, Column]], measured: DataFrame, prefix: str, seconds: str, labels: list[str]) -> DataFrame:
+    """The whole text of a service's metrics as (section, place, line): a counter, a histogram and gauges, each with its head.
+
+    ``gauges``: name -> (help, column of the one-row table ``measured``).
+    """
+    histogram = latency_histogram(requests, seconds, *labels)
+    name, total = f"{prefix}_http_request_duration_seconds", f"{prefix}_http_requests_total"
+    tags = F.concat_ws(",", *(F.concat(F.lit(f'{x}="'), _escaped(x), F.lit('"')) for x in labels))
+    each = histogram.filter("le = '+Inf'").withColumn("_tags", tags)
+    line = lambda section, place, text: F.struct(F.lit(section).alias("section"), place.alias("place"), text.alias("line"))
+    head = lambda section, metric, text, kind: [line(section, F.lit(f" {k}"), F.lit(f"# {w} {metric} {x}")) for k, (w, x) in enumerate((("HELP", text), ("TYPE", kind)))]
+    spark = requests.sparkSession
+    heads = spark.range(1).select(F.explode(F.array(*head(1, total, "Completed HTTP requests.", "counter"), *head(2, name, "HTTP request latency.", "histogram"))).alias("l"))
+    counted = each.select(F.explode(F.array(
+        line(1, F.col("_tags"), F.concat(F.lit(f"{total}{{"), F.col("_tags"), F.lit("} "), F.col("request_count").cast("string"))),
+        line(2, F.concat("_tags", F.lit("~sum")), F.concat(F.lit(f"{name}_sum{{"), F.col("_tags"), F.lit("} "), number_text(F.col("duration_sum")))),
+        line(2, F.concat("_tags", F.lit("~total")), F.concat(F.lit(f"{name}_count{{"), F.col("_tags"), F.lit("} "), F.col("request_count").cast("string"))),
+    )).alias("l"))
+    bucket = F.when(F.col("le") == "+Inf", "+Inf").otherwise(number_text(F.col("le").try_cast("double")))
+    buckets = histogram.withColumn("_tags", tags).select(line(2, F.concat("_tags", F.lit(" "), F.lpad("le", 8, "0")), F.concat(F.lit(f"{name}_bucket{{"), F.col("_tags"), F.lit(',le="'), bucket, F.lit('"} '), F.col("bucket_count").cast("string"))).alias("l"))
+    shown = [x for k, (metric, (text, value)) in enumerate(gauges.items()) for x in (*head(3 + k, f"{prefix}_{metric}", text, "gauge"), line(3 + k, F.lit("~"), F.concat(F.lit(f"{prefix}_{metric} "), number_text(value))))]
+    measured = measured.select(F.explode(F.array(*shown)).alias("l"))
+    return reduce(DataFrame.unionByName, (heads, counted, buckets, measured)).select("l.*")
+
+
+#: The service's gate: measure -> (comparison, target); fixed values.
+SERVICE_OBJECTIVES = {"success_percent": (">=", 99.0), "p95_ms": ("<=", 500.0), "requests_per_second": (">=", 15.0), "source_age_seconds": ("<=", 180.0), "database_up": ("==", 1.0)}
+#: Alert rules: name -> (metric, comparison, value, seconds it must hold, severity); fixed values.
+ALERT_RULES = {
+    "ServingAPIDown": ("up", "==", 0.0, 30, "critical"),
+    "ServingDatabaseUnavailable": ("database_up", "==", 0.0, 30, "critical"),
+    "ServingAPIErrorBudgetBurn": ("error_ratio_5m", ">", 0.01, 120, "warning"),
+    "ServingAPILatencyHigh": ("latency_p95_seconds_5m", ">", 0.5, 300, "warning"),
+    "StationProjectionMissing": ("station_rows", "==", 0.0, 120, "critical"),
+    "StationDataStale": ("source_age_seconds", ">", 180.0, 120, "warning"),
+}
+_COMPARE = {">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, "==": lambda c, v: c == v, ">": lambda c, v: c > v}
+
+
+def evaluate_rules(samples: DataFrame, rules: dict[str, tuple[str, str, float, int, str]] | None = None, key: str = "instance") -> DataFrame:
+    """Samples (key, metric, at, value) -> where a rule's condition held for its time: rule, severity, key, since when, fired when."""
+    rules = rules or ALERT_RULES
+    watched = samples.filter(F.col("metric").isin(*{r[0] for r in rules.values()}))
+    holds = F.array_compact(F.array(*(F.when(F.col("metric") == m, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.lit(seconds).alias("seconds"), F.coalesce(_COMPARE[op](F.col("value"), v), F.lit(False)).alias("holds"))) for name, (m, op, v, seconds, severity) in rules.items())))
+    each = watched.select(key, "at", F.explode(holds).alias("r")).select(key, "at", "r.*")
+    return sustained(each, [key, "rule", "severity"], "at", F.col("holds"), F.col("seconds"))
 
 
 def objectives(measured: DataFrame, targets: dict[str, tuple[str, float]]) -> DataFrame:
-    """Each measure of a one-row table against its target ((``>=`` or ``<=``), value), and whether all hold."""
-    checks = [F.struct(F.lit(m).alias("objective"), F.col(m).cast("double").alias("measured"), F.lit(float(v)).alias("target"), (F.col(m) >= v if op == ">=" else F.col(m) <= v).alias("met")) for m, (op, v) in targets.items()]
+    """Each measure of a one-row table against its target ((``>=``, ``<=``, ``>`` or ``==``), value), and whether all hold."""
+    checks = [F.struct(F.lit(m).alias("objective"), F.col(m).cast("double").alias("measured"), F.lit(float(v)).alias("target"), _COMPARE[op](F.col(m), v).alias("met")) for m, (op, v) in targets.items()]
     rows = measured.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
     return rows.withColumn("all_met", F.min("met").over(Window.partitionBy()))
 
@@ -117,6 +210,100 @@ def state_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select(F.col("n").alias("row_count"), F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256).alias("fingerprint"))
 
 
+def ordered_fingerprint(tables: dict[str, tuple[DataFrame, list[str]]], group: int = 1000) -> DataFrame:
+    """One hash over the rows of several tables in the order of their columns: row counts by table and ``fingerprint``.
+
+    The rows (table, its columns as text) are ranked; each ``group`` of hashes in order makes one of the next level, two
+    levels at least, until there is one. So the order counts, and no cell holds more than ``group`` hashes.
+    """
+    text = lambda columns: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns))
+    every = reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("t"), text(columns).alias("r")) for name, (df, columns) in tables.items()))
+    rows = ranked(every, [F.col("t"), F.col("r")], "n")
+    now = rows.select(F.sha2(F.concat_ws("|", "t", "r"), 256).alias("h"), "n")
+    size, level = now.count(), 0
+    while size > 1 or level < 2:
+        joined = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]))
+        now = now.groupBy(F.floor((F.col("n") - 1) / group).alias("g")).agg(F.sha2(joined, 256).alias("h")).select("h", (F.col("g") + 1).alias("n"))
+        size, level = -(-size // group), level + 1
+    counts = rows.agg(*(F.count_if(F.col("t") == t).alias(f"{t}_rows") for t in sorted(tables)))
+    return counts.withColumn("fingerprint", F.coalesce(now.select("h").scalar(), F.sha2(F.lit(""), 256)))
+
+
+def engine_counters(observations: DataFrame, key: str, event: str, time: str, arrival: str, flagged: Column) -> DataFrame:
+    """What became of observations in order of arrival: received, processed, repeated, out of order, and with quality issues.
+
+    An event id counts once; of the rest a key's observation that is not newer than all before is out of order.
+    """
+    repeated = F.row_number().over(Window.partitionBy(event).orderBy(arrival)) > 1
+    first = observations.withColumn("_repeated", repeated).withColumn("_flagged", F.coalesce(flagged, F.lit(False)))
+    before = F.max(F.when(~F.col("_repeated"), F.col(time))).over(Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    seen = first.withColumn("_late", ~F.col("_repeated") & F.coalesce(F.col(time) <= before, F.lit(False)))
+    done = ~F.col("_repeated") & ~F.col("_late")
+    return seen.agg(F.count("*").alias("received"), F.count_if(done).alias("processed"), F.count_if("_repeated").alias("duplicates"), F.count_if("_late").alias("out_of_order"), F.count_if(done & F.col("_flagged")).alias("quality_warnings"))
+
+
+#: Counters of a poll log and the events they sum: fixed values.
+POLL_TOTALS = {"retry_attempts": "retries", "metadata_refresh": "metadata_refreshed", "events_normalized": "events_normalized", "events_published": "events_published", "invalid_events": "invalid_events"}
+
+
+def poll_counters(polls: DataFrame) -> DataFrame:
+    """One row of a collector's totals from its log of polls, and what the last one left: the log has a row a poll."""
+    done, new = F.col("outcome") != "FAILED", F.col("outcome") == "PUBLISHED"
+    last = lambda c, among: F.max_by(c, F.when(among, F.struct("started_at", "poll_id")))
+    return polls.agg(
+        F.count("*").alias("poll_attempts_total"), F.count_if(done).alias("poll_success_total"), F.count_if(~done).alias("poll_failures_total"),
+        F.count_if(F.col("snapshot_sha256").isNotNull()).alias("snapshots_received_total"), F.count_if(new).alias("snapshots_published_total"),
+        F.count_if(F.col("outcome") == "DUPLICATE").alias("duplicate_snapshots_total"), F.count_if("stale").alias("stale_snapshots_total"),
+        *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"{name}_total") for name, c in POLL_TOTALS.items()),
+        last("started_at", done).alias("last_success_at"), last("snapshot_at", F.col("snapshot_at").isNotNull()).alias("last_snapshot_at"), last("snapshot_sha256", done).alias("last_snapshot_sha256"),
+        last("duration_ms", F.lit(True)).alias("last_poll_duration_ms"), last("error", F.lit(True)).alias("last_error"),
+    )
+
+
+def information_profile(stations: DataFrame) -> DataFrame:
+    """Stations of the information feed: rows, ids, what is missing, and the capacities' extremes and median."""
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    middle = quantiles(stations, "capacity", {"capacity_median": 0.5})
+    stats = stations.agg(
+        F.count("*").alias("station_rows"), F.count_distinct("station_id").alias("unique_ids"), F.count_if(blank("short_name")).alias("missing_short_name"), F.count_if(blank("name")).alias("missing_name"),
+        F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("missing_coordinate"), F.count_if(F.col("capacity").isNull()).alias("missing_capacity"), F.count_if(F.col("capacity") <= 0).alias("nonpositive_capacity"),
+        F.min("capacity").alias("capacity_min"), F.max("capacity").alias("capacity_max"),
+    )
+    return stats.withColumn("capacity_median", middle.scalar())
+
+
+def snapshot_profile(status: DataFrame, information: DataFrame, snapshot: str = "last_updated") -> DataFrame:
+    """Status rows (a row a station and snapshot) against the information feed -> counts, ages and capacity checks by snapshot.
+
+    A snapshot's median age is over its stations, thus of a buffer as large as one feed document.
+    """
+    known = information.select("station_id", "capacity").dropDuplicates(["station_id"]).withColumn("_known", F.lit(True))
+    parts = ["num_bikes_available", "num_bikes_disabled", "num_docks_available", "num_docks_disabled"]
+    age = F.col(snapshot) - F.col("last_reported")
+    delta = reduce(lambda a, b: a + b, (F.col(c) for c in parts)) - F.col("capacity")
+    on = reduce(and_, (F.coalesce(F.col(c) == 1, F.lit(False)) for c in ("is_installed", "is_renting", "is_returning")))
+    s = status.join(known, "station_id", "left").withColumns({"_age": age, "_delta": delta, "_on": on})
+    unmet = known.count()
+    return s.groupBy(snapshot).agg(
+        F.count("*").alias("stations"), F.count_distinct("station_id").alias("unique_ids"), F.count_distinct(F.when(F.col("_known").isNull(), F.col("station_id"))).alias("ids_without_information"),
+        (F.lit(unmet) - F.count_distinct(F.when(F.col("_known"), F.col("station_id")))).alias("information_without_status"),
+        F.count_if(F.col("num_bikes_available") == 0).alias("empty"), F.count_if(F.col("num_docks_available") == 0).alias("full"), F.count_if(~F.col("_on")).alias("offline"), F.count_if(F.col("last_reported") == 86400).alias("sentinel"),
+        F.min("_age").alias("age_min"), F.median("_age").alias("age_median"), F.max("_age").alias("age_max"), F.count_if(F.col("_age") > 300).alias("age_over_300"), F.count_if(F.col("_age") > 3600).alias("age_over_3600"),
+        F.count_if(F.col("_delta") == 0).alias("capacity_exact"), F.count_if(F.col("_delta") != 0).alias("capacity_mismatch"),
+    )
+
+
+def station_matches(trips: DataFrame, stations: DataFrame, side: str) -> DataFrame:
+    """Rows whose station id is a current short name, is not but whose station name is current, and neither; distinct ids by the first two."""
+    ids = stations.select(F.col("short_name").alias(f"{side}_station_id")).filter(f"{side}_station_id IS NOT NULL").distinct().withColumn("_id", F.lit(True))
+    names = stations.select(F.col("name").alias(f"{side}_station_name")).filter(f"{side}_station_name IS NOT NULL").distinct().withColumn("_name", F.lit(True))
+    rows = trips.filter(F.col(f"{side}_station_id").isNotNull()).groupBy(f"{side}_station_id", f"{side}_station_name").agg(F.count("*").alias("n"))
+    met = rows.join(ids, f"{side}_station_id", "left").join(names, f"{side}_station_name", "left")
+    by_id, by_name = F.coalesce("_id", F.lit(False)), F.coalesce("_name", F.lit(False))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    return met.agg(total(by_id).alias("by_id"), total(~by_id & by_name).alias("by_name_only"), total(~by_id & ~by_name).alias("unmatched"), F.count_distinct(F.when(by_id, F.col(f"{side}_station_id"))).alias("ids_matched"), F.count_distinct(F.when(~by_id, F.col(f"{side}_station_id"))).alias("ids_unmatched"))
+
+
 def lost_rows(before: DataFrame, after: DataFrame, name: str = "table_name", count: str = "rows") -> DataFrame:
     """Rows that went missing between two counts, over all tables."""
     joined = before.select(name, F.col(count).alias("b")).join(after.select(name, F.col(count).alias("a")), name, "left")

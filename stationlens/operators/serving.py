@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlens.functions.expr import hash_parts
+from stationlens.functions.expr import hash_parts, utc_text
 from stationlens.operators.observations import latest_by
+from stationlens.operators.ranking import ranked
 
 
 def append_once(existing: DataFrame, incoming: DataFrame, key: str = "alert_event_id") -> DataFrame:
@@ -25,20 +26,28 @@ def accepted_in_order(events: DataFrame, key: str, time: str, arrival: str, stri
 def merge_alert_state(events: DataFrame, arrival: str = "arrival") -> DataFrame:
     """Alert events in order of arrival -> a row an alert.
 
-    Events older than the state are kept out. Resolved is final; acknowledged stays over open. The rest is the last
-    accepted event's; times of resolution and acknowledgement are the last that an accepted event gave. (An open event
-    after an accepted resolution cannot bring the alert back, an acknowledgement after one cannot either.)
+    Events older than the state are kept out. Resolved is final; acknowledged stays over open. When an episode started and was
+    detected stays as first given; the rest is the last accepted event's; times of resolution and acknowledgement are the last
+    that an accepted event gave. (An open event after an accepted resolution cannot bring the alert back, an acknowledgement
+    after one cannot either.) A stored state counts as an event that arrived before all others.
     """
-    passed = accepted_in_order(events, "alert_id", "status_changed_at", arrival)
-    last = lambda c: F.max_by(c, arrival)
     status = F.col("lifecycle_status")
-    acked = F.when(status == "ACKNOWLEDGED", F.col("status_changed_at"))
-    return passed.groupBy("alert_id").agg(
-        last("alert_event_id").alias("last_event_id"), last("station_id").alias("station_id"), last("alert_type").alias("alert_type"),
-        F.when(F.max(F.coalesce(status == "RESOLVED", F.lit(False))), "RESOLVED").when(F.max(F.coalesce(status == "ACKNOWLEDGED", F.lit(False))), "ACKNOWLEDGED").otherwise(last("lifecycle_status")).alias("lifecycle_status"),
-        last("severity").alias("severity"), last("priority_score").alias("priority_score"), F.min_by("detected_at", arrival).alias("detected_at"), last("status_changed_at").alias("status_changed_at"),
-        F.max_by("resolved_at", F.when(F.col("resolved_at").isNotNull(), F.col(arrival))).alias("resolved_at"), F.max_by(acked, F.when(acked.isNotNull(), F.col(arrival))).alias("acknowledged_at"),
-    )
+    if "acknowledged_at" not in events.columns:
+        events = events.withColumn("acknowledged_at", F.when(status == "ACKNOWLEDGED", F.col("status_changed_at")))
+    passed = accepted_in_order(events, "alert_id", "status_changed_at", arrival)
+    kept, given = {"episode_started_at", "detected_at"}, {"resolved_at", "acknowledged_at", "acknowledged_by"}
+    columns = []
+    for c in events.columns:
+        if c in ("alert_id", arrival):
+            continue
+        if c == "lifecycle_status":
+            reached = lambda s: F.max(F.coalesce(status == s, F.lit(False)))
+            columns.append(F.when(reached("RESOLVED"), "RESOLVED").when(reached("ACKNOWLEDGED"), "ACKNOWLEDGED").otherwise(F.max_by(c, arrival)).alias(c))
+        elif c in given:
+            columns.append(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(arrival))).alias(c))
+        else:
+            columns.append((F.min_by if c in kept else F.max_by)(c, arrival).alias("last_event_id" if c == "alert_event_id" else c))
+    return passed.groupBy("alert_id").agg(*columns)
 
 
 def merge_station_state(observations: DataFrame, arrival: str = "arrival") -> DataFrame:
@@ -47,9 +56,9 @@ def merge_station_state(observations: DataFrame, arrival: str = "arrival") -> Da
 
 
 def priority_queue(events: DataFrame) -> DataFrame:
-    """The latest event of each alert that is not resolved, ranked over all: a bounded set, so one task may rank it."""
+    """The latest event of each alert that is not resolved, ranked over all by ranges of the order."""
     active = latest_by(events, "alert_id", F.desc("event_time"), F.desc("alert_event_id")).filter("lifecycle_status <> 'RESOLVED'")
-    return active.withColumn("queue_rank", F.row_number().over(Window.orderBy(F.desc("priority_score"), F.asc("event_time"), F.asc("alert_id"))))
+    return ranked(active, [F.desc("priority_score"), F.asc("event_time"), F.asc("alert_id")], "queue_rank").withColumn("queue_rank", F.col("queue_rank").cast("int"))
 
 
 def alert_page(state: DataFrame, *, active_only: bool = True, status: str | None = None, action: str | None = None, alert_type: str | None = None, station_id: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -70,6 +79,40 @@ def alert_history(events: DataFrame, alert_id: str) -> DataFrame:
     return events.filter(F.col("alert_id") == alert_id).orderBy("event_time", "alert_event_id")
 
 
+def one_row(df: DataFrame, key: str, value: str) -> dict:
+    """The row with this key as a dict; there being none is a ``LookupError``."""
+    found = df.filter(F.col(key) == value).limit(1).collect()
+    if not found:
+        raise LookupError(f"{key} {value} was not found")
+    return found[0].asDict(recursive=True)
+
+
+def alert_documents(state: DataFrame) -> DataFrame:
+    """Stored alert states in the shape that readers get: alert_id and ``document``; evidence and priority are the payload's."""
+    utc = lambda c: utc_text(F.col(c)).alias(f"{c}_utc")
+    part = lambda c, schema: F.from_json(F.get_json_object("payload", f"$.{c}"), schema).alias(c)
+    acknowledged = F.when(F.col("acknowledged_at").isNotNull(), F.struct(utc("acknowledged_at"), "acknowledged_by"))
+    return state.select(
+        "alert_id",
+        F.struct(
+            "alert_id", "last_event_id", F.struct("station_id", F.col("station_name").alias("name"), "short_name").alias("station"), "alert_type", "lifecycle_status", "recommended_action", "severity",
+            part("priority", "score double, rule_version string, components map<string, double>"), part("evidence", "risk_duration_seconds bigint, bikes_available bigint, docks_available bigint, is_renting boolean, is_returning boolean, source_age_seconds bigint, reason_codes array<string>"),
+            F.struct(*(utc(c) for c in ("episode_started_at", "detected_at", "last_observed_at", "status_changed_at", "resolved_at"))).alias("time"), acknowledged.alias("acknowledgement"),
+        ).alias("document"),
+    )
+
+
+def latest_acknowledgements(events: DataFrame, payload: str = "payload") -> DataFrame:
+    """The last acknowledgement of each alert that has one: its event id, time and payload."""
+    acks = events.filter("event_type = 'ALERT_ACKNOWLEDGED'")
+    return latest_by(acks, "alert_id", F.desc("status_changed_at"), F.desc("alert_event_id")).select("alert_id", "alert_event_id", "status_changed_at", payload)
+
+
+def gives_all(reasons: Column, required: list[str]) -> Column:
+    """Whether an array holds all of the required values."""
+    return F.size(F.array_except(F.array(*map(F.lit, required)), reasons)) == 0
+
+
 def acknowledge(events: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(acknowledgement events to append, commands on alerts that are not active).
 
@@ -107,6 +150,19 @@ def consumer_offsets(records: DataFrame) -> DataFrame:
     return records.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"))
 
 
+def offsets_by_topic(offsets: DataFrame) -> DataFrame:
+    """How many records of each topic have been stored: the sum of its partitions' next offsets."""
+    return offsets.groupBy("topic").agg(F.sum("next_offset").cast("long").alias("stored"))
+
+
+def health(stations: DataFrame, alerts: DataFrame) -> dict[str, object]:
+    """Whether the serving tables answer: ready with their counts, or not ready with the reason."""
+    try:
+        return {"status": "ready", "stations": stations.count(), "active_alerts": alerts.filter("lifecycle_status <> 'RESOLVED'").count()}
+    except Exception as e:  # noqa: BLE001  what the caller is told
+        return {"status": "not_ready", "error": f"{type(e).__name__}: {str(e)[:200]}"}
+
+
 def gauges(stations: DataFrame, alerts: DataFrame, now: Column) -> DataFrame:
     """One row of service gauges from two scans."""
     s = stations.agg(F.count("*").alias("station_rows"), F.coalesce(F.max("source_age_seconds"), F.lit(0)).alias("reported_source_age_seconds"), F.coalesce(F.greatest(F.lit(0).cast("long"), F.unix_timestamp(now) - F.unix_timestamp(F.max("event_time"))), F.lit(0)).alias("projection_age_seconds"))

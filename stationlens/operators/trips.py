@@ -106,12 +106,13 @@ def calendar_hours(trips: DataFrame) -> DataFrame:
 def baseline(hourly: DataFrame, calendar: DataFrame) -> DataFrame:
     """Demand by station, weekday and hour over a dense grid: hours without trips count as zero.
 
-    The calendar is exploded per station from one broadcast row of dates, so the grid is a narrow step; the facts join it on
-    its key. Facts outside the calendar don't count.
+    The calendar (all days between two dates) is spread per station from its first and last date, so the grid is a narrow step
+    and no cell holds more than its days; the facts join it on its key. Facts outside the calendar don't count.
     """
     stations = hourly.groupBy("station_id").agg(F.min("station_name").alias("station_name"))
-    whole = calendar.agg(F.array_sort(F.collect_list(F.struct("local_date", "iso_weekday", "local_hour"))).alias("hours"))
-    grid = stations.withColumn("_h", F.explode(whole.scalar())).select("station_id", "station_name", "_h.*")
+    span = calendar.agg(F.struct(F.min("local_date").alias("first"), F.max("local_date").alias("last")).alias("span"))
+    days = stations.withColumn("_span", span.scalar()).filter("_span.first IS NOT NULL").select("station_id", "station_name", F.explode(F.sequence("_span.first", "_span.last")).alias("local_date"))
+    grid = days.select("station_id", "station_name", "local_date", iso_weekday(F.col("local_date")).alias("iso_weekday"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("local_hour"))
     facts = hourly.groupBy("station_id", "local_date", "local_hour").agg(F.sum("pickup_count").alias("p"), F.sum("dropoff_count").alias("d"))
     dense = grid.join(facts, ["station_id", "local_date", "local_hour"], "left").fillna(0, subset=["p", "d"])
     stats = [x for c, n in (("p", "pickups"), ("d", "dropoffs")) for x in (F.round(F.avg(c), 3).alias(f"avg_{n}"), F.percentile_approx(c, 0.5).cast("long").alias(f"p50_{n}"), F.percentile_approx(c, 0.95).cast("long").alias(f"p95_{n}"))]

@@ -153,7 +153,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     document = F.to_json(
         F.struct(
             F.when(n % 7 != 0, "1.0").otherwise("9").alias("schema_version"), F.sha2(n.cast("string"), 256).alias("event_id"), F.lit("STATION_STATUS_OBSERVED").alias("event_type"), F.lit(SOURCE).alias("source_system"),
-            F.struct("station_id", F.lit("MATCHED").alias("metadata_match_status")).alias("station"),
+            F.struct("station_id", F.lit("MATCHED_BY_STATION_ID").alias("metadata_match_status")).alias("station"),
             F.struct(F.when(n % 11 == 0, -1).otherwise(F.col("bikes")).alias("bikes_available"), F.lit(0).alias("bikes_disabled"), F.col("docks").alias("docks_available"), F.lit(0).alias("docks_disabled")).alias("availability"),
             F.struct(F.lit(True).alias("is_installed"), F.when(n % 13 != 0, F.lit(True)).alias("is_renting"), F.lit(True).alias("is_returning")).alias("service"),
             F.struct(F.when(n % 17 == 0, "soon").otherwise(utc_text(F.col("event_time"))).alias("snapshot_updated_at_utc"), F.col("source_age_seconds")).alias("time"),
@@ -163,7 +163,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     raw = F.when(n % 19 == 0, "{not json").otherwise(document)
     key = F.when(n % 3 != 0, F.when(n % 23 == 0, "elsewhere").otherwise(F.col("station_id")))
-    return o.select(key.alias("input_key"), raw.alias("raw_value"), F.lit("events").alias("input_topic"), F.lit(0).cast("bigint").alias("input_partition"), n.alias("input_offset"))
+    return o.select(key.alias("key"), raw.alias("body"), F.struct(F.lit("events").alias("topic"), F.lit(0).cast("bigint").alias("partition"), n.alias("offset")).alias("origin"))
 
 
 _CODES_SQL = """checked AS (SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'MALFORMED_JSON' ELSE concat_ws('|', CASE WHEN event_id % 7 = 0 THEN 'SCHEMA_VERSION_INVALID' END, CASE WHEN event_id % 11 = 0 THEN 'AVAILABILITY_INVALID' END, CASE WHEN event_id % 13 = 0 THEN 'SERVICE_FLAGS_INVALID' END,
@@ -175,15 +175,18 @@ def validate_observations(spark, sf_dir):
     return plain(parse_observations(_records(spark, sf_dir)).select("input_offset", "error_codes", "is_valid"))
 
 
-@query(f"WITH {_CODES_SQL} SELECT event_id AS input_offset, error_codes, coalesce(input_key, CASE WHEN event_id % 19 = 0 THEN sha256('{{not json') END) AS record_key FROM checked WHERE error_codes <> '' AND (input_key IS NOT NULL OR event_id % 19 = 0)")
+#: What the dead letter of a record with these faults is keyed by; SQL has no hash of the JSON text, so such keys are compared as ''.
+@query(f"WITH {_CODES_SQL} SELECT event_id AS input_offset, error_codes, coalesce(input_key, CASE WHEN event_id % 19 = 0 THEN sha256('{{not json') ELSE '' END) AS record_key FROM checked WHERE error_codes <> ''")
 def dead_letter(spark, sf_dir):
+    """All dead letters; the hash that stands for a missing key is given where SQL can make it as well."""
     letters = dead_letters(parse_observations(_records(spark, sf_dir)))
-    return plain(letters.filter((F.col("record_key") != F.col("raw_sha256")) | (F.col("raw_fragment") == "{not json")).select("input_offset", "error_codes", "record_key"))
+    hashed = (F.col("record_key") == F.col("raw_sha256")) & (F.col("raw_fragment") != "{not json")
+    return plain(letters.select("input_offset", "error_codes", F.when(hashed, "").otherwise(F.col("record_key")).alias("record_key")))
 
 
 @query()
 def dead_letter_all(spark, sf_dir):
-    """All dead letters; SQL has no hash of the JSON text, which is the key of those that came without one, so that ``dead_letter`` leaves them out."""
+    """All dead letters with their keys, the hashes of JSON texts included."""
     return plain(dead_letters(parse_observations(_records(spark, sf_dir))).select("input_offset", "error_codes", "record_key"))
 
 
@@ -203,7 +206,7 @@ def timestamp_status(spark, sf_dir):
 
 
 @query(
-    """SELECT o.o_orderkey, CASE WHEN c.c_custkey IS NULL THEN 'UNMATCHED' ELSE 'MATCHED' END AS metadata_match_status, CASE WHEN c.cap IS NULL THEN 'NOT_EVALUATED' WHEN o.o_orderkey % 40 = c.cap THEN 'EXACT' ELSE 'MISMATCH' END AS capacity_consistency,
+    """SELECT o.o_orderkey, CASE WHEN c.c_custkey IS NULL THEN 'UNMATCHED' ELSE 'MATCHED_BY_STATION_ID' END AS metadata_match_status, CASE WHEN c.cap IS NULL THEN 'NOT_EVALUATED' WHEN o.o_orderkey % 40 = c.cap THEN 'EXACT' ELSE 'MISMATCH' END AS capacity_consistency,
 concat_ws('|', CASE WHEN c.c_custkey IS NULL THEN 'METADATA_UNMATCHED' END, CASE WHEN c.cap IS NOT NULL AND o.o_orderkey % 40 <> c.cap THEN 'CAPACITY_MISMATCH' END) AS issue_codes
 FROM orders o LEFT JOIN (SELECT c_custkey, c_custkey % 40 AS cap FROM customer WHERE c_custkey % 7 <> 0) c ON c.c_custkey = o.o_custkey"""
 )
@@ -212,7 +215,7 @@ def metadata_join_status(spark, sf_dir):
     joined = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(information, "o_custkey", "left")
     state = ob.capacity_status(F.col("capacity"), F.col("o_orderkey") % 40)
     lacking = F.col("capacity").isNull()
-    return plain(joined.select("o_orderkey", F.when(lacking, "UNMATCHED").otherwise("MATCHED").alias("metadata_match_status"), state.alias("capacity_consistency"), codes((lacking, "METADATA_UNMATCHED"), (state == "MISMATCH", "CAPACITY_MISMATCH")).alias("issue_codes")))
+    return plain(joined.select("o_orderkey", F.when(lacking, "UNMATCHED").otherwise("MATCHED_BY_STATION_ID").alias("metadata_match_status"), state.alias("capacity_consistency"), codes((lacking, "METADATA_UNMATCHED"), (state == "MISMATCH", "CAPACITY_MISMATCH")).alias("issue_codes")))
 
 
 # ---------------------------------------------------------------- risk and alerts
@@ -258,11 +261,11 @@ _SEVERITY = "CASE risk WHEN 'EMPTY' THEN 100.0 WHEN 'FULL' THEN 100.0 WHEN 'OFFL
 _SCORED_SQL = f"""{EPISODES}, parts AS (SELECT *, CAST({_SEVERITY} AS DOUBLE) AS c1, round(least(100.0, 60.0 + 40.0 * greatest(0.0, floor(epoch(opened_at)) - floor(epoch(started_at)) - 43200.0) / 43200.0), 2) AS c2,
 round(CASE WHEN risk IN ('EMPTY', 'LOW_BIKES', 'FULL', 'LOW_DOCKS') THEN least(100.0, 100.0 * (observations % 7) / 5.0) ELSE 0.0 END, 2) AS c3, round(least(100.0, greatest(0.0, trend)), 2) AS c4, CASE WHEN risk IN ('EMPTY', 'FULL', 'OFFLINE') THEN 100.0 ELSE 60.0 END AS c5 FROM episodes WHERE opened_at IS NOT NULL),
 scored AS (SELECT *, CASE WHEN risk IN ('EMPTY', 'FULL', 'OFFLINE') THEN 'CRITICAL' ELSE 'WARNING' END AS severity, CASE WHEN risk IN ('EMPTY', 'LOW_BIKES') THEN 'DELIVER_BIKES' WHEN risk IN ('FULL', 'LOW_DOCKS') THEN 'REMOVE_BIKES' ELSE 'INSPECT_STATION' END AS recommended_action,
-CAST(0.4 AS DOUBLE) * c1 + CAST(0.2 AS DOUBLE) * c2 + CAST(0.2 AS DOUBLE) * c3 + CAST(0.1 AS DOUBLE) * c4 + CAST(0.1 AS DOUBLE) * c5 AS raw_score FROM parts)"""
+0.4 * CAST(c1 AS DECIMAL(7, 2)) + 0.2 * CAST(c2 AS DECIMAL(7, 2)) + 0.2 * CAST(c3 AS DECIMAL(7, 2)) + 0.1 * CAST(c4 AS DECIMAL(7, 2)) + 0.1 * CAST(c5 AS DECIMAL(7, 2)) AS raw_score FROM parts)"""
 
 
 @query(
-    f"""WITH {_SCORED_SQL} SELECT alert_id, severity, recommended_action, c1 AS severity_score, c2 AS persistence, c3 AS historical_demand, c4 AS recent_trend, CAST(round(CAST(raw_score AS DECIMAL(30, 18)), 2) AS DOUBLE) AS score,
+    f"""WITH {_SCORED_SQL} SELECT alert_id, severity, recommended_action, c1 AS severity_score, c2 AS persistence, c3 AS historical_demand, c4 AS recent_trend, CAST(round(raw_score, 2) AS DOUBLE) AS score,
 concat_ws('|', CASE risk WHEN 'STALE' THEN 'SOURCE_STALE' WHEN 'OFFLINE' THEN 'STATION_OFFLINE' WHEN 'DATA_QUALITY' THEN 'DATA_QUALITY_RISK' ELSE risk || '_PERSISTED' END, CASE WHEN c3 >= 80 AND risk IN ('EMPTY', 'LOW_BIKES') THEN 'HIGH_HISTORICAL_PICKUP_DEMAND' WHEN c3 >= 80 THEN 'HIGH_HISTORICAL_DROPOFF_DEMAND' END,
 CASE WHEN c4 >= 60 AND risk IN ('EMPTY', 'LOW_BIKES') THEN 'RAPID_OUTFLOW' WHEN c4 >= 60 AND risk IN ('FULL', 'LOW_DOCKS') THEN 'RAPID_INFLOW' END) AS reasons FROM scored"""
 )
@@ -282,7 +285,7 @@ def _alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STATE_SQL = f"{_SCORED_SQL}, alert_state AS (SELECT alert_id, station_id, risk AS alert_type, CASE WHEN resolved_at IS NOT NULL THEN 'RESOLVED' ELSE 'OPEN' END AS lifecycle_status, severity, recommended_action, CAST(round(CAST(raw_score AS DECIMAL(30, 18)), 2) AS DOUBLE) AS priority_score, opened_at AS detected_at, coalesce(resolved_at, opened_at) AS event_time FROM scored)"
+_STATE_SQL = f"{_SCORED_SQL}, alert_state AS (SELECT alert_id, station_id, risk AS alert_type, CASE WHEN resolved_at IS NOT NULL THEN 'RESOLVED' ELSE 'OPEN' END AS lifecycle_status, severity, recommended_action, CAST(round(raw_score, 2) AS DOUBLE) AS priority_score, opened_at AS detected_at, coalesce(resolved_at, opened_at) AS event_time FROM scored)"
 
 
 @query(f"WITH {_STATE_SQL} SELECT alert_id, priority_score, event_time, CAST(row_number() OVER (ORDER BY priority_score DESC, event_time, alert_id) AS INTEGER) AS queue_rank FROM alert_state WHERE lifecycle_status <> 'RESOLVED'")
@@ -343,11 +346,11 @@ def append_once_events(spark, sf_dir):
 
 @query(
     f"""WITH {EPISODES}, latest AS (SELECT * FROM life QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY event_time DESC, alert_event_id DESC) = 1), active AS (SELECT * FROM latest WHERE lifecycle_status <> 'RESOLVED')
-SELECT alert_id, station_id, sha256(concat_ws('|', alert_id, 'ALERT_ACKNOWLEDGED', '2024-02-01T00:00:00Z')) AS alert_event_id, 'ALERT_ACKNOWLEDGED' AS event_type, 'ACKNOWLEDGED' AS lifecycle_status FROM active WHERE alert_id < '8'"""
+SELECT alert_id, station_id, sha256(concat_ws('|', alert_id, 'ALERT_ACKNOWLEDGED', '2024-02-01T00:00:00Z')) AS alert_event_id, 'ALERT_ACKNOWLEDGED' AS event_type, 'ACKNOWLEDGED' AS lifecycle_status FROM active"""
 )
 def ack_overlay(spark, sf_dir):
     events = ep.lifecycle_events(_episodes(spark, sf_dir))
-    commands = events.filter("alert_id < '8'").select("alert_id", F.lit("2024-02-01 00:00:00").cast("timestamp").alias("acknowledged_at"))
+    commands = events.select("alert_id", F.lit("2024-02-01 00:00:00").cast("timestamp").alias("acknowledged_at"))
     return sv.acknowledge(events, commands)[0].select("alert_id", "station_id", "alert_event_id", "event_type", "lifecycle_status")
 
 
@@ -560,7 +563,7 @@ def _documents(o: DataFrame) -> DataFrame:
     """Observations as the stream operators take them: an observation document, no baseline."""
     quality = F.struct(F.when(F.col("timely"), "VALID").otherwise("FUTURE").alias("timestamp_status"), F.lit("EXACT").alias("capacity_consistency"), F.array().cast("array<string>").alias("issue_codes"))
     service = F.struct(*(F.col("in_service").alias(c) for c in ("is_installed", "is_renting", "is_returning")))
-    body = [F.struct("station_id", F.lit("MATCHED").alias("metadata_match_status")).alias("station"), F.struct(F.col("bikes").alias("bikes_available"), F.col("docks").alias("docks_available")).alias("availability"), service.alias("service"), quality.alias("quality")]
+    body = [F.struct("station_id", F.lit("MATCHED_BY_STATION_ID").alias("metadata_match_status")).alias("station"), F.struct(F.col("bikes").alias("bikes_available"), F.col("docks").alias("docks_available")).alias("availability"), service.alias("service"), quality.alias("quality")]
     return o.select("station_id", F.col("event_id").cast("string").alias("event_id"), "event_time", utc_text(F.col("event_time")).alias("event_time_utc"), F.lit(0).cast("bigint").alias("input_partition"), "input_offset", *body, "source_age_seconds")
 
 

@@ -13,11 +13,11 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 #: Serving tables and their columns.
 TABLES = {
-    "station_current": "station_id string, event_id string, event_time timestamp, payload string, source_age_seconds bigint, updated_at timestamp",
-    "alert_events": "alert_event_id string, alert_id string, station_id string, event_type string, lifecycle_status string, recommended_action string, priority_score decimal(6,2), event_time timestamp, payload string",
-    "alert_state": "alert_id string, last_event_id string, station_id string, alert_type string, lifecycle_status string, recommended_action string, severity string, priority_score decimal(6,2), detected_at timestamp, status_changed_at timestamp, resolved_at timestamp, acknowledged_at timestamp, acknowledged_by string, payload string",
-    "alert_commands": "command_id string, idempotency_key string, alert_id string, command string, requested_by string, acknowledged_at timestamp",
-    "consumer_offsets": "topic string, partition int, next_offset bigint",
+    "station_current": "station_id string, event_id string, event_time timestamp, station_name string, short_name string, bikes_available bigint, docks_available bigint, capacity bigint, source_age_seconds bigint, is_installed boolean, is_renting boolean, is_returning boolean, payload string",
+    "alert_events": "alert_event_id string, alert_id string, station_id string, event_type string, lifecycle_status string, alert_type string, recommended_action string, severity string, priority_score decimal(6,2), status_changed_at timestamp, source_topic string, source_partition bigint, source_offset bigint, payload string",
+    "alert_state": "alert_id string, last_event_id string, station_id string, station_name string, short_name string, alert_type string, lifecycle_status string, recommended_action string, severity string, priority_score decimal(6,2), episode_started_at timestamp, detected_at timestamp, last_observed_at timestamp, status_changed_at timestamp, resolved_at timestamp, acknowledged_at timestamp, acknowledged_by string, payload string",
+    "alert_commands": "command_id string, idempotency_key string, alert_id string, command string, requested_by string, acknowledged_at timestamp, result_event_id string",
+    "consumer_offsets": "topic string, partition bigint, next_offset bigint",
 }
 
 

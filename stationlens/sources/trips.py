@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
 import re
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,12 +80,45 @@ def read_trips(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def read_zipped_trips(spark: SparkSession, path: str) -> DataFrame:
+    """The CSV entries of ZIP archives as canonical trips, streamed out of each archive by one task (Spark has no ZIP codec).
+
+    An archive is one value of Spark's binary reader, so of 2 GB at most; larger ones are to be unpacked first.
+    """
+    from stationlens.session import ship
+
+    ship(spark)
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    names = [*TRIP_COLUMNS, "_source_file", "_source_schema_variant"]
+    return archives.select("content").mapInArrow(_unzipped, ", ".join(f"{c} string" for c in names))
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [*TRIP_COLUMNS, "_source_file", "_source_schema_variant"]
+    for batch in batches:
+        for content in batch.column(0):
+            archive = zipfile.ZipFile(pa.BufferReader(content.as_buffer()))
+            for entry in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
+                with archive.open(entry) as raw, io.TextIOWrapper(raw, encoding="utf-8-sig", newline="") as text:
+                    lines = csv.reader(text)
+                    header = next(lines, [])
+                    if not header:
+                        continue
+                    found, variant = resolve_header(header)
+                    places = [header.index(found[c]) if c in found else None for c in TRIP_COLUMNS]
+                    while rows := list(itertools.islice(lines, 5000)):
+                        columns = [[(r[p] or None) if p is not None and p < len(r) else None for r in rows] for p in places]
+                        columns += [[entry.rsplit("/", 1)[-1]] * len(rows), [variant] * len(rows)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Each file's name, bytes and SHA-256, hashed on the executors, and its header variant (a driver's list of names)."""
-    variants = [(n, resolve_header(spark.read.option("header", True).csv(n).columns)[1]) for n in _files(spark, path)]
+    """Each file's name, bytes and SHA-256, hashed on the executors; its header, variant and mapping (a driver's list of names)."""
+    headers = [(n, spark.read.option("header", True).csv(n).columns) for n in _files(spark, path)]
+    variants = [(n, resolve_header(h)[1], h, resolve_header(h)[0]) for n, h in headers]
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path)
     hashed = content.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return hashed.join(spark.createDataFrame(variants, "path string, variant string"), "path")
+    return hashed.join(spark.createDataFrame(variants, "path string, variant string, header array<string>, mapping map<string, string>"), "path")
 
 
 def write_tables(tables: dict[str, DataFrame], root: str, silver_partitions: int | None = None) -> None:
@@ -88,3 +127,8 @@ def write_tables(tables: dict[str, DataFrame], root: str, silver_partitions: int
         df = tables[name].repartition(*([silver_partitions] if silver_partitions else []), *columns)
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(f"{root}/{name}")
     tables["quarantine"].write.mode("overwrite").parquet(f"{root}/quarantine")
+
+
+def read_back(spark: SparkSession, root: str, names: tuple[str, ...] = ("silver", "quarantine", "hourly", "baseline")) -> dict[str, int]:
+    """Rows of the tables as they were written, read again from their folders."""
+    return {name: spark.read.parquet(f"{root}/{name}").count() for name in names}

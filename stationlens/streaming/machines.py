@@ -84,7 +84,7 @@ class AlertMachine:
             lasted = (ms - e.started_ms) // 1000
             score = py_priority(e.risk, lasted, state.get("historical_demand") or {}, e.trend, self.cfg)
             opens = e.alert_id is None and lasted >= self.cfg.persistence_seconds
-            moved = e.alert_id is not None and (abs(score["score"] - e.sent_score) >= self.cfg.priority_update_delta or ms - e.sent_ms >= 1000 * self.cfg.priority_update_interval_seconds)
+            moved = self.cfg.send_updates and e.alert_id is not None and (abs(score["score"] - e.sent_score) >= self.cfg.priority_update_delta or ms - e.sent_ms >= 1000 * self.cfg.priority_update_interval_seconds)
             if opens:
                 e.alert_id, e.detected_ms = sha_parts(self.source_system, station, e.risk, iso(e.started_ms)), ms
             if opens or moved:

@@ -8,7 +8,7 @@ import os
 from datetime import UTC, datetime, timedelta
 
 SOURCE = "station_feed"
-NOON = datetime(2026, 4, 6, 12, 0, tzinfo=UTC)
+NOON = datetime(2026, 5, 13, 12, 0, tzinfo=UTC)
 
 
 def sha(x: object) -> str:
@@ -19,11 +19,12 @@ def iso(t: datetime) -> str:
     return t.strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+#: The records' fields and constants are those of the contract: fixed names and values.
 def observation(station: str, minute: float, bikes: int, docks: int = 10, /, **changes) -> dict:
     at = iso(NOON + timedelta(minutes=minute))
     record = {
         "schema_version": "1.0", "event_id": sha((station, minute, bikes)), "event_type": "STATION_STATUS_OBSERVED", "source_system": SOURCE,
-        "station": {"station_id": station, "short_name": f"{station}.1", "name": station.title(), "latitude": 40.7, "longitude": -74.0, "capacity": 20, "metadata_match_status": "MATCHED"},
+        "station": {"station_id": station, "short_name": f"{station}.1", "name": station.title(), "latitude": 40.7, "longitude": -74.0, "capacity": 20, "metadata_match_status": "MATCHED_BY_STATION_ID"},
         "availability": {"bikes_available": bikes, "bikes_disabled": 0, "docks_available": docks, "docks_disabled": 0, "ebikes_available": None},
         "service": {"is_installed": True, "is_renting": True, "is_returning": True},
         "time": {"snapshot_updated_at_utc": at, "station_reported_at_raw": None, "station_reported_at_utc": None, "observed_at_utc": at, "normalized_at_utc": at, "source_age_seconds": 5},

@@ -89,9 +89,16 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan(latest_state(observations(spark, SF)))
     # a page is a bounded top-k, not a global sort
     assert "TakeOrderedAndProject" in plan(catalog.QUERIES["topk_pairs"](spark, SF))
-    # the baseline is broadcast after its size was checked, and joined by a shuffle beyond it
+    # a small baseline is broadcast by the size that its stage turned out to have; a large one is joined by a shuffle
     base = spark.createDataFrame([("1", 1, 1, 1, *[1.0] * 6)], "station_id string, iso_weekday int, local_hour int, calendar_days int, " + ", ".join(f"{s}_{d} double" for d in ("pickups", "dropoffs") for s in ("avg", "p50", "p95")))
-    assert "BroadcastHashJoin" in plan(with_baseline(observations(spark, SF), base))
+    joined = with_baseline(observations(spark, SF), base)
+    joined.collect()
+    assert "BroadcastHashJoin" in plan(joined)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    joined = with_baseline(observations(spark, SF), base)
+    joined.collect()
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan(joined)
     assert "Python" not in plan(catalog.QUERIES["risk_episodes"](spark, SF))
 
 

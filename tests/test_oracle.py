@@ -11,7 +11,7 @@ import os
 import duckdb
 import pytest
 
-from stationlens.plans import catalog
+from stationlens.plans import catalog, service  # noqa: F401  service adds to the catalogue
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -1,87 +1,127 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from stationlens.functions.contracts import ALERT, alert_errors, dead_letters, parse_observations
 from stationlens.functions.rules import RuleConfig
 from stationlens.operators import episodes as ep
 from stationlens.operators.observations import feed_endpoints, normalize_snapshot
-from stationlens.operators.serving import acknowledge, priority_queue
-from stationlens.sources.streams import file_records, json_lines, rows
+from stationlens.operators.materialize import acknowledge_alerts, materialize_files, materialize_stream
+from stationlens.operators.serving import acknowledge, alert_documents, health, one_row, priority_queue
+from stationlens.sources.store import Store
+from stationlens.sources.streams import expected_records, file_records, json_lines, rows, topic_spans
 from stationlens.streaming import jobs
 from stationlens.streaming.processors import ALERTS
 from tests.station_data import SOURCE, observation, put_files, state
 
 
-def drain(spark, folder, **k):
-    return file_records(spark, folder, **k)
-
-
-def no_baseline(spark):
+def some_baseline(spark):
+    """The demand at station y on Wednesdays at 8 local time."""
     stats = ", ".join(f"{s}_{d} double" for d in ("pickups", "dropoffs") for s in ("avg", "p50", "p95"))
-    return spark.createDataFrame([("a.1", 1, 8, 4, 1.0, 1.0, 6.0, 1.0, 1.0, 2.0)], f"station_id string, iso_weekday int, local_hour int, calendar_days int, {stats}")
+    return spark.createDataFrame([("y.1", 3, 8, 4, 1.0, 1.0, 6.0, 1.0, 1.0, 2.0)], f"station_id string, iso_weekday int, local_hour int, calendar_days int, {stats}")
 
 
 def test_observation_job(spark, tmp_path):
-    repeated = observation("a", 1, 0)
-    batches = [[observation("a", 0, 5)], [repeated], [repeated], [observation("a", 6, 4)], [observation("a", 3, 3)], [observation("b", 20, 5)], [observation("a", 21, 5)], [observation("a", 2, 9)], [observation("c", 4, -1)], ["{not-json"]]
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "checkpoints"))
-    put_files(src, batches)
+    first = [
+        [observation("y", 0, 7)],
+        [observation("y", 4, 6), observation("x", 1, 2)],
+        ["[1, 2"],
+        [observation("x", 9, 1), observation("x", 1, 2)],  # the second is a copy
+        [observation("x", 7, 1)],  # older than the state, in time for its window
+        [observation("z", 2, 4, -3)],
+        [observation("y", 30, 7)],  # from here on windows up to minute 20 are closed
+        [observation("y", 33, 3)],
+        [observation("x", 3, 8)],  # too late
+    ]
+    put_files(src, first)
 
     def run():
-        jobs.finish(jobs.station_job(file_records(spark, src), no_baseline(spark), out, cp))
+        jobs.finish(jobs.station_job(file_records(spark, src), some_baseline(spark), jobs.file_sink(out, cp)))
 
     run()
-    put_files(src, [[observation("c", 40, 5)]], start=10)
+    put_files(src, [[observation("z", 50, 4)]], start=len(first))
     run()
     letters = spark.read.option("recursiveFileLookup", "true").json(f"{out}/dead_letters")
-    assert sorted(r.error_codes for r in letters.collect()) == [["AVAILABILITY_INVALID"], ["MALFORMED_JSON"]]
-    states = jobs.read_output(spark, f"{out}/current_state", "station_id string, event_id string, event_time timestamp, current_state_json string")
-    assert states.count() == 6 and states.select("station_id").distinct().count() == 3
-    assert {r.station_id: json.loads(r.current_state_json)["historical_demand"]["found"] for r in jobs.current_snapshot(spark, out).collect()} == {"a": True, "b": False, "c": False}
-    windows = spark.read.option("recursiveFileLookup", "true").json(f"{out}/windows")
-    assert windows.agg(F.sum("observation_count")).first()[0] == 6
-    assert windows.filter("station_id = 'a'").orderBy("window_start").first().observation_count == 3
+    assert sorted((r.error_codes, r.record_key == r.raw_sha256) for r in letters.collect()) == [(["AVAILABILITY_INVALID"], False), (["MALFORMED_JSON"], True)]
+    states = jobs.read_output(spark, f"{out}/current_state", "station_id string, event_id string, event_time timestamp, current_state_json string, input_partition bigint")
+    accepted = sorted((r.station_id, r.event_time.minute) for r in states.collect())
+    assert accepted == [("x", 1), ("x", 9), ("y", 0), ("y", 4), ("y", 30), ("y", 33), ("z", 50)]
+    assert {r.station_id: json.loads(r.current_state_json)["historical_demand"]["found"] for r in jobs.current_snapshot(spark, out).collect()} == {"x": False, "y": True, "z": False}
+    assert states.groupBy("station_id").agg(F.count_distinct("input_partition").alias("n")).filter("n <> 1").count() == 0
+    windows = spark.read.option("recursiveFileLookup", "true").json(f"{out}/windows").orderBy("station_id", "window_start")
+    assert [(r.station_id, r.observation_count) for r in windows.collect()] == [("x", 1), ("x", 2), ("y", 2), ("y", 2)]
     before = states.count()
     run()  # no input: nothing new
     assert jobs.read_output(spark, f"{out}/current_state", "event_id string").count() == before
+    assert jobs.materialize_outputs(spark, out) == {"current_snapshot": 3}
+    assert spark.read.json(f"{out}/current_snapshot").count() == 3
+
+
+def test_messages_and_the_memory_sink(spark, tmp_path):
+    src = str(tmp_path / "in")
+    put_files(src, [[observation("x", 0, 7)], ["{"], [observation("x", 30, 7)], [observation("x", 31, 7)]])
+    jobs.finish(jobs.station_job(file_records(spark, src), some_baseline(spark), jobs.memory_sink("shown")))
+    table = lambda name: {(r.key, json.loads(r.value).get("event_id")) for r in spark.table(f"shown_{name}").collect()}
+    assert {k for k, _ in table("current_state")} == {"x"} and len(table("current_state")) == 3
+    assert {k for k, _ in table("windows")} == {"x|2026-05-13T12:05:00Z"}
+    assert len(next(iter(table("dead_letters")))[0]) == 64
+
+
+#: What becomes of a station with 10 bikes and 10 docks, and how much demand it knows.
+TROUBLES = {
+    "busy": ({"bikes": 0, "docks": 20}, 8),
+    "calm": ({"bikes": 0, "docks": 20}, 0),
+    "brimful": ({"bikes": 20, "docks": 0}, 8),
+    "growing": ({"bikes": 0, "docks": 20}, 8),
+    "shut": ({"renting": False}, 0),
+    "silent": ({"age": 999}, 0),
+}
 
 
-STATIONS = {"HIGH": (10, 10, 8), "LOW": (10, 10, 0), "UPDATE": (10, 10, 8), "FULL": (10, 10, 8), "OFFLINE": (10, 10, 0), "STALE": (10, 10, 0)}
+def troubled(name, minute):
+    change, p95 = TROUBLES[name]
+    return state(name, minute, **({"bikes": 10, "docks": 10} | change), p95=p95)
 
 
-def risky(name, minute):
-    b, d, p = STATIONS[name]
-    return state(name, minute, **{"HIGH": {"bikes": 0, "docks": 20}, "LOW": {"bikes": 0, "docks": 20}, "UPDATE": {"bikes": 0, "docks": 20}, "FULL": {"bikes": 20, "docks": 0}, "OFFLINE": {"bikes": 10, "docks": 10, "renting": False}, "STALE": {"bikes": 10, "docks": 10, "age": 999}}[name], p95=p)
+def well(name, minute):
+    return state(name, minute, 10, 10, p95=TROUBLES[name][1])
 
 
 def test_alert_job(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "checkpoints"))
-    put_files(src, [[state(n, -1, 10, 10, p95=STATIONS[n][2]) for n in STATIONS], [risky(n, 0) for n in STATIONS], [risky(n, 5) for n in STATIONS] + [risky("LOW", 5)], [risky("LOW", 3)], ["{broken"]])
+    put_files(src, [
+        [well(n, -2) for n in TROUBLES],
+        [troubled(n, 1) for n in TROUBLES],
+        ["no record"],
+        [troubled(n, 7) for n in reversed(TROUBLES)],
+        [troubled("calm", 4), troubled("brimful", 7)],  # older than the state; a copy
+    ])
 
     def run(to=out, checkpoints=cp):
-        jobs.finish(jobs.alert_job(file_records(spark, src), to, checkpoints, RuleConfig(), SOURCE))
+        jobs.finish(jobs.alert_job(file_records(spark, src), jobs.file_sink(to, checkpoints), RuleConfig(), SOURCE))
 
     run()
-    put_files(src, [[risky("UPDATE", 10), state("HIGH", 12, 10, 10, p95=8)]], start=5)
+    put_files(src, [[well("busy", 16), troubled("growing", 15)]], start=5)
     run()
     events = jobs.read_output(spark, f"{out}/alerts", ALERTS).cache()
-    assert {r.event_type: r["count"] for r in events.groupBy("event_type").count().collect()} == {"ALERT_OPENED": 6, "ALERT_UPDATED": 1, "ALERT_RESOLVED": 1}
     scores = {(r.station_id, r.event_type): r.priority_score for r in events.collect()}
-    want = {"HIGH": 92.0, "LOW": 72.0, "FULL": 92.0, "OFFLINE": 58.0, "STALE": 50.0, "UPDATE": 92.0}
-    assert {n: scores[n, "ALERT_OPENED"] for n in want} == want and scores["UPDATE", "ALERT_UPDATED"] == 100.0
+    opened = {"busy": 93.6, "calm": 73.6, "brimful": 93.6, "growing": 93.6, "shut": 59.6, "silent": 51.6}
+    assert scores == {(n, "ALERT_OPENED"): x for n, x in opened.items()} | {("growing", "ALERT_UPDATED"): 100.0, ("busy", "ALERT_RESOLVED"): 0.0}
     queue = jobs.queue_snapshot(spark, out).orderBy("queue_rank").collect()
-    assert len(queue) == 5 and queue[0].station_id == "UPDATE"
+    assert [r.station_id for r in queue] == ["growing", "brimful", "calm", "shut", "silent"]
     bad = events.select(F.from_json("alert_json", ALERT).alias("a")).filter(F.size(alert_errors(F.col("a"))) > 0)
     assert bad.count() == 0
     assert spark.read.option("recursiveFileLookup", "true").json(f"{out}/dead_letters").count() == 1
     # acknowledging: once, and only what is active
-    low, high = (events.filter(f"station_id = '{n}'").first().alert_id for n in ("LOW", "HIGH"))
-    commands = spark.createDataFrame([(low, "2026-04-06 12:06:00"), (high, "2026-04-06 12:30:00")], "alert_id string, at string").select("alert_id", F.col("at").cast("timestamp").alias("acknowledged_at"))
+    calm, busy = (events.filter(f"station_id = '{n}'").first().alert_id for n in ("calm", "busy"))
+    commands = spark.createDataFrame([(calm, "2026-05-13 12:20:00"), (busy, "2026-05-13 12:30:00")], "alert_id string, at string").select("alert_id", F.col("at").cast("timestamp").alias("acknowledged_at"))
     made, refused = acknowledge(events, commands)
-    assert [r.alert_id for r in made.collect()] == [low] and [r.alert_id for r in refused.collect()] == [high]
+    assert [r.alert_id for r in made.collect()] == [calm] and [r.alert_id for r in refused.collect()] == [busy]
     assert acknowledge(events.unionByName(made), commands)[0].count() == 0
     assert priority_queue(events.unionByName(made)).count() == 5
     # a clean replay gives the same identities, and so does the batch machine
@@ -91,6 +131,93 @@ def test_alert_job(spark, tmp_path):
     parsed = jobs.parse_current_states(file_records(spark, src, stream=False))
     flat = parsed.filter("is_valid").select(F.col("record.station_id").alias("station_id"), F.col("record.event_id").alias("event_id"), "event_time", "input_offset", F.col("raw_value").alias("current_state_json"))
     assert {r.alert_event_id for r in ep.replay(flat, RuleConfig(), SOURCE).collect()} == ids
+    events.unpersist()
+    # commands from a file, after the run
+    (tmp_path / "commands.jsonl").write_text(json.dumps({"alert_id": calm, "acknowledged_at_utc": "2026-05-13T12:20:00Z"}) + "\n\n")
+    from_file = jobs.acknowledge_commands(spark, str(tmp_path / "commands.jsonl"))
+    assert jobs.materialize_outputs(spark, out, from_file) == {"acknowledged": 1, "priority_queue": 5}
+    assert jobs.materialize_outputs(spark, out, from_file)["acknowledged"] == 0
+    kept = jobs.read_output(spark, f"{out}/alerts", ALERTS).filter("event_type = 'ALERT_ACKNOWLEDGED'").first()
+    document = json.loads(kept.alert_json)
+    assert document["lifecycle_status"] == "ACKNOWLEDGED" and document["alert_event_id"] == kept.alert_event_id and document["time"]["status_changed_at_utc"] == "2026-05-13T12:20:00Z"
+    with pytest.raises(ValueError):
+        jobs.apply_acknowledgements(spark, out, commands)
+    # into the stored tables, from files and as a topic
+    store = Store(spark, str(tmp_path / "store"))
+    done = materialize_files(spark, store, 0, alerts=f"{out}/alerts", current=src_states(tmp_path))
+    assert done == {"alert_read": 9, "alert_inserted": 9, "current_read": 3, "current_updated": 2, "invalid": 0}
+    assert materialize_files(spark, store, 0, alerts=f"{out}/alerts")["alert_read"] == 0  # the batch was stored before
+    assert materialize_files(spark, store, 1, alerts=f"{out}/alerts")["alert_inserted"] == 0  # the events were
+    status = {r.station_id: r.lifecycle_status for r in store.read("alert_state").collect()}
+    assert status == {"busy": "RESOLVED", "calm": "ACKNOWLEDGED", "brimful": "OPEN", "growing": "OPEN", "shut": "OPEN", "silent": "OPEN"}
+    topic = str(tmp_path / "topic")
+    put_files(topic, [[r.alert_json] for r in events.orderBy("event_time").collect()] + [["{"]])
+    streamed, told = Store(spark, str(tmp_path / "streamed")), []
+    for _ in range(2):
+        materialize_stream(file_records(spark, topic, topic="alerts"), streamed, "alert", str(tmp_path / "checkpoints3"), on_batch=lambda k, done: told.append(done)).awaitTermination()
+    assert sum(d["alert_inserted"] for d in told) == 8 and sum(d["invalid"] for d in told) == 1
+    rows = lambda s: {r.alert_id: (r.priority_score, r.resolved_at) for r in s.read("alert_state").filter("acknowledged_at IS NULL").collect()}
+    assert rows(streamed).items() >= rows(store).items()
+    assert streamed.read("consumer_offsets").filter("topic = 'alerts'").count() > 0
+    # acknowledging in the stored tables
+    asks = [("key-0001", calm), ("key-0002", "unknown"), ("key-0003", busy), ("key-0004", next(r.alert_id for r in store.read("alert_state").collect() if r.station_id == "shut"))]
+    requests = spark.createDataFrame([(k, a, "me", datetime(2026, 5, 13, 13)) for k, a in asks], "idempotency_key string, alert_id string, requested_by string, acknowledged_at timestamp")
+    outcomes = {r.idempotency_key: r.outcome for r in acknowledge_alerts(store, "api", 0, requests).collect()}
+    assert outcomes == {"key-0001": "ALREADY_ACKNOWLEDGED", "key-0002": "NOT_FOUND", "key-0003": "CONFLICT", "key-0004": "ACCEPTED"}
+    after = store.read("alert_state").filter("station_id = 'shut'").first()
+    assert (after.lifecycle_status, after.acknowledged_by) == ("ACKNOWLEDGED", "me") and store.read("alert_commands").count() == 1
+    assert {r.outcome for r in acknowledge_alerts(store, "api", 1, requests.filter("idempotency_key = 'key-0004'")).collect()} == {"REPLAYED"}
+    shown = one_row(alert_documents(store.read("alert_state")), "alert_id", after.alert_id)["document"]
+    assert shown["acknowledgement"]["acknowledged_by"] == "me" and shown["priority"]["score"] == 59.6
+    with pytest.raises(LookupError):
+        one_row(store.read("alert_state"), "alert_id", "unknown")
+    assert health(store.read("station_current"), store.read("alert_state")) == {"status": "ready", "stations": 2, "active_alerts": 5}
+
+
+def src_states(tmp_path) -> str:
+    """Two stations' states as a job writes them, the newest first."""
+    folder = tmp_path / "states"
+    put_files(str(folder), [[{"current_state_json": json.dumps(state("a", 3))}, state("b", 1)], [{"current_state_json": json.dumps(state("a", 2))}]])
+    return str(folder)
+
+
+def test_a_bad_line_is_named(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps(state("a", 1)) + "\n\n{oops\n")
+    with pytest.raises(ValueError, match=r"x\.json:3 is not JSON"):
+        materialize_files(spark, Store(spark, str(tmp_path / "store")), 0, current=str(tmp_path / "x.json"))
+    (tmp_path / "y.json").write_text(json.dumps(state("a", 1) | {"station_id": "b"}) + "\n")
+    with pytest.raises(ValueError, match="STATION_ID_MISMATCH"):
+        materialize_files(spark, Store(spark, str(tmp_path / "store")), 0, current=str(tmp_path / "y.json"))
+
+
+def test_a_store_keeps_whole_commits(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), keep=2)
+    offsets = lambda n: spark.createDataFrame([("t", 0, n)], "topic string, partition bigint, next_offset bigint")
+    assert store.read("consumer_offsets").count() == 0
+    for n in range(5):
+        assert store.commit({"consumer_offsets": ("replace", offsets(n))}, "x", n)
+    assert not store.commit({"consumer_offsets": ("replace", offsets(99))}, "x", 4) and store.commit({"consumer_offsets": ("append", offsets(7))}, "y", 0)
+    assert sorted(r.next_offset for r in store.read("consumer_offsets").collect()) == [4, 7]
+    assert len(list((tmp_path / "s" / "data" / "consumer_offsets").iterdir())) == 2
+
+
+def test_ordered_lines(spark, tmp_path):
+    put_files(str(tmp_path / "in"), [["c", "a", "b"]])
+    lines = spark.readStream.format("text").load(str(tmp_path / "in"))
+    jobs.write_ordered(lines, str(tmp_path / "out"), str(tmp_path / "cp"), "value", "value").awaitTermination()
+    files = sorted((tmp_path / "out" / "batch_id=0").glob("part-*"))
+    assert [x for f in files for x in f.read_text().split()] == ["a", "b", "c"]
+
+
+def test_spans_and_expected_records(spark):
+    records = rows(spark, [("k", json.dumps(observation("a", m, 5)), "t", m % 2, 10 + m) for m in range(5)])
+    assert {(r.partition, r.low, r.high, r.records) for r in topic_spans(records).collect()} == {(0, 10, 15, 5), (1, 11, 14, 3)}
+    keyed = records.withColumn("key", F.lit("a"))
+    assert expected_records(lambda: keyed, lambda r: parse_observations(r, SOURCE), 5).count() == 5
+    with pytest.raises(RuntimeError):
+        expected_records(lambda: keyed, lambda r: parse_observations(r, SOURCE), 6, attempts=2)
+    with pytest.raises(ValueError, match="KAFKA_KEY"):
+        expected_records(lambda: records, lambda r: parse_observations(r, SOURCE), 5)
 
 
 def test_validation_codes(spark):

@@ -13,9 +13,9 @@ def test_all_dead_letters(spark):
     records = catalog._records(spark, SF_DIR)
     want = set()
     for r in records.collect():
-        n = r.input_offset
+        n = r.origin.offset
         if n % 19 == 0 or n % 7 == 0 or n % 11 == 0 or n % 13 == 0 or n % 17 == 0 or (n % 3 and n % 23 == 0):
-            want.add((n, r.input_key if r.input_key is not None else hashlib.sha256(r.raw_value.encode()).hexdigest()))
+            want.add((n, r.key if r.key is not None else hashlib.sha256(r.body.encode()).hexdigest()))
     got = catalog.QUERIES["dead_letter_all"](spark, SF_DIR).collect()
     assert {(r.input_offset, r.record_key) for r in got} == want and len(got) == len(want)
     assert any(n % 3 == 0 and n % 19 for n, _ in want)
