@@ -1,37 +1,44 @@
 """Best-fit packing of tokenised documents into sequences of a fixed number of tokens.
 
-Bulk-synchronous best-fit. Lengths are integers up to ``max_tokens``, so the range-sorted order of the waiting
-pieces and of the gaps is held as runs of equal length: a histogram of at most ``max_tokens`` x ``RANK_BUCKETS``
-counts, whatever the corpus. In each round the longest waiting run bids for gaps: a successor sweep goes over the
-gaps that are large enough, smallest first; a gap wanted by many goes to the pieces of lowest rank, the others bid
-for the next gap, and those that find none open sequences. The gaps are then updated and the next run follows.
-The rounds move whole runs (a few thousand steps for any number of rows); the rows themselves are ranked by one
-shuffle and find their place by their rank in a lookup table whose size the runs bound.
+Bulk-synchronous best-fit. Pieces and gaps are dealt by ranges of size and sorted there, longest first. Pieces are placed in
+classes of falling length. In each round every waiting piece of a class bids for its successor, the smallest gap that is large
+enough, by a sweep down its range: gaps met go on a stack, a piece takes the top. Of the pieces that bid for one gap that of
+the highest rank (the longest) wins it, the others go on to the next larger gap; those that find none in their range meet
+the gaps which the ranges above have left, again the smallest first. Then the gaps are updated and the next round follows; what waits after
+``ROUNDS`` rounds opens sequences. A gap that holds several pieces of a class for certain takes as many bids.
+
+Pieces and gaps are rows of tables throughout. The driver gets, in each round, how many of each size there are (to cut the
+ranges) and how many pieces and gaps each range has left.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlens.llm.common import Scratch, own_caches, prepare
+from stationlens.llm.common import Scratch, own_caches, prepare, shuffle_partitions
 
-#: Ranks within a length are dealt out over so many buckets, so that a hot length is no hot task.
-RANK_BUCKETS = 512
+#: Classes of length end at the capacity divided by these.
+SHARES = (1, 2, 3, 4, 5, 6, 8, 11, 16, 24, 32, 64, 128, 256)
+ROUNDS = 2
+#: Rows of a range, at most, but for the shuffle's least number of them.
+RANGE_ROWS = 200_000
 #: Texts with longer runs without white space go to the library, whose merging is not quadratic.
 LONG_RUN_CHARS = 4096
 #: The byte-level pre-tokeniser's pattern: a fixed value of this kind of tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+LEFT_OVER, GAP_LEFT, TAKEN = 1, 2, 0
+_SWEPT = "kind int, part long, turn long, pid long, length long, gap long, room long"
+
 
 class Encoder:
     """Ids of whole texts as the library gives them for a byte-level tokenizer file.
@@ -110,60 +117,190 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: in
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.concatenate([encode(text.as_py() or ""), end]).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), max_tokens)):
-                    crc = zlib.crc32(ids[start : start + length].data)
-                    rows.append((doc_id, k, start, length, crc, (crc ^ zlib.crc32(b"%d/%d" % (doc_id or 0, k))) % RANK_BUCKETS))
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "bucket"])
+                    rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].data)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Rounds of best-fit over runs: (length, first rank, how many, first sequence, offset) for each run placed.
-
-    ``counts``: pieces by length. Sequences are numbered from 0. Equal to best-fit decreasing over the single pieces.
+def classes(capacity: int) -> list[tuple[int, int]]:
+    """(over, up to) of the classes of length, longest first."""
+    bounds = sorted({capacity // k for k in SHARES if capacity // k}, reverse=True) + [0]
+    return list(zip(bounds[1:], bounds[:-1], strict=True))
+
+
+def ranges(counts: dict[int, int], low: int, high: int, rows: int) -> tuple[list[int], list[int]]:
+    """For each size over ``low`` up to ``high``: its first range (they rise as sizes fall) and how many it is dealt to."""
+    first, many, part, held = [0] * (high - low), [1] * (high - low), 0, 0
+    for size in range(high, low, -1):
+        n = counts.get(size, 0)
+        if held and held + n > rows:
+            part, held = part + 1, 0
+        first[size - low - 1], many[size - low - 1] = part, max(1, -(-n // rows))
+        if n > rows:
+            part, held = part + many[size - low - 1], 0
+        else:
+            held += n
+    return first, many
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, size, is_piece, id, room) by range, longest first, gaps before pieces of their size -> what was taken, and what is left."""
+    names, part = [f.split()[0] for f in _SWEPT.split(", ")], None
+    stack: list[tuple[int, int]] = []
+    out: list[tuple] = []
+    turn = 0
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(columns)], names)
+
+    def close() -> list[tuple]:
+        return [(GAP_LEFT, part, k, None, None, gap, room) for k, (gap, room) in enumerate(stack)]
+
+    for rows in batches:
+        for p, size, is_piece, ident, room in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if p != part:
+                out += close()
+                part, stack, turn = p, [], 0
+            if not is_piece:
+                stack.append((ident, room))
+            elif stack:
+                gap, left = stack.pop()
+                out.append((TAKEN, p, 0, ident, size, gap, left))
+            else:
+                out.append((LEFT_OVER, p, turn, ident, size, None, None))
+                turn += 1
+        yield batch(out)
+        out = []
+    yield batch(close())
+
+
+def meet(left: dict[int, tuple[int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Pieces and gaps that ranges have left (range -> how many of each), longest first, brought together.
+
+    Returns runs (range, first turn, number) of pieces and (range, last turn, number) of gaps, where a piece and a gap with
+    the same number meet: a piece's number rises with its turn, a gap's falls. Gaps that meet none have -1; the number of pieces
+    that meet none is -1 less their rank among those.
     """
-    placed: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # room left: runs of sequences (first, how many)
-    rooms: list[int] = []  # the sorted keys of gaps
-    opened = 0
-
-    def leave(room: int, first: int, many: int) -> None:
-        if room <= 0:
-            return
-        if room not in gaps:
-            gaps[room] = []
-            bisect.insort(rooms, room)
-        gaps[room].append((first, many))
-
-    for length in sorted(counts, reverse=True):
-        rank, waiting = 0, counts[length]
-        while waiting:
-            at = bisect.bisect_left(rooms, length)  # the successor: the smallest gap that is large enough
-            if at == len(rooms):
-                per = capacity // length  # with no gap left, each new sequence takes as many as fit
-                full, rest = divmod(waiting, per)
-                for many, each in ((full, per), (1 if rest else 0, rest)):
-                    if many:
-                        for k in range(each):
-                            placed.append((length, rank + k * many, many, opened, k * length))
-                        leave(capacity - each * length, opened, many)
-                        rank, opened = rank + many * each, opened + many
-                waiting = 0
-                continue
-            room = rooms[at]
-            first, many = gaps[room].pop()
-            if not gaps[room]:
-                del gaps[room]
-                rooms.pop(at)
-            won = min(many, waiting)
-            placed.append((length, rank, won, first, capacity - room))
-            if many > won:
-                leave(room, first + won, many - won)
-            leave(room - length, first, won)
-            rank, waiting = rank + won, waiting - won
-    return placed
+    pieces, gaps, stack, number, unmet = [], [], [], 0, 0
+    for part in sorted(left):
+        waiting, free = left[part]
+        turn = 0
+        while turn < waiting and stack:
+            other, top = stack.pop()
+            met = min(top, waiting - turn)
+            pieces.append((part, turn, number))
+            gaps.append((other, top - 1, number))
+            if top > met:
+                stack.append((other, top - met))
+                gaps.append((other, top - met - 1, -1))
+            turn, number = turn + met, number + met
+        if turn < waiting:
+            pieces.append((part, turn, -1 - unmet))
+            unmet += waiting - turn
+        if free:
+            stack.append((part, free))
+    return pieces, gaps + [(part, top - 1, -1) for part, top in stack]
+
+
+def _numbered(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]]):
+    """Rows left over -> with ``number``: at which they meet, or null; pieces that meet none have their ``rank`` among those."""
+    up = sorted(pieces)
+    down = sorted({(part, turn): number for part, turn, number in gaps}.items())
+    shift = 1 << 40
+    up_at, up_turn, up_number = (np.array(c, np.int64) for c in ([p * shift + t for p, t, _ in up], [t for _, t, _ in up], [n for _, _, n in up]))
+    down_at, down_turn, down_number = (np.array(c, np.int64) for c in ([p * shift + t for (p, t), _ in down], [t for (_, t), _ in down], [n for _, n in down]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, part, turn = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            number, rank = np.full(len(kind), -1, np.int64), np.full(len(kind), -1, np.int64)
+            mine = np.flatnonzero(kind == LEFT_OVER)
+            if len(mine):
+                k = np.searchsorted(up_at, part[mine] * shift + turn[mine], side="right") - 1
+                past = turn[mine] - up_turn[k]
+                number[mine] = np.where(up_number[k] >= 0, up_number[k] + past, -1)
+                rank[mine] = np.where(up_number[k] < 0, -1 - up_number[k] + past, -1)
+            mine = np.flatnonzero(kind == GAP_LEFT)
+            if len(mine):
+                k = np.searchsorted(down_at, part[mine] * shift + turn[mine])
+                number[mine] = np.where(down_number[k] >= 0, down_number[k] + down_turn[k] - turn[mine], -1)
+            none = lambda x: pa.array(x, mask=x < 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, none(number), none(rank)], [*(f.split()[0] for f in _SWEPT.split(", ")), "number", "rank"])
+
+    return run
+
+
+def _at(values: list[int], place: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), place.cast("int"))
+
+
+def _put(pieces: DataFrame, order: str) -> DataFrame:
+    """(gap, pid, length, used) -> (pid, gap, offset, length): the pieces of a gap one after the other."""
+    before = Window.partitionBy("gap").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.select("pid", "gap", (F.col("used") + F.coalesce(F.sum("length").over(before), F.lit(0))).alias("offset"), "length")
+
+
+def _placed(pieces: DataFrame, capacity: int, scratch: Scratch) -> list[DataFrame]:
+    """Tables (pid, gap, offset, length) of all pieces' places; a sequence is named by the first piece in it."""
+    spark, none = pieces.sparkSession, "pid long, gap long, offset long, length long"
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    done: list[DataFrame] = []
+    gaps, before = spark.createDataFrame([], "gap long, room long"), ""
+    for at, (low, high) in enumerate(classes(capacity)):
+        if not any(low < n <= high for n in lengths):
+            continue
+        of_class = pieces.filter((F.col("length") > low) & (F.col("length") <= high)).select("pid", "length")
+        if capacity // high == 1 and low >= capacity // 2:  # no two of them fit together
+            done.append(of_class.select("pid", F.col("pid").alias("gap"), F.lit(0).cast("long").alias("offset"), "length"))
+            gaps = scratch.keep(of_class.select(F.col("pid").alias("gap"), (F.lit(capacity) - F.col("length")).alias("room")).filter("room > 0"), f"gaps-{at}")
+            before = f"gaps-{at}"
+            continue
+        waiting, sizes = of_class, {n: c for n, c in lengths.items() if low < n <= high}
+        for round_ in range(ROUNDS):
+            name = f"{at}-{round_}"
+            slots = gaps.filter(F.col("room") > low).withColumn("slots", F.greatest(F.lit(1), F.floor(F.col("room") / high)).cast("int")).select("gap", "room", F.explode(F.sequence(F.lit(1), F.col("slots"))).alias("slot"), F.least("room", F.lit(high)).alias("size"))
+            counts = dict(sizes)
+            for r in slots.groupBy("size").agg(F.count("*").alias("n")).collect():
+                counts[r["size"]] = counts.get(r["size"], 0) + r["n"]
+            total = sum(counts.values())
+            first, many = ranges(counts, low, high, max(1, -(-total // max(shuffle_partitions(spark), -(-total // RANGE_ROWS)))))
+            items = waiting.select(F.col("length").alias("size"), F.lit(True).alias("is_piece"), F.col("pid").alias("id"), F.lit(0).cast("long").alias("room"), F.lit(0).alias("slot"))
+            items = items.unionByName(slots.select("size", F.lit(False).alias("is_piece"), F.col("gap").alias("id"), "room", "slot"))
+            place = F.col("size") - low
+            part = (_at(first, place) + F.pmod(F.xxhash64("id", "slot"), _at(many, place))).cast("long")
+            items = items.withColumn("part", part).repartition("part").sortWithinPartitions("part", F.desc("size"), "is_piece", F.desc("room"), "id")
+            swept = scratch.keep(items.select("part", "size", "is_piece", "id", "room").mapInArrow(_sweep, _SWEPT), f"swept-{name}")
+            left: dict[int, list[int]] = {}
+            for r in swept.filter(F.col("kind") != TAKEN).groupBy("part", "kind").agg(F.count("*").alias("n")).collect():
+                left.setdefault(r["part"], [0, 0])[0 if r["kind"] == LEFT_OVER else 1] = r["n"]
+            over, free = meet({k: tuple(v) for k, v in left.items()})
+            rest = swept.filter(F.col("kind") != TAKEN).mapInArrow(_numbered(over, free), f"{_SWEPT}, number long, rank long")
+            far = rest.filter(F.col("kind") == LEFT_OVER).select("number", "pid", "length").join(rest.filter(F.col("kind") == GAP_LEFT).select("number", "gap", "room"), "number")
+            taken = swept.filter(F.col("kind") == TAKEN).select("gap", "room", "pid", "length").unionByName(far.select("gap", "room", "pid", "length"))
+            put = [_put(taken.withColumn("used", F.lit(capacity) - F.col("room")), "pid")]
+            unmet = any(n < 0 for _, _, n in over)
+            lonely = rest.filter("rank IS NOT NULL").select("pid", "length", "rank")
+            if unmet and round_ == ROUNDS - 1:  # the rest opens sequences, each for as many as fit for certain
+                own = lonely.withColumn("g", F.floor(F.col("rank") / (capacity // high)))
+                head = own.withColumn("gap", F.first("pid").over(Window.partitionBy("g").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+                put.append(_put(head.withColumn("used", F.lit(0).cast("long")), "rank"))
+            new = scratch.keep(reduce(DataFrame.unionByName, put), f"placed-{name}")
+            done.append(new)
+            opened = new.filter("offset = 0").select("gap", F.lit(capacity).cast("long").alias("room"))
+            changed = reduce(DataFrame.unionByName, (gaps, opened, new.select("gap", (-F.col("length")).alias("room"))))
+            gaps = scratch.keep(changed.groupBy("gap").agg(F.sum("room").alias("room")).filter("room > 0"), f"gaps-{name}")
+            if unmet and round_ < ROUNDS - 1:
+                waiting = scratch.keep(lonely.select("pid", "length"), f"waiting-{name}")
+                sizes = {r["length"]: r["n"] for r in waiting.groupBy("length").agg(F.count("*").alias("n")).collect()}
+            scratch.drop(f"swept-{name}", before)
+            before = f"gaps-{name}"
+            if not unmet:
+                break
+    return done or [spark.createDataFrame([], none)]
 
 
 def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,28 +308,10 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int =
 
     Nulls: a null text is empty (its end id alone is packed), a null id is kept as null. Repeated rows are packed
     each. An empty table gives no rows. Other columns are ignored. Texts are tokenised once and the pieces kept in the
-    shared folder; the ranks cost one shuffle of the pieces (not of texts).
+    shared folder; only narrow rows are shuffled.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    pieces = scratch.keep(tokenize_pieces(docs, tokenizer, max_tokens, end_id, id_col, text_col), "pieces")
-    # at most max_tokens x RANK_BUCKETS rows reach the driver, whatever the corpus
-    held = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")).toArrow()
-    sizes = np.zeros((max_tokens + 1, RANK_BUCKETS), np.int64)
-    sizes[held["length"].to_numpy(), held["bucket"].to_numpy()] = held["n"].to_numpy()
-    base = np.cumsum(sizes, axis=1) - sizes  # rank of a bucket's first piece within its length
-    runs = np.array(plan_runs({n: int(c) for n, c in enumerate(sizes.sum(axis=1)) if c}, max_tokens), np.int64).reshape(-1, 5)
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    shift = 1 << 50
-    keys = runs[:, 0] * shift + runs[:, 1]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, bucket = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            rank = base[length, bucket] + batch.column(6).to_numpy() - 1
-            at = np.searchsorted(keys, length * shift + rank, side="right") - 1
-            sequence = runs[at, 3] + rank - runs[at, 1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sequence), pa.array(runs[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    return pieces.withColumn("turn", F.row_number().over(order)).mapInArrow(place, PLACED)
+    scratch = Scratch(docs.sparkSession)
+    made = tokenize_pieces(docs, tokenizer, max_tokens, end_id, id_col, text_col).withColumn("pid", F.monotonically_increasing_id())
+    pieces = scratch.keep(made, "pieces")
+    places = reduce(DataFrame.unionByName, _placed(pieces, max_tokens, scratch))
+    return pieces.join(places.select("pid", F.col("gap").alias("sequence_id"), "offset"), "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
