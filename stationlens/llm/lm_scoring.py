@@ -1,10 +1,14 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
-Both models are interpolated bigram models over one shared vocabulary, that of all words of both sets: words are 64-bit
-hashes, pairs are two of them. The background is all other documents. Counts of words and pairs are written tables that grow
-with the corpus: tasks count what they read and pass on a row a pair. A document asks for its pairs' counts by a
-join on the pair's key; pairs with a share of ``1 / HOT_KEYS`` of all words or more (so at most ``HOT_KEYS``) are
-broadcast instead, so that no key of the join is large. A document is scored without its own counts.
+Both models are interpolated bigram models over one shared vocabulary, that of all words of both sets; the background is all
+other documents. All words, histories and pairs are counted, by 64-bit hashes, in both sets.
+
+Documents are dealt to chunks of bounded size by a hash of their id and text. A chunk asks for the counts of its distinct
+keys, each once however often it occurs there, with its own counts beside them; the keys are sorted, so that their differences and counts
+are a few bytes each. A range of the key space gathers what all chunks ask of it, sums the counts and answers each chunk in
+the order of its questions. So what is gathered grows with the corpus, a frequent pair is a row a chunk rather than one an
+occurrence, and nothing is broadcast but the target's ids (up to a bound). The chunk then scores its documents, each without
+its own counts.
 """
 
 from __future__ import annotations
@@ -17,20 +21,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlens.llm.common import Scratch, own_caches, prepare, small_enough
+from stationlens.llm.common import Scratch, own_caches, prepare, shuffle_partitions, small_enough
+from stationlens.llm.jaccard import mix
 
 #: Weights of the pair, word and uniform parts.
 WEIGHTS = (0.55, 0.4, 0.05)
-CACHE_ENTRIES = 400_000
-#: Ids or words that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = BROADCAST_WORDS = 1_000_000
-#: Keys with at least 1 in so many of all words go by broadcast.
-HOT_KEYS = 100_000
-#: Pairs a task gathers before it sums them, and sums it holds before it passes them on.
-GATHERED = 1 << 21
+CACHE_ENTRIES = 200_000
+#: Ids that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Characters of a chunk, about, and keys that chunks ask of a range of the key space, about.
+CHUNK_CHARS, RANGE_KEYS = 2_000_000, 1_000_000
 
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&@^~`+-=_/\\¿¡«»“”‘’…–—"
 SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
+_ASKED = "range long, chunk long, payload binary"
+_ANSWERED = "chunk long, range long, words long, t long, b long, payload binary"
+_CHUNK = "chunk long, kind int, range long, doc_id long, side int, text string, payload binary"
+
+#: What a key is of, in its two lowest bits.
+PAIR, WORD, HISTORY = 0, 1, 2
+_SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 class _Numbers(dict):
@@ -48,142 +58,192 @@ _NUMBERS = _Numbers()
 
 def number(text: str | None) -> np.ndarray:
     words = text.split() if text else []
-    return np.fromiter(map(_NUMBERS.__getitem__, words), np.uint64, len(words)).view(np.int64)
-
-
-def history(ids: np.ndarray) -> np.ndarray:
-    """What each word follows; the first follows 0, the start of the text."""
-    return np.concatenate([np.zeros(1, np.int64), ids[:-1]]) if len(ids) else ids
-
+    return np.fromiter(map(_NUMBERS.__getitem__, words), np.uint64, len(words))
 
-def pair_key(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    h = before.view(np.uint64)
-    return ((h << np.uint64(21)) | (h >> np.uint64(43))).view(np.int64) ^ ids
 
+def keys(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word that follows another: the keys of the pair, the word and its history."""
+    own = lambda x, kind: (mix(x + _SEEDS[kind]) & ~np.uint64(3)) | np.uint64(kind)
+    return own(mix(before) * _SEEDS[1] + word, PAIR), own(word, WORD), own(before, HISTORY)
 
-def _pair_key(before: Column, word: Column) -> Column:
-    return F.shiftleft(before, 21).bitwiseOR(F.shiftrightunsigned(before, 43)).bitwiseXOR(word)
 
+def bits(p: np.ndarray, h: np.ndarray, w: np.ndarray, total: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Bits for a word, from the counts of the pair, its history, the word and all words.
 
-def bits(p, h, w, total, vocabulary, log2=np.log2, greatest=np.maximum):
-    """Bits for a word, from the counts of the pair, its history, the word and all words."""
+    Over the vocabulary the probabilities add up to 1 after any history: what an unknown history or an empty set cannot
+    say goes to the next part.
+    """
     a, b, c = WEIGHTS
-    return -log2(a * p / greatest(h, 1) + b * w / greatest(total, 1) + c / vocabulary)
-
+    a = np.where(h > 0, a, 0.0)
+    b = np.where(total > 0, WEIGHTS[0] + WEIGHTS[1] - a, 0.0)
+    c = 1 - a - b
+    return -np.log2(a * p / np.maximum(h, 1) + b * w / np.maximum(total, 1) + c / vocabulary)
+
+
+def packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of numbers of one length, 64 bits each, by planes of bytes, compressed."""
+    n = len(arrays[0])
+    planes = np.stack([np.asarray(x).astype("<u8") for x in arrays]).view(np.uint8).reshape(len(arrays), n, 8).transpose(0, 2, 1)
+    return n.to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, many: int) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    raw = pa.decompress(blob[8:], decompressed_size=n * many * 8, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(many, 8, n).transpose(0, 2, 1)).view("<u8").reshape(many, n)
+
+
+class Chunk:
+    """Documents that are counted and scored together."""
+
+    def __init__(self) -> None:
+        self.ids: list[int | None] = []
+        self.sides: list[int] = []
+        self.words: list[np.ndarray] = []
+
+    def add(self, doc_id: int | None, side: int, text: str | None) -> None:
+        self.ids.append(doc_id)
+        self.sides.append(side)
+        self.words.append(number(text))
+
+    def count(self) -> None:
+        """``keys``, sorted and distinct, their counts in the target ``t`` and the background ``b``, and where each word's are (``at``)."""
+        self.n = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        flat = np.concatenate([*self.words, np.empty(0, np.uint64)])
+        self.words = []
+        self.owner = np.repeat(np.arange(len(self.n)), self.n)
+        self.side = np.array(self.sides, np.int64)
+        before = np.zeros(len(flat), np.uint64)
+        before[1:] = flat[:-1]
+        starts = np.cumsum(self.n) - self.n
+        before[starts[self.n > 0]] = 0  # the start of a text
+        self.keys, where = np.unique(np.concatenate(keys(before, flat)), return_inverse=True)
+        self.at = where.reshape(3, len(flat))
+        of_target = np.tile(self.side[self.owner], 3)
+        self.t = np.bincount(where, weights=of_target, minlength=len(self.keys)).astype(np.int64)
+        self.b = np.bincount(where, minlength=len(self.keys)) - self.t
+
+    def asked(self, shift: int) -> Iterator[tuple[int, bytes]]:
+        """(range, payload) of the keys in each range of the key space."""
+        part = (self.keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(self.keys), np.int64)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, e in zip(starts, [*starts[1:], len(part)], strict=False):
+            own = self.keys[a:e]
+            yield int(part[a]), packed([np.diff(own, prepend=np.uint64(0)), self.t[a:e], self.b[a:e]])
+
+    def scored(self, t: np.ndarray, b: np.ndarray, totals: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Each document's summed bits under both models, from the counts of the keys in all documents."""
+        own = []
+        for at in self.at:
+            _, where, n = np.unique(self.owner * len(self.keys) + at, return_inverse=True, return_counts=True)
+            own.append(n[where])
+        out = []
+        for side, counts in ((1, t), (0, b)):
+            mine = self.side[self.owner] == side
+            p, w, h = (np.where(mine, counts[at] - less, counts[at]) for at, less in zip(self.at, own, strict=True))
+            total = totals["t" if side else "b"] - np.where(mine, self.n[self.owner], 0)
+            out.append(np.bincount(self.owner, weights=bits(p, h, w, total, totals["vocabulary"]), minlength=len(self.n)))
+        return out[0], out[1]
+
+
+def _ask(shift: int):
+    """Rows (chunk, doc_id, side, text) in the order of chunks -> what each chunk asks of each range."""
 
-def _summed(before: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, first, where = np.unique(pair_key(before, word), return_index=True, return_inverse=True)
-    return before[first], word[first], np.stack([np.bincount(where, weights=x, minlength=len(first)) for x in n]).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("lm_scoring", _NUMBERS.clear)
+        last, chunk = None, Chunk()
 
+        def rows() -> pa.RecordBatch:
+            chunk.count()
+            made = list(chunk.asked(shift))
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in made], pa.int64()), pa.array([last] * len(made), pa.int64()), pa.array([p for _, p in made], pa.binary())], ["range", "chunk", "payload"])
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own_caches("lm_scoring", _NUMBERS.clear)
-    parts, held = [], 0
+        for batch in batches:
+            for c, doc, side, text in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if c.as_py() != last and last is not None:
+                    yield rows()
+                    chunk = Chunk()
+                last = c.as_py()
+                chunk.add(doc.as_py(), side.as_py(), text.as_py())
+        if last is not None:
+            yield rows()
 
-    def summed():
-        return _summed(*(np.concatenate([p[k] for p in parts], axis=-1) for k in range(3)))
+    return run
 
-    def rows(own):
-        before, word, (b, t) = own
-        for a in range(0, len(word), 1 << 17):
-            e = a + (1 << 17)
-            yield pa.RecordBatch.from_arrays([pa.array(x[a:e]) for x in (before, word, t, b)], ["h", "w", "t", "b"])
 
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (range, chunk, payload) in the order of ranges -> the counts in all chunks of what each chunk asked, in its order."""
+    names = [f.split()[0] for f in _ANSWERED.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+
+    def summed(part: int, asked: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        whole = [unpacked(p, 3) for _, p in asked]
+        uniq, where = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in whole]), return_inverse=True)
+        t, b = (np.bincount(where, weights=np.concatenate([x[k] for x in whole]).astype(float), minlength=len(uniq)).astype(np.int64) for k in (1, 2))
+        word = (uniq & np.uint64(3)) == WORD
+        ends = np.cumsum([x.shape[1] for x in whole])
+        rows = []
+        for k, ((chunk, _), x, e) in enumerate(zip(asked, whole, ends, strict=True)):
+            at = where[e - x.shape[1] : e]
+            first = (int(word.sum()), int(t[word].sum()), int(b[word].sum())) if k == 0 else (0, 0, 0)
+            rows.append((chunk, part, *first, packed([t[at], b[at]])))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    last, asked = None, []
     for batch in batches:
-        for side, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = number(text.as_py())
-            if len(ids):
-                n = np.zeros((2, len(ids)), np.int64)
-                n[side] = 1
-                parts.append((history(ids), ids, n))
-                held += len(ids)
-                if held >= GATHERED:
-                    parts = [summed()]
-                    held = len(parts[0][1])
-                    if 2 * held >= GATHERED:
-                        yield from rows(parts[0])
-                        parts, held = [], 0
-    if parts:
-        yield from rows(summed())
-
-
-def _sides(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """doc_id, text, side: 1 target, 0 background."""
-    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("_target", F.lit(1))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    side = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    return texts.join(side, "doc_id", "left").select("doc_id", "text", F.coalesce("_target", F.lit(0)).alias("side"))
-
+        for part, chunk, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != last and asked:
+                yield summed(last, asked)
+                asked = []
+            last = part
+            asked.append((chunk, payload))
+    if asked:
+        yield summed(last, asked)
 
-def _attach(pairs: DataFrame, words: DataFrame, key: str, cut: int) -> DataFrame:
-    """``pairs`` with the counts of ``words``: by broadcast if there are few, else by a shuffle of all but those over ``cut``."""
-    if small_enough(words, BROADCAST_WORDS):
-        return pairs.join(F.broadcast(words), key)
-    size = F.col(words.columns[1]) + F.col(words.columns[2])
-    hot = F.broadcast(words.filter(size >= cut))
-    return pairs.join(hot, key).unionByName(pairs.join(hot, key, "left_anti").join(words.filter(size < cut), key))
 
-
-def train(sided: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, int]]:
-    """A row a pair (k, counts of it, its history and its word in both sets), and the totals t, b and vocabulary."""
-    counted = sided.select("side", "text").mapInArrow(_count, "h long, w long, t long, b long").groupBy("h", "w").agg(F.sum("t").alias("tp"), F.sum("b").alias("bp"))
-    pairs = scratch.keep(counted, "pairs")
-    words = scratch.keep(pairs.groupBy("w").agg(F.sum("tp").alias("tw"), F.sum("bp").alias("bw")), "words")
-    before = scratch.keep(pairs.groupBy("h").agg(F.sum("tp").alias("th"), F.sum("bp").alias("bh")), "histories")
-    totals = words.agg(F.coalesce(F.sum("tw"), F.lit(0)).alias("t"), F.coalesce(F.sum("bw"), F.lit(0)).alias("b"), F.greatest(F.count("*"), F.lit(1)).alias("vocabulary")).first().asDict()
-    totals["cut"] = max(2, -(-(totals["t"] + totals["b"]) // HOT_KEYS))
-    whole = _attach(_attach(pairs, words, "w", totals["cut"]), before, "h", totals["cut"])
-    return whole.select(_pair_key(F.col("h"), F.col("w")).alias("k"), "tp", "bp", "th", "bh", "tw", "bw"), totals
-
-
-def _ask(hot, totals: dict[str, int]):
-    """A row for each text (many -1, the losses of its broadcast pairs) and for each of its other pairs."""
+def _score(totals: dict[str, int]):
+    """Rows of ``_CHUNK`` in the order of chunks, a chunk's texts before its answers, those by range -> scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_caches("lm_scoring", _NUMBERS.clear)
-        keys, counts = hot.value
-        vocabulary = totals["vocabulary"]
+        last, chunk, answers = None, Chunk(), []
+
+        def scores() -> pa.RecordBatch:
+            chunk.count()
+            t, b = np.concatenate([*answers, np.zeros((2, 0), np.uint64)], axis=1).astype(np.int64)
+            target, background = chunk.scored(t, b, totals)
+            n = np.maximum(chunk.n, 1)
+            columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.n), *(pa.array(x / n) for x in (target, background, background - target))]
+            return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCORES.split(", ")])
+
         for batch in batches:
-            out = []
-            for row, doc, text, side in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                ids = number(text)
-                before, n = history(ids), len(ids)
-                k, first, many = np.unique(pair_key(before, ids), return_index=True, return_counts=True)
-                own_h, own_w = (np.unique(x, return_inverse=True, return_counts=True) for x in (before, ids))
-                own_h, own_w = own_h[2][own_h[1]][first], own_w[2][own_w[1]][first]
-                at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-                met = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-                sums = [0.0, 0.0]
-                for s, total in ((1, totals["t"]), (0, totals["b"])):
-                    p, h, w = counts[3 * (1 - s) : 3 * (1 - s) + 3, at[met]] if met.any() else np.zeros((3, 0), np.int64)
-                    if s == side:
-                        p, h, w, total = p - many[met], h - own_h[met], w - own_w[met], total - n
-                    sums[s] = float((many[met] * bits(p, h, w, total, vocabulary)).sum())
-                cold = ~met
-                size = int(cold.sum()) + 1
-                zeros = np.zeros(size)
-                zt, zb = zeros.copy(), zeros
-                zt[0], zb[0] = sums[1], sums[0]
-                out.append((
-                    np.full(size, row), pa.array([doc], pa.int64()).take(pa.array(np.zeros(size, np.int64))), np.full(size, 2 * n + side),
-                    np.concatenate([[xxhash.xxh3_64_intdigest(str(row)) >> 1], k[cold]]).astype(np.int64), np.concatenate([[-1], many[cold]]),
-                    np.concatenate([[0], (own_h[cold] << 31) | own_w[cold]]), zt, zb,
-                ))
-                if len(out) >= 500:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+            for c, kind, _, doc, side, text, payload in zip(*batch.columns, strict=True):
+                if c.as_py() != last and last is not None:
+                    yield scores()
+                    chunk, answers = Chunk(), []
+                last = c.as_py()
+                if kind.as_py():
+                    answers.append(unpacked(payload.as_py(), 2))
+                else:
+                    chunk.add(doc.as_py(), side.as_py(), text.as_py())
+        if last is not None:
+            yield scores()
 
     return run
 
 
-_ASKED = "row long, doc_id long, size_side long, k long, many long, own long, t double, b double"
+def _sides(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """doc_id, text, side: 1 target, 0 background."""
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("_target", F.lit(1))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    side = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+    return texts.join(side, "doc_id", "left").select("doc_id", "text", F.coalesce("_target", F.lit(0)).alias("side"))
 
 
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.concat_arrays([o[1] for o in out]) if c == 1 else pa.array(np.concatenate([o[c] for o in out])) for c in range(8)]
-    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _ASKED.split(", ")])
+def _chunk_of(many: int) -> Column:
+    """The same for a document in every run; texts without words need none, so that they can't meet in one."""
+    wordless = F.coalesce(F.trim("text") == "", F.lit(True))
+    return F.when(wordless, F.pmod(F.monotonically_increasing_id(), F.lit(many))).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -192,28 +252,23 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     The score is the mean over the words of background loss minus target loss: above 0 the text is more like the target
     documents (``target_ids``: doc_id) than like the rest. Null, empty and wordless texts have 0 words and losses and score 0.
     Without target documents or without others the models are empty on that side and losses are those of the uniform
-    part. Repeated rows give a row each; a null id is never a target; other columns are ignored.
+    part. Repeated rows count and are scored each; a null id is never a target; other columns are ignored; an empty table
+    gives no rows. Texts cross the network twice, with the chunk that counts and with the chunk that scores them.
     """
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark)
     sided = _sides(docs, scratch.keep(target_ids.select("doc_id").distinct(), "target"))
-    model, totals = train(sided, scratch)
-    large = model.filter(F.col("tp") + F.col("bp") >= totals["cut"]).toArrow().sort_by("k")  # HOT_KEYS rows at most
-    hot = spark.sparkContext.broadcast((large["k"].to_numpy(), np.stack([large[c].to_numpy() for c in ("tp", "th", "tw", "bp", "bh", "bw")])))
-    asked = sided.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "side").mapInArrow(_ask(hot, totals), _ASKED)
-    cold = model.filter(F.col("tp") + F.col("bp") < totals["cut"])
-    n, side = F.shiftright("size_side", 1), F.col("size_side").bitwiseAND(F.lit(1))
-
-    def loss(s: str, own: Column) -> Column:
-        less = lambda c, x: F.col(c) - F.when(own, x).otherwise(F.lit(0))
-        each = bits(
-            less(f"{s}p", F.col("many")), less(f"{s}h", F.shiftright("own", 31)), less(f"{s}w", F.col("own").bitwiseAND(F.lit((1 << 31) - 1))),
-            F.lit(totals[s]) - F.when(own, n).otherwise(F.lit(0)), totals["vocabulary"], F.log2, lambda x, least: F.greatest(x, F.lit(least)),
-        )
-        return F.when(F.col("many") < 0, F.col(s)).otherwise(F.col("many") * each)
-
-    each = asked.join(cold, "k", "left").select("row", "doc_id", n.alias("n"), loss("t", side == 1).alias("t"), loss("b", side == 0).alias("b"))
-    sums = each.groupBy("row", "doc_id").agg(F.max("n").alias("n_words"), F.sum("t").alias("t"), F.sum("b").alias("b"))
-    mean = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
-    return sums.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), ((F.col("b") - F.col("t")) / F.greatest("n_words", F.lit(1))).alias("score"))
+    chars = sided.agg(F.sum(F.length("text"))).first()[0] or 0
+    many = max(shuffle_partitions(spark), -(-chars // CHUNK_CHARS))
+    shift = 64 - max(0, (chars // 5 // RANGE_KEYS).bit_length())
+    dealt = sided.withColumn("chunk", _chunk_of(many))
+    texts = dealt.select("chunk", "doc_id", "side", "text").repartition(many, "chunk")
+    asked = texts.sortWithinPartitions("chunk").mapInArrow(_ask(shift), _ASKED)
+    answers = scratch.keep(asked.repartition("range").sortWithinPartitions("range", "chunk").mapInArrow(_answer, _ANSWERED), "answers")
+    sums = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "t", "b"))).first()
+    totals = {"vocabulary": max(1, sums["words"]), "t": sums["t"], "b": sums["b"]}
+    none = F.lit(None)
+    rows = dealt.select("chunk", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("range"), "doc_id", "side", "text", none.cast("binary").alias("payload"))
+    rows = rows.unionByName(answers.select("chunk", F.lit(1).alias("kind"), "range", none.cast("long").alias("doc_id"), none.cast("int").alias("side"), none.cast("string").alias("text"), "payload"))
+    return rows.repartition(many, "chunk").sortWithinPartitions("chunk", "kind", "range").mapInArrow(_score(totals), SCORES)

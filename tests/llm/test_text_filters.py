@@ -127,30 +127,59 @@ def lm_brute_force(rows, target):
                     pair[h, w] += 1
                     before[h] += 1
             a, b, c = lm_scoring.WEIGHTS
-            loss[s] = sum(-math.log2(a * pair[h, w] / max(1, before[h]) + b * word[w] / max(1, word.total()) + c / vocabulary) for h, w in zip([None, *words], words, strict=False)) / max(1, len(words))
+
+            def p(h, w):
+                known = a if before[h] else 0
+                if not word.total():
+                    return 1 / vocabulary
+                return (known * pair[h, w] / before[h] if known else 0) + (a + b - known) * word[w] / word.total() + c / vocabulary
+
+            loss[s] = sum(-math.log2(p(h, w)) for h, w in zip([None, *words], words, strict=False)) / max(1, len(words))
         out[i] = (len(words), loss[1], loss[0])
     return out
 
 
-@pytest.mark.parametrize(("hot", "few"), [(100_000, 1_000_000), (3, 1_000_000), (10, 0)])
-def test_lm_counts_are_those_of_all_pairs(spark, monkeypatch, hot, few):
-    monkeypatch.setattr(lm_scoring, "HOT_KEYS", hot)
-    monkeypatch.setattr(lm_scoring, "BROADCAST_WORDS", few)
-    rows = [(i, prose(30, i)) for i in range(30)] + [(40, None), (41, "a b a b a"), (42, "a b a b a"), (43, "alone")]
-    target = set(range(0, 30, 3)) | {41}
+@pytest.mark.parametrize(("chars", "range_keys"), [(2_000_000, 1_000_000), (600, 50), (150, 1)])
+def test_lm_columns_equal_brute_force(spark, monkeypatch, chars, range_keys):
+    monkeypatch.setattr(lm_scoring, "CHUNK_CHARS", chars)
+    monkeypatch.setattr(lm_scoring, "RANGE_KEYS", range_keys)
+    rows = [(i, prose(30, i)) for i in range(100)] + [(140, None), (141, "a b a b a"), (142, "a b a b a"), (143, "alone"), (144, " "), (None, "a b c")]
+    target = set(range(0, 100, 3)) | {141}
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
     want = lm_brute_force(rows, target)
     assert len(got) == len(rows)
     for i, (n, t, b) in want.items():
         assert got[i].n_words == n and got[i].target_loss == pytest.approx(t) and got[i].background_loss == pytest.approx(b) and got[i].score == pytest.approx(b - t)
-
-
-def test_lm_pairs_do_not_share_counts():
-    docs = [" ".join(f"w{i}x{k}" for k in range(1000)) for i in range(1500)]  # more distinct pairs than 2^20
-    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(docs), pa.int32()), pa.array(docs)], ["side", "text"])
-    rows = pa.Table.from_batches(list(lm_scoring._count(iter([batch]))))
-    assert rows.num_rows == 1_500_000 and set(rows["b"].unique().to_pylist()) == {1}
+        assert got[i].target_loss >= 0 and got[i].background_loss >= 0
+
+
+def test_lm_without_targets_equals_brute_force(spark):
+    rows = [(i, prose(20, i)) for i in range(10)]
+    got = {r.doc_id: r for r in cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long")).collect()}
+    for i, (_, t, b) in lm_brute_force(rows, set()).items():
+        assert got[i].target_loss == pytest.approx(t) and got[i].background_loss == pytest.approx(b)
+
+
+def test_lm_probabilities_add_up_to_one():
+    rng = np.random.default_rng(2)
+    for vocabulary, tokens in ((7, 60), (50, 60), (3, 0)):
+        text = rng.integers(0, vocabulary, tokens)
+        word = np.bincount(text, minlength=vocabulary)
+        for h in range(vocabulary):
+            pair = np.bincount(text[1:][text[:-1] == h], minlength=vocabulary)
+            p = 2 ** -lm_scoring.bits(pair, np.full(vocabulary, pair.sum()), word, np.full(vocabulary, tokens), vocabulary)
+            assert p.sum() == pytest.approx(1) and (p > 0).all()
+
+
+def test_lm_keys_are_apart_and_packed_numbers_come_back():
+    words = lm_scoring.number(" ".join(f"w{k}" for k in range(200_000)))
+    pair, word, before = lm_scoring.keys(np.roll(words, 1), words)
+    assert len(np.unique(np.concatenate([pair, word, before]))) == 600_000
+    rng = np.random.default_rng(3)
+    arrays = [np.sort(rng.integers(0, 2**63, 1000).astype(np.uint64)), rng.integers(0, 5, 1000)]
+    assert all((x == y.astype(np.uint64)).all() for x, y in zip(lm_scoring.unpacked(lm_scoring.packed(arrays), 2), arrays, strict=True))
+    assert lm_scoring.unpacked(lm_scoring.packed([np.empty(0, np.uint64)]), 1).shape == (1, 0)
 
 
 def test_estimate_finds_the_accuracies():
