@@ -1,12 +1,12 @@
 """I-Match fingerprints over several randomised lexicon subsets, in DataFrame operations only.
 
-The lexicon is what lies in a band of inverse document frequency, counted over all documents in ``SLOTS`` hashed term
-slots; it is a bitmap of fixed size, so it can be read as a scalar whatever the corpus. A text keeps its distinct terms
-in the lexicon (all its terms if fewer than ``FEWEST`` are), sorted. The lexicon is cut at random into ``SUBSETS``
-disjoint subsets and thinned by powers of two, so that long texts are hashed over as few terms a subset as short ones;
-each subset's sorted terms give one hash (16 bits, hashed on term by term). A fingerprint holds the hashes at a text's own thinning and at the next,
-so that texts of unlike length can be compared. Likeness is the share of subsets on which two texts agree, among those
-that are filled in either.
+The lexicon are the terms in a band of inverse document frequency, by exact counts over all documents. As a term of it is in at least one
+document of ``RAREST``, it has at most ``RAREST`` times a text's terms, whatever the corpus; it is read as a bitmap
+sized by it (``BITS_A_TERM``), through which one rare term in so many passes as well, the same ones in every text. A text keeps its distinct terms in the
+lexicon, sorted. The lexicon is cut at random into ``SUBSETS`` disjoint subsets and thinned by powers of two, so that long
+texts are hashed over as few terms a subset as short ones; each subset's sorted terms give one hash (16 bits, hashed on term
+by term), a subset without terms none. A fingerprint holds the hashes at a text's own thinning and at the next, so that texts of unlike length can be
+compared. Likeness is the share of subsets on which two texts agree, among those that are filled in either.
 """
 
 from __future__ import annotations
@@ -18,30 +18,27 @@ from pyspark.sql import functions as F
 
 from stationlens.llm.common import Scratch
 
-SLOTS = 1 << 20
 SUBSETS = 32
-FEWEST = 8
-#: Texts with fewer lexicon terms have the hashes of all their terms as well, so that an edit across FEWEST can be seen.
-BOTH_BELOW = 64
-#: Lexicon: terms in at most one document of 8 and at least one of 400, so at most 400 x (terms a document) terms.
-LOWEST_IDF, HIGHEST_IDF = math.log(8), math.log(400)
+#: Lexicon: terms in at most one document of the first and at least one of the second.
+COMMONEST, RAREST = 2, 1000
+BITS_A_TERM = 32
 
 _TERMS = r"array_distinct(transform(filter(split(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> ''), w -> xxhash64(w)))"
 _EMPTY = "0000"
-_PART = 3 + 8 * SUBSETS
 _NULL_ID = -(1 << 63)
 
 
-def lexicon(texts: DataFrame, lowest_idf: float = LOWEST_IDF, highest_idf: float = HIGHEST_IDF) -> DataFrame:
-    """One row: ``bits``, an array of 64-bit words with a bit set for each slot in the band. Counts over all rows of ``text``."""
-    slots = texts.select(F.explode(F.expr(f"array_distinct(transform({_TERMS.format(text='text')}, h -> h & {SLOTS - 1}))")).alias("slot"))
-    counts = slots.groupBy("slot").agg(F.count("*").alias("df"))
+def lexicon(texts: DataFrame, scratch: Scratch, commonest: float = COMMONEST, rarest: float = RAREST) -> tuple[DataFrame, int]:
+    """One row: ``bits``, an array of 64-bit words with a bit set for each term in the band; and how many bits, a power of two."""
+    terms = texts.select(F.explode(F.expr(_TERMS.format(text="text"))).alias("h"))
+    counts = terms.groupBy("h").agg(F.count("*").alias("df"))
     total = texts.agg(F.count("*").alias("n"))
     idf = F.log(total.scalar() / F.col("df"))
-    held = counts.withColumn("idf", idf).filter(F.col("idf").between(lowest_idf - 1e-9, highest_idf + 1e-9))
-    words = held.groupBy(F.expr("slot >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    dense = texts.sparkSession.range(SLOTS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
-    return dense.agg(F.expr("transform(array_sort(collect_list(struct(word, coalesce(bits, 0L) as bits))), x -> x.bits)").alias("bits"))
+    held = scratch.keep(counts.filter(idf.between(math.log(commonest) - 1e-9, math.log(rarest) + 1e-9)).select("h"), "lexicon")
+    width = 1 << max(10, (BITS_A_TERM * held.count()).bit_length())
+    words = held.groupBy(F.expr(f"(h & {width - 1}) >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    dense = texts.sparkSession.range(width // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    return dense.agg(F.expr("transform(array_sort(collect_list(struct(word, coalesce(bits, 0L) as bits))), x -> x.bits)").alias("bits")), width
 
 
 def _hashes(terms: str) -> str:
@@ -55,50 +52,33 @@ def _hashes(terms: str) -> str:
     return f"aggregate({terms}, named_struct({start}), (s, h) -> named_struct({fields}), s -> lower(concat({text})))"
 
 
-def with_fingerprints(df: DataFrame, texts: dict[str, str]) -> DataFrame:
+def with_fingerprints(df: DataFrame, texts: dict[str, str], width: int) -> DataFrame:
     """Adds the fingerprint of each text column (``texts``: its name -> that of its fingerprint); uses up the texts and ``bits``."""
-    keep = f"filter(_terms_{{c}}, h -> (shiftrightunsigned(element_at(bits, cast(shiftrightunsigned(h & {SLOTS - 1}, 6) as int) + 1), cast(h & 63 as int)) & 1L) = 1L)"
-    level = f"cast(greatest(0, floor(log2(greatest(size({{of}}), 1) / {SUBSETS}))) as int)"
-    thin = "filter({of}, h -> (shiftrightunsigned(h, 40) & (shiftleft(1L, {level}) - 1L)) = 0L)"
-    of = lambda sql, kind, **k: sql.replace("{of}", f"_{kind}_{{c}}").replace("{level}", k.get("level", ""))
+    keep = f"array_sort(filter(_terms_{{c}}, h -> (shiftrightunsigned(element_at(bits, cast(shiftrightunsigned(h & {width - 1}, 6) as int) + 1), cast(h & 63 as int)) & 1L) = 1L))"
+    thin = "filter(_band_{c}, h -> (shiftrightunsigned(h, 40) & (shiftleft(1L, _level_{c}{plus}) - 1L)) = 0L)"
     steps = [
         {"_band_{c}": keep},
-        # b: terms in the lexicon, if there are enough; a: all terms, if there are few in the lexicon
-        {"_b_{c}": f"if(size(_band_{{c}}) >= {FEWEST}, array_sort(_band_{{c}}), array())", "_a_{c}": f"if(size(_band_{{c}}) < {BOTH_BELOW}, array_sort(_terms_{{c}}), array())"},
-        {f"_level_{k}_{{c}}": of(level, k) for k in "ab"},
-        {f"_{w}_{k}_{{c}}": of(thin, k, level=f"_level_{k}_{{c}}{plus}") for k in "ab" for w, plus in (("own", ""), ("next", " + 1"))},
+        {"_level_{c}": f"cast(greatest(0, floor(log2(greatest(size(_band_{{c}}), 1) / {SUBSETS}))) as int)"},
+        {"_own_{c}": thin.replace("{plus}", ""), "_next_{c}": thin.replace("{plus}", " + 1")},
     ]
-    spent = [{"bits"}, {f"_terms_{c}" for c in texts}, set(), {f"_{k}_{c}" for c in texts for k in "ab"}]
+    spent = [{"bits"} | {f"_terms_{c}" for c in texts}, set(), {f"_band_{c}" for c in texts}]
     # each step is a projection without what is used up, as the lexicon is large beside a row
     df = df.select(*(c for c in df.columns if c not in texts and c != "bits"), *(F.expr(_TERMS.format(text=c)).alias(f"_terms_{c}") for c in texts), "bits")
     for step, gone in zip(steps, spent, strict=True):
         made = [F.expr(sql.replace("{c}", c)).alias(name.replace("{c}", c)) for c in texts for name, sql in step.items()]
         df = df.select(*(c for c in df.columns if c not in gone), *made)
-    part = lambda k, c: f"concat('{k}', lpad(cast(_level_{k}_{c} as string), 2, '0'), {_hashes(f'_own_{k}_{c}')}, {_hashes(f'_next_{k}_{c}')})"
-    made = [F.expr(f"concat(if(size(_band_{c}) >= {FEWEST}, {part('b', c)}, ''), if(size(_band_{c}) < {BOTH_BELOW}, {part('a', c)}, ''))").alias(out) for c, out in texts.items()]
+    made = [F.expr(f"concat(lpad(cast(_level_{c} as string), 2, '0'), {_hashes(f'_own_{c}')}, {_hashes(f'_next_{c}')})").alias(out) for c, out in texts.items()]
     return df.select(*(c for c in df.columns if not c.startswith("_")), *made)
 
 
 def likeness(a: str, b: str) -> str:
-    """SQL for the likeness (0 to 1) of two fingerprint columns: share of the filled subsets with equal hashes.
-
-    Compared are the parts of the same kind: lexicon terms where both have that, else all terms where both have those.
-    """
-
-    def parts(kind: str) -> str:
-        # a text without enough lexicon terms has part a alone, one with a few has it after part b
-        pick = {"b": "substr({x}, 1, {n})", "a": "if(substr({x}, 1, 1) = 'a', {x}, substr({x}, {n} + 1))"}[kind].replace("{n}", str(_PART))
-        x, y = pick.format(x=a), pick.format(x=b)
-        la, lb = (f"cast(substr({p}, 2, 2) as int)" for p in (x, y))
-        cut = lambda p, own: f"substr({p}, 4 + 4 * k + {4 * SUBSETS} * (greatest({la}, {lb}) - {own}), 4)"
-        pairs = f"transform(sequence(0, {SUBSETS - 1}), k -> struct({cut(x, la)} as p, {cut(y, lb)} as q))"
-        filled = f"filter({pairs}, x -> x.p <> '{_EMPTY}' or x.q <> '{_EMPTY}')"
-        score = f"aggregate({filled}, struct(0 as same, 0 as n), (s, x) -> struct(s.same + int(x.p = x.q) as same, s.n + 1 as n), s -> if(s.n = 0, 0D, s.same / s.n))"
-        return f"if(abs({la} - {lb}) > 1, 0D, {score})"
-
-    with_b = f"substr({a}, 1, 1) = 'b' and substr({b}, 1, 1) = 'b'"
-    with_a = " and ".join(f"(substr({x}, 1, 1) = 'a' or length({x}) > {_PART})" for x in (a, b))
-    return f"case when {a} = {b} then 1D when {with_b} then {parts('b')} when {with_a} then {parts('a')} else 0D end"
+    """SQL for the likeness (0 to 1) of two fingerprint columns: share of the filled subsets with equal hashes."""
+    la, lb = (f"cast(substr({x}, 1, 2) as int)" for x in (a, b))
+    cut = lambda x, own: f"substr({x}, 3 + 4 * k + {4 * SUBSETS} * (greatest({la}, {lb}) - {own}), 4)"
+    pairs = f"transform(sequence(0, {SUBSETS - 1}), k -> struct({cut(a, la)} as p, {cut(b, lb)} as q))"
+    filled = f"filter({pairs}, x -> x.p <> '{_EMPTY}' or x.q <> '{_EMPTY}')"
+    score = f"aggregate({filled}, struct(0 as same, 0 as n), (s, x) -> struct(s.same + int(x.p = x.q) as same, s.n + 1 as n), s -> if(s.n = 0, 0D, s.same / s.n))"
+    return f"case when {a} = {b} then 1D when abs({la} - {lb}) > 1 then 0D else {score} end"
 
 
 def in_order(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
@@ -122,14 +102,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document in ascending order of id (nulls first; rows of one id in the order of a hash of their text; repeated rows
-    count once in the order and give a row each). A null text is empty; texts without terms have likeness 1 to each
-    other and 0 to the rest. An empty table gives no rows; other columns are ignored. Texts cross the network once,
+    count once in the order and give a row each). A null text is empty; texts without terms in the lexicon have the fingerprint without
+    hashes, so likeness 1 to each other and 0 to the rest. An empty table gives no rows; other columns are ignored. Texts cross the network once,
     and a quarter of them as the parts that replace.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("kid"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    bits = scratch.keep(lexicon(keyed.select("text")), "lexicon")
+    found, width = lexicon(keyed.select("text"), scratch)
+    bits = scratch.keep(found, "bits")
     order, repeated = in_order(keyed, scratch)
     order = scratch.keep(order.select("kid", "tie", "n_chars", "at", "next_at"), "places")
     after = order.select(F.col("at").alias("next_at"), F.col("kid").alias("next_kid"), F.col("tie").alias("next_tie"))
@@ -143,7 +124,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = keyed.join(order, ["kid", "tie"]).join(parts, ["kid", "tie"], "left")
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), coalesce(part, ''))")
     whole = whole.select("at", "next_at", "kid", F.col("n_chars").cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    made = with_fingerprints(whole.withColumn("bits", bits.scalar()), {"text": "fingerprint", "edited": "edited_fingerprint"})
+    made = with_fingerprints(whole.withColumn("bits", bits.scalar()), {"text": "fingerprint", "edited": "edited_fingerprint"}, width)
     held = scratch.keep(made.select("at", "next_at", "kid", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"), "held")
     following = held.select(F.col("at").alias("next_at"), F.col("fingerprint").alias("next_fingerprint"))
     if repeated:
