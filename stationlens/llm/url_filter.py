@@ -26,6 +26,8 @@ SIMILAR_Z = 1.96
 #: Labels that the smoothing counts for.
 PRIOR_LABELS = 4.0
 PURITY = 0.5
+#: A shape with more than 1 in so many of all pages, and more than ``LARGE_ROWS``, is met by broadcast.
+LARGE_SHAPES, LARGE_ROWS = 10_000, 200
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,16 +107,18 @@ def path_templates(shapes: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row of ``pages``: page_id, host, path, rule, verdict, template, purity.
 
-    ``labels``: (page_id, bad 0/1), a row a page at most; null or missing ones don't count. A null url, or one without
-    ``://``, has an empty host and path. Repeated rows and null ids give a row each. Other columns are ignored, an empty
-    table gives no rows. Without labels every template's purity is 1.
+    ``labels``: (page_id, bad 0/1); a page with several counts as bad if one says so, null or missing ones don't count. A null
+    url, or one without ``://``, has an empty host and path. Repeated rows and null ids give a row each. Other columns are
+    ignored, an empty table gives no rows. Without labels every template's purity is 1. The verdicts of shapes that very many pages
+    have are broadcast (there are few), so that no task gets all pages of one.
     """
     scratch = Scratch(pages.sparkSession)
+    labels = labels.groupBy("page_id").agg(F.max(F.col("bad").cast("long")).alias("bad"))
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("segments", shaped_segments(F.col("path"))).withColumn("shape", F.array_join("segments", "/"))
-    marked = rows.join(labels.select("page_id", F.col("bad").cast("long").alias("bad")), "page_id", "left")
+    marked = rows.join(labels, "page_id", "left")
     shapes = scratch.keep(marked.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")).withColumn("segments", F.filter(F.split("shape", "/"), lambda s: s != "")), "shapes")
     tree = scratch.keep(path_templates(shapes).select("host", "shape", "template", "n", "labelled", "bad"), "tree")
 
@@ -124,13 +128,15 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     hosts = tree.groupBy("host").agg(((F.sum("bad") + m * overall) / (F.sum("labelled") + m)).alias("host_p"))
     found = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).join(hosts, "host")
     found = found.select("host", "template", (1 - (F.col("bad") + m * F.col("host_p")) / (F.col("labelled") + m)).alias("purity"))
-    judged = scratch.keep(tree.select("host", "shape", "template").join(found, ["host", "template"]), "judged")
+    judged = scratch.keep(tree.select("host", "shape", "template", "n").join(found, ["host", "template"]), "judged")
+    large = F.col("n") > max(LARGE_ROWS, (judged.agg(F.sum("n")).first()[0] or 0) // LARGE_SHAPES)
+    hot, cold = F.broadcast(judged.filter(large).drop("n")), judged.filter(~large).drop("n")
+    bare, key = rows.drop("segments"), ["host", "shape"]
+    met = bare.join(hot, key).unionByName(bare.join(hot, key, "left_anti").join(cold, key))
 
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     return (
-        rows.drop("segments")
-        .join(judged, ["host", "shape"], "left")
-        .withColumn("_rule", rule)
+        met.withColumn("_rule", rule)
         .select(
             "page_id", "host", "path", F.col("_rule.rule").alias("rule"),
             F.coalesce("_rule.verdict", F.when(F.col("purity") < PURITY, "block").otherwise("allow")).alias("verdict"),
