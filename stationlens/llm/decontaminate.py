@@ -4,8 +4,9 @@ The test items are broadcast in blocks of bounded size; the documents are read o
 them each seed (an n-gram of an item) occurs, and once to find candidates: an item and a band of diagonals on which a
 document has ``RARE_HITS`` seeds that are rare in the corpus, or a share ``SHARE_HITS`` of the item's seeds, rare or not (as
 those of a passage that thousands of documents copy are not). The passage around a candidate is aligned with the item
-word by word; the score is the alignment's over that of the whole item against itself. A character of a script without
-spaces is a word; what is empty without its punctuation is none. Items of fewer words than a seed are found by whole match.
+word by word, in memory of the passage's length; the score is the alignment's over that of the whole item against itself. The
+fewer words an item has, the higher a score it takes (``NEEDED``), as a few common words in order are no copy. A character of a script
+without spaces is a word; what is empty without its punctuation is none. Items of fewer words than a seed are found by whole match.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ SHARE_HITS, LEAST_HITS = 0.2, 3
 BAND = 32
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
-#: Items with fewer words count only where they are met whole.
-SHORT_ITEM = 8
+#: (words, least score) of items with fewer words than the first; of longer ones the threshold's score is enough.
+NEEDED = ((5, 1.0), (8, 0.75))
 #: A block of test items: words, at most (an item is never cut).
 BLOCK_WORDS = 2_000_000
 CACHE_ENTRIES = 200_000
@@ -122,30 +123,42 @@ class Items:
         return at[met], seed[met]
 
 
+def needed(words: int, threshold: float) -> float:
+    """The least score at which an item of so many words counts."""
+    return next((max(score, threshold) for fewer, score in NEEDED if words < fewer), threshold)
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman over words: (score, words matched, first, last) of the best local alignment in the passage."""
+    """Smith-Waterman over words: (score, words matched, first, last) of the best local alignment in the passage.
+
+    Of equal scores the first to end counts. A row of the table is kept at a time, with the start and the matches of the
+    alignment that each cell ends.
+    """
     n = len(passage)
-    step = np.arange(n + 1) * -GAP
-    rows = np.zeros((len(item) + 1, n + 1), np.int32)
-    for i, word in enumerate(item, 1):
-        up = rows[i - 1]
-        row = np.zeros(n + 1, np.int64)
-        row[1:] = np.maximum(up[:-1] + np.where(passage == word, MATCH, MISMATCH), up[1:] + GAP)
-        np.maximum(row, 0, out=row)
-        # a gap along the row costs the same at each step, so a running maximum carries it
-        rows[i] = np.maximum(np.maximum.accumulate(row + step) - step, 0)
-    i, j = np.unravel_index(int(rows.argmax()), rows.shape)
-    best, last, matched = int(rows[i, j]), int(j) - 1, 0
-    while i > 0 and j > 0 and rows[i, j] > 0:
-        same = passage[j - 1] == item[i - 1]
-        if rows[i, j] == rows[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matched += bool(same)
-            i, j = i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, matched, int(j), last
+    place = np.arange(n + 1)
+    step = place * -GAP
+    up, start, matched = np.zeros(n + 1, np.int64), place.copy(), np.zeros(n + 1, np.int64)
+    best = (0, 0, 0, -1)
+    for word in item:
+        same = passage == word
+        diagonal = up[:-1] + np.where(same, MATCH, MISMATCH)
+        down = up[1:] + GAP
+        took = diagonal >= down
+        row, row_start, row_matched = np.zeros(n + 1, np.int64), place.copy(), np.zeros(n + 1, np.int64)
+        row[1:] = np.where(took, diagonal, down)
+        row_start[1:] = np.where(took, start[:-1], start[1:])
+        row_matched[1:] = np.where(took, matched[:-1] + same, matched[1:])
+        # a gap along the row costs the same at each step, so a running maximum carries it; its nearest source counts
+        risen = np.maximum(row, 0) + step
+        highest = np.maximum.accumulate(risen)
+        source = np.maximum.accumulate(np.where(risen == highest, place, 0))
+        up, start, matched = highest - step, row_start[source], row_matched[source]
+        none = up <= 0
+        up[none], start[none], matched[none] = 0, place[none], 0
+        at = int(up.argmax())
+        if up[at] > best[0]:
+            best = (int(up[at]), int(matched[at]), int(start[at]), at - 1)
+    return best
 
 
 class Finder(dict):
@@ -194,8 +207,9 @@ class Finder(dict):
             keys, where, count = np.unique(group, axis=0, return_inverse=True, return_counts=True)
             where = where.reshape(-1)
             few = np.bincount(where, weights=rare, minlength=len(keys))
-            need = np.minimum(np.maximum(LEAST_HITS, np.ceil(SHARE_HITS * it.n_seeds[keys[:, 0]])), it.n_seeds[keys[:, 0]])
-            for g in np.flatnonzero((few >= np.minimum(RARE_HITS, it.n_seeds[keys[:, 0]])) | (count >= need)):
+            seeds = it.n_seeds[keys[:, 0]]
+            need = np.minimum(np.where(seeds < LEAST_HITS + SEED_WORDS, RARE_HITS, np.maximum(LEAST_HITS, np.ceil(SHARE_HITS * seeds))), seeds)
+            for g in np.flatnonzero((few >= np.minimum(RARE_HITS, seeds)) | (count >= need)):
                 k = int(keys[g, 0])
                 words = it.words[k]
                 own = pos[where == g]
@@ -207,7 +221,7 @@ class Finder(dict):
                     tried.add((k, lo, hi))
                     score, matched, a, b = align(words, ids[lo:hi])
                     share = score / (MATCH * len(words))
-                    if share >= (1.0 if len(words) < SHORT_ITEM else threshold) and share > best.get(k, (0.0,))[0]:
+                    if share >= needed(len(words), threshold) and share > best.get(k, (0.0,))[0]:
                         best[k] = (share, matched, lo + a, lo + b)
         return found + [(it.ids[k], share, matched, word(a), word(b)) for k, (share, matched, a, b) in sorted(best.items())]
 
@@ -265,6 +279,7 @@ def _prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[object]:
         counts = texts.mapInArrow(_count_seeds(sent), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # a row a seed of the block
         df = np.zeros(len(items.seeds), np.int64)
         df[counts["seed"].to_numpy()] = counts["n"].to_numpy()
+        sent.unpersist()
         items.rare = df <= max(3, RARE_SHARE * total)
         yield spark.sparkContext.broadcast(items)
 
@@ -284,7 +299,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text holds no item of the benchmark, with all their columns."""
+    """The rows of ``docs`` whose text holds no item of the benchmark, with all their columns.
+
+    Null and empty texts hold none and stay, as do null ids; repeated rows stay or go alike. Without test items, or for an
+    empty table, it is the table.
+    """
     at = docs.columns.index("text")
     for items in _prepared(docs, benchmark):
 
