@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlens.llm.common import own_caches, prepare
+from stationlens.llm.common import in_one_task, own_caches, prepare
 
 SAMPLE_DOCS = 4000
 FEATURES = 1 << 16
@@ -194,10 +194,16 @@ def fit(docs: DataFrame) -> Model | None:
     codes, counts = rows["pattern"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(float)
     good, table = estimate(codes, counts, LABELLERS)
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
-    sample = sampled(texts).mapInArrow(_sample, "pattern int, at array<long>, x array<double>, n long").toArrow()
-    parts = [(np.array(a, np.int64), np.array(x)) for a, x in zip(sample["at"].to_pylist(), sample["x"].to_pylist(), strict=True)]
-    w, b = fit_scorer(parts, np.array([posterior.get(p, 0.5) for p in sample["pattern"].to_pylist()]), 1 + np.log(sample["n"].to_numpy()))
-    return Model(w, b, table, posterior)
+    sample = sampled(texts).mapInArrow(_sample, "pattern int, at array<long>, x array<double>, n long")
+
+    def learn(rows: pa.Table) -> Model:
+        parts = [(np.array(a, np.int64), np.array(x)) for a, x in zip(rows["at"].to_pylist(), rows["x"].to_pylist(), strict=True)]
+        order = sorted(range(len(parts)), key=lambda i: (rows["pattern"][i].as_py(), parts[i][0].tobytes(), parts[i][1].tobytes()))
+        soft, weight = np.array([posterior.get(k, 0.5) for k in rows["pattern"].to_pylist()]), 1 + np.log(rows["n"].to_numpy())
+        w, b = fit_scorer([parts[i] for i in order], soft[order], weight[order])
+        return Model(w, b, table, posterior)
+
+    return in_one_task(sample, learn)
 
 
 def quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
