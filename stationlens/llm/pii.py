@@ -49,7 +49,7 @@ SECRET = r"""(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,}+|[0-9A-F]{32,}+)
 NAME = rf"(?<!\p{{L}})(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
 PATTERN = "|".join([EMAIL, IP, PHONE, SSN, CARD, SECRET, NAME])
 #: Texts without any of these hold no entity.
-HINT = rf"[0-9@]|(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? \p{{Lu}}|(?i:token|password|secret|api_key)\s{{0,2}}[=:]"
+HINT = rf"[0-9@]|(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? \p{{Lu}}|(?i:token|password|secret|api_key)\s{{0,2}}[=:]|AKIA[A-Z]{{16}}|[a-f]{{32}}|[A-F]{{32}}"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
