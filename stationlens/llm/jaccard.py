@@ -33,6 +33,8 @@ SPARE_PARTS, SPARE_SHARE = 2, 24
 LARGE_SETS, LARGE_ROWS = 10_000, 200
 #: Members of a block and shingles in a block, at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 21
+#: Of a document's tiles, the smallest keys: enough to tell where most pairs meet first.
+LEAST_KEYS = 8
 CACHE_ENTRIES = 100_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -281,13 +283,28 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def first_met(here: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs are to be looked at in the tile ``here``, from the ``LEAST_KEYS`` smallest tiles of their members (rows of a and b).
+
+    If both rows hold a common tile, the smallest of those is the smallest that the two share: only it counts. Else any does.
+    """
+    most = np.iinfo(np.int64).max
+    out = np.empty(len(a), bool)
+    for k in range(0, len(a), 1 << 14):
+        x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+        common = np.where(x[:, :, None] == y[:, None, :], x[:, :, None], most).min(axis=(1, 2), initial=most)
+        out[k : k + (1 << 14)] = (common == most) | (common == here)
+    return out
+
+
 def _block(bands: Bands):
-    """Rows (key, i, j, id, component, n, block, bits) in order of key, i, j -> pairs whose bit counts allow a link.
+    """Rows (key, i, j, id, component, n, block, bits, least) in order of key, i, j -> pairs whose bit counts allow a link.
 
     A group (key, i, j) is two blocks of a tile, or one; pairs are of members in different classes, one from either block.
+    A pair that shares several tiles is looked at in one of them.
     """
 
-    def pairs(ids: np.ndarray, root: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
+    def pairs(key: int, ids: np.ndarray, root: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, bits: list[bytes], least: np.ndarray) -> list[tuple[int, int]]:
         rows = [np.frombuffer(x, np.uint64) for x in bits]
         words = min(map(len, rows))
         whole = np.stack([_fold(x, words) for x in rows])
@@ -300,6 +317,8 @@ def _block(bands: Bands):
             near &= (root[own][:, None] != root[None]) & right[None]
             near &= (ids[own][:, None] < ids[None]) | ~(left & right)[None]
             r, c = np.nonzero(near)
+            once = first_met(key, least[own][r], least[c])
+            r, c = r[once], c[once]
             found.extend(zip(ids[own][r].tolist(), ids[c].tolist(), strict=True))
         return found
 
@@ -307,9 +326,13 @@ def _block(bands: Bands):
         key, i, j, ids, root, n, block = (table.column(c).to_numpy() for c in range(7))
         start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         bits, found = table.column(7).to_pylist(), []
+        lists = table.column(8).combine_chunks()
+        least = np.full((len(key), LEAST_KEYS), np.iinfo(np.int64).max)
+        sizes = lists.value_lengths().to_numpy()
+        least[np.repeat(np.arange(len(key)), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
         for a, b in zip(start, np.append(start[1:], len(key)), strict=True):
             if b - a > 1:
-                found += pairs(ids[a:b], root[a:b], n[a:b], block[a:b] == i[a], block[a:b] == j[a], bits[a:b])
+                found += pairs(key[a], ids[a:b], root[a:b], n[a:b], block[a:b] == i[a], block[a:b] == j[a], bits[a:b], least[a:b])
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,10 +413,12 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     opened = opened.filter("lo < hi").groupBy("many", "x", "y").agg(F.min("key").alias("key"), F.max("widest").alias("widest"))
     fit = F.greatest(F.lit(8), F.least(F.lit(BLOCK_DOCS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("widest"))))
     opened = opened.select("key", F.ceil(F.col("many") / fit).cast("int").alias("blocks"))
-    dealt = marked.join(opened, "key").join(maps.select(F.col("doc_id").alias("id"), "bits"), "id").withColumn("block", F.expr("cast(pmod(xxhash64(id, key), blocks) as int)"))
-    dealt = dealt.select("key", "id", "component", "n", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "id", "component", "n", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "id", "component", "n", "block", "bits")
+    inside = scratch.keep(marked.join(opened, "key").select("key", "id", "component", "n", "blocks"), "inside")
+    least = inside.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
+    dealt = inside.join(least.join(maps.select(F.col("doc_id").alias("id"), "bits"), "id"), "id").withColumn("block", F.expr("cast(pmod(xxhash64(id, key), blocks) as int)"))
+    dealt = dealt.select("key", "id", "component", "n", "bits", "least", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "id", "component", "n", "bits", "least", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "id", "component", "n", "block", "bits", "least")
     more = scratch.keep(links(ordered.mapInArrow(_block(bands), "a long, b long").distinct(), "near"), "more")
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     last = scratch.keep(components(joined, scratch, "all"), "last")
