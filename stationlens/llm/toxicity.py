@@ -531,7 +531,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_docs: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``.
+
+    Null and empty texts are scored as texts without words; null ids and repeated rows stay or go by their text. With one kind
+    of label, or none, nothing is known to be toxic: all rows stay unless the share of toxic labels reaches the threshold.
+    """
     model = fit(docs if train_docs is None else train_docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
