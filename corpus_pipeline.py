@@ -1,4 +1,8 @@
-"""A training-data pipeline over ``documents``: five stages, each written as Parquet and read again by the next."""
+"""A training-data pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
+
+All stages keep null and empty texts, rows with a null id and any further columns (the last returns pieces instead), decide alike on repeated
+rows, and give no rows for an empty table; what more holds for one is said there.
+"""
 
 from __future__ import annotations
 
@@ -16,17 +20,20 @@ from stationlens.llm.toxicity import reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network does not find toxic."""
+    """Documents that the network does not find toxic; an empty text is scored as a text without words."""
     return reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document of each class of near copies: five-word shingles, similarity of 0.8 or more.
+
+    Texts without words are alike to nothing and stay. Of rows with one id one stays; rows with a null id stay.
+    """
     return one_of_each(docs, size=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; a benchmark without items takes none away."""
     return remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -37,7 +44,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences of at most 1024 tokens."""
+    """The pieces of all documents with their sequences of at most 1024 tokens; an empty text is its end token."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024, end_id=2)
 
 
