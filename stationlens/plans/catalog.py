@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -590,11 +591,11 @@ _LIFE = ["station_id", "alert_id", "alert_event_id", "event_type", "event_time"]
 
 @query(f"WITH {EPISODES} SELECT {', '.join(_LIFE)} FROM life")
 def stream_alerts(spark, sf_dir):
-    """Opened and resolved alerts of the stream; its updates depend on what was sent before and are in ``alert_replay``."""
+    """All alert events of the stream in the lifecycle's older form, which sends no updates."""
     from stationlens.streaming.processors import alert_events
 
-    out = _drain(spark, alert_events(_state_documents(_stream(spark, sf_dir)), CONFIG, SOURCE), "update", "alerts")
-    return plain(out.filter("event_type <> 'ALERT_UPDATED'").select(*_LIFE))
+    plain_form = replace(CONFIG, send_updates=False)
+    return plain(_drain(spark, alert_events(_state_documents(_stream(spark, sf_dir)), plain_form, SOURCE), "update", "alerts").select(*_LIFE))
 
 
 @query()

@@ -21,6 +21,10 @@ TABLES = {
 }
 
 
+#: What the rows of a stored file are sorted by, so that look-ups and pages skip most of it.
+LAYOUT = {"station_current": ["station_id"], "alert_events": ["alert_id", "status_changed_at"], "alert_state": ["alert_id"], "alert_commands": ["idempotency_key"], "consumer_offsets": ["topic", "partition"]}
+
+
 def safe_output(path: str, roots: list[str]) -> Path:
     """The path, if it lies under one of the roots (and is none of them); a job that overwrites asks this first."""
     wanted = Path(path).resolve()

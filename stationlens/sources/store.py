@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from stationlens.session import delete
-from stationlens.sources.sinks import TABLES
+from stationlens.sources.sinks import LAYOUT, TABLES
 
 
 class Store:
@@ -60,7 +60,7 @@ class Store:
         tables = dict(state["tables"])
         for table, (how, df) in changes.items():
             folder = f"data/{table}/{state['version'] + 1:08d}-{uuid.uuid4().hex}"
-            df.to(self.spark.createDataFrame([], TABLES[table]).schema).write.parquet(f"{self.root}/{folder}")
+            df.to(self.spark.createDataFrame([], TABLES[table]).schema).sortWithinPartitions(*LAYOUT[table]).write.parquet(f"{self.root}/{folder}")
             tables[table] = [*tables.get(table, []), folder] if how == "append" else [folder]
         new = {"version": state["version"] + 1, "tables": tables, "batches": state["batches"] | {source: batch}}
         where, fs = self._path(f"commits/{new['version']:08d}.json")
