@@ -7,9 +7,10 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from stationlens.llm import components as cc
 from stationlens.llm.common import Scratch
 from stationlens.llm.components import components
-from stationlens.llm.jaccard import Bands, _fold, bitmap, bitmap_width, jaccard_components, one_of_each, overlap, part_keys
+from stationlens.llm.jaccard import LEAST_KEYS, Bands, _fold, bitmap, bitmap_width, first_met, jaccard_components, one_of_each, overlap, part_keys
 from tests.llm.helpers import none, odd, odd_rows
 
 
@@ -97,3 +98,59 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {x: c for x, c in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_components_go_on_to_the_fixed_point(spark, monkeypatch):
+    path = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert {r.component for r in components(path, Scratch(spark)).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(path, Scratch(spark), rounds=2)
+    # hubs, by broadcast
+    monkeypatch.setattr(cc, "HUB_ROWS", 3)
+    stars = spark.createDataFrame([(100 * h, 100 * h + k) for h in range(5) for k in range(1, 20)] + [(5, 105), (999, 999)], "a long, b long")
+    got = {r.node: r.component for r in components(stars, Scratch(spark)).collect()}
+    assert got == {100 * h + k: 0 if h < 2 else 100 * h for h in range(5) for k in range(20)}
+    assert components(stars.limit(0), Scratch(spark)).count() == 0
+
+
+@pytest.mark.parametrize("n", [30, 300, 3000])
+def test_disjoint_sets_share_no_tile(n):
+    rng = np.random.default_rng(n)
+    for docs in (100, 200):
+        own = [np.unique(rng.integers(0, 2**63, n + int(rng.integers(0, n // 3))).astype(np.uint64)) for _ in range(docs)]
+        _, keys = part_keys(np.concatenate(own), np.array(list(map(len, own))), Bands(80, 100))
+        assert len(np.unique(keys)) == len(keys)
+
+
+def test_a_pair_is_looked_at_in_one_of_its_tiles():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = (np.sort(rng.choice(60, int(rng.integers(1, 30)), replace=False)) for _ in range(2))
+        common = np.intersect1d(a, b)
+        rows = np.full((2, LEAST_KEYS), np.iinfo(np.int64).max)
+        for row, own in zip(rows, (a, b), strict=True):
+            row[: min(len(own), LEAST_KEYS)] = own[:LEAST_KEYS]
+        looked = [k for k in common if first_met(k, rows[:1], rows[1:])[0]]
+        assert (looked == [common[0]] if len(np.intersect1d(rows[0], rows[1][rows[1] < 60])) else looked == list(common)) if len(common) else not looked
+
+
+def test_large_groups_of_copies(spark, monkeypatch):
+    from stationlens.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "LARGE_ROWS", 2)
+    rows = [(i, "one text that many have in common") for i in range(9)] + [(20, "another text of its own here"), (21, "another text of its own here"), (22, None), (23, "")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == classes(rows, 3, 90, 100) and len(got) == len(rows)
+
+
+def test_near_copies_of_one_text_across_classes(spark):
+    """A group of near copies that are mostly not alike enough, as long chains and many classes."""
+    rng = random.Random(9)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(120), rng.randint(0, 8)):
+            words[k] = f"x{rng.randint(0, 9)}"
+        rows.append((i, " ".join(words)))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == classes(rows, 5, 80, 100)
