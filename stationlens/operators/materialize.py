@@ -16,7 +16,7 @@ from stationlens.sources.store import Store
 from stationlens.sources.streams import bad_lines, json_lines
 
 KINDS = {"alert": (ALERT, "alert_json", alert_errors), "current": (CURRENT_STATE, "current_state_json", required_state_errors)}
-#: The order of arrival: a place in files or topics. Stored rows have none and come first.
+#: The order of arrival: a place in files or topics, from 0 on; stored rows come before all.
 _ARRIVAL = "struct<name: string, block: bigint, row: bigint>"
 
 
@@ -68,7 +68,8 @@ def station_rows(parsed: DataFrame) -> DataFrame:
 
 
 def _stored_first(stored: DataFrame, columns: list[str]) -> DataFrame:
-    return stored.withColumn("arrival", F.lit(None).cast(_ARRIVAL)).select(*columns)
+    place = F.struct(F.lit("").alias("name"), F.lit(-1).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("row"))
+    return stored.withColumn("arrival", place).select(*columns)
 
 
 def merge_alerts(stored_events: DataFrame, stored_state: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +87,7 @@ def merge_stations(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, D
     """(the states that were accepted on their way, the current state of each station): a state must be newer than the one before."""
     both = incoming.unionByName(_stored_first(stored, incoming.columns))
     accepted = accepted_in_order(both, "station_id", "event_time", "arrival", strict=True)
-    return accepted.filter("arrival IS NOT NULL"), latest_by(accepted, "station_id", F.desc("arrival")).select(*stored.columns)
+    return accepted.filter("arrival.block >= 0"), latest_by(accepted, "station_id", F.desc("arrival")).select(*stored.columns)
 
 
 def apply(store: Store, source: str, batch: int, alerts: DataFrame | None = None, states: DataFrame | None = None, strict: bool = True) -> dict[str, int]:
