@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -244,17 +246,21 @@ def train(names: list[str], bags: list[list[np.ndarray]], labels: list[int], sha
     if len(y) == 0 or y.min() == y.max():
         return Model(prior=float(share))
     rng = np.random.default_rng(seed)
-    met: dict[str, int] = {}
-    lists = [[met.setdefault(g, len(met)) for g in grams(w)] for w in names]
-    all_flat, sizes = _csr(lists)
+    # n-grams by their hashes, as there are many more than are kept in the end
+    hashed, sizes = array("Q"), np.zeros(len(names), np.int64)
+    for k, w in enumerate(names):
+        own = grams(w)
+        sizes[k] = len(own)
+        hashed.extend(map(xxhash.xxh3_64_intdigest, own))
+    gram_hashes, all_flat = np.unique(np.frombuffer(hashed, np.uint64) if hashed else np.empty(0, np.uint64), return_inverse=True)
     all_start = np.concatenate([[0], np.cumsum(sizes)])
-    del lists
+    many_grams = len(gram_hashes)
     doc_words = [np.unique(np.concatenate(bag)) for bag in bags]
     doc_grams = lambda i: np.unique(_take(all_flat, all_start, doc_words[i])[0])
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
     # document counts by fold and label, so that a fold's own can be left out
     fold = rng.permutation(len(y)) % FOLDS
-    cw, cg = np.zeros((FOLDS, 2, len(names)), np.int32), np.zeros((FOLDS, 2, len(met)), np.int32)
+    cw, cg = np.zeros((FOLDS, 2, len(names)), np.int32), np.zeros((FOLDS, 2, many_grams), np.int32)
     docs_in = np.zeros((FOLDS, 2), np.int64)
     for i in range(len(y)):
         cw[fold[i], y[i], doc_words[i]] += 1
@@ -262,9 +268,9 @@ def train(names: list[str], bags: list[list[np.ndarray]], labels: list[int], sha
         docs_in[fold[i], y[i]] += 1
     tw, tg = cw.sum(axis=0), cg.sum(axis=0)
     word_pick, gram_pick = _select(tw[0], tw[1], n0, n1, MAX_WORDS), _select(tg[0], tg[1], n0, n1, MAX_GRAMS)
-    gram_names = list(met)
-    words, gram_ids = {names[j]: k + 1 for k, j in enumerate(word_pick)}, {gram_names[j]: k + 1 for k, j in enumerate(gram_pick)}
-    del met, gram_names
+    words, place = {names[j]: k + 1 for k, j in enumerate(word_pick)}, {int(gram_hashes[j]): k + 1 for k, j in enumerate(gram_pick)}
+    gram_ids = {g: k for w in names for g in grams(w) if (k := place.get(xxhash.xxh3_64_intdigest(g)))}
+    del gram_hashes, hashed, place
     pad = lambda x, pick: np.concatenate([np.zeros((*x.shape[:-1], 1), x.dtype), x[..., pick]], axis=-1).astype(float)
     cw, cg, tw, tg = pad(cw, word_pick), pad(cg, gram_pick), pad(tw, word_pick), pad(tg, gram_pick)
     model = Model(words, gram_ids, _odds(tw[0], tw[1], n0, n1), _odds(tg[0], tg[1], n0, n1))
@@ -272,7 +278,7 @@ def train(names: list[str], bags: list[list[np.ndarray]], labels: list[int], sha
     for k in range(FOLDS):
         m0, m1 = n0 - docs_in[k, 0], n1 - docs_in[k, 1]
         odds.append((_odds(tw[0] - cw[k, 0], tw[1] - cw[k, 1], m0, m1), _odds(tg[0] - cg[k, 0], tg[1] - cg[k, 1], m0, m1)))
-    word_id, gram_id = np.zeros(len(names), np.int64), np.zeros(int(all_flat.max(initial=0)) + 1, np.int64)
+    word_id, gram_id = np.zeros(len(names), np.int64), np.zeros(max(1, many_grams), np.int64)
     word_id[word_pick], gram_id[gram_pick] = np.arange(1, len(word_pick) + 1), np.arange(1, len(gram_pick) + 1)
     known = gram_id[all_flat] > 0
     flat_known = gram_id[all_flat][known]
@@ -281,7 +287,7 @@ def train(names: list[str], bags: list[list[np.ndarray]], labels: list[int], sha
 
     P = gru_start(rng, WORD_DIM + GRAM_DIM + 3)
     P["Ew"] = rng.normal(0, 0.1, (len(words) + 1, WORD_DIM)).astype(np.float32)
-    P["Ec"] = rng.normal(0, 0.1, (len(gram_ids) + 1, GRAM_DIM)).astype(np.float32)
+    P["Ec"] = rng.normal(0, 0.1, (len(gram_pick) + 1, GRAM_DIM)).astype(np.float32)
     P["Ew"][0] = 0
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in P.items()}
     held = rng.random(len(y)) < 0.2  # for the last layer
@@ -293,7 +299,7 @@ def train(names: list[str], bags: list[list[np.ndarray]], labels: list[int], sha
         """Features of the distinct words (by fold) of some windows, and the windows as indexes into them."""
         own = [bags[i][k] for i, k in of]
         lens = np.fromiter(map(len, own), np.int64, len(own))
-        keys, where = np.unique(np.concatenate(own) * FOLDS + np.repeat(fold[[i for i, _ in of]], lens), return_inverse=True)
+        keys, where = np.unique(np.concatenate(own).astype(np.int64) * FOLDS + np.repeat(fold[[i for i, _ in of]], lens), return_inverse=True)
         name, of_fold = keys // FOLDS, keys % FOLDS
         wid = word_id[name]
         flat, sizes = _take(flat_known, start_known, name)
@@ -472,6 +478,7 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
 
 
 def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own_caches("toxicity", _SCORERS.clear)
     for batch in batches:
         bags = []
         for text in batch.column(1).to_pylist():
@@ -499,7 +506,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         own_caches("toxicity", _SCORERS.clear)
         table = table.sort_by([("doc_id", "ascending")])
         ids: dict[str, int] = {}
-        bags = [[np.array([ids.setdefault(w, len(ids)) for w in win.as_py().split(" ")], np.int64) for win in bag] for bag in table["bag"]]
+        bags = [[np.array([ids.setdefault(w, len(ids)) for w in win.as_py().split(" ")], np.int32) for win in bag] for bag in table["bag"]]
         return train(list(ids), bags, table["toxic"].to_pylist(), share)
 
     return in_one_task(rows, learn)
