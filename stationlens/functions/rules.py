@@ -105,7 +105,7 @@ def priority(risk_: Column, duration: Column, found: Column, p95_pickups: Column
     demand = F.when(found & about_bikes, F.coalesce(p95_pickups.cast("double"), F.lit(0.0))).when(found & about_docks, F.coalesce(p95_dropoffs.cast("double"), F.lit(0.0))).otherwise(0.0)
     demand_score = F.least(F.lit(100.0), 100.0 * demand / cfg.high_demand_p95_reference)
     trend_score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), trend))
-    parts = dict(zip(COMPONENTS, (F.round(x, 2) for x in (of_risk(risk_, 3), persistence, demand_score, trend_score, of_risk(risk_, 4))), strict=True))
+    parts = dict(zip(COMPONENTS, (F.round(x.cast("double").cast("decimal(20,10)"), 2).cast("double") for x in (of_risk(risk_, 3), persistence, demand_score, trend_score, of_risk(risk_, 4))), strict=True))
     busy, rapid = found & (demand_score >= 80.0), trend_score >= cfg.rapid_trend_threshold
     reasons = F.array_compact(
         F.array(

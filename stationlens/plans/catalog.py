@@ -259,7 +259,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEVERITY = "CASE risk WHEN 'EMPTY' THEN 100.0 WHEN 'FULL' THEN 100.0 WHEN 'OFFLINE' THEN 90.0 WHEN 'STALE' THEN 80.0 WHEN 'DATA_QUALITY' THEN 50.0 ELSE 60.0 END"
-_SCORED_SQL = f"""{EPISODES}, parts AS (SELECT *, CAST({_SEVERITY} AS DOUBLE) AS c1, round(least(100.0, 60.0 + 40.0 * greatest(0.0, floor(epoch(opened_at)) - floor(epoch(started_at)) - 43200.0) / 43200.0), 2) AS c2,
+_SCORED_SQL = f"""{EPISODES}, parts AS (SELECT *, CAST({_SEVERITY} AS DOUBLE) AS c1, CAST(round(CAST(least(100.0, 60.0 + 40.0 * greatest(0.0, floor(epoch(opened_at)) - floor(epoch(started_at)) - 43200.0) / 43200.0) AS DECIMAL(20, 10)), 2) AS DOUBLE) AS c2,
 round(CASE WHEN risk IN ('EMPTY', 'LOW_BIKES', 'FULL', 'LOW_DOCKS') THEN least(100.0, 100.0 * (observations % 7) / 5.0) ELSE 0.0 END, 2) AS c3, round(least(100.0, greatest(0.0, trend)), 2) AS c4, CASE WHEN risk IN ('EMPTY', 'FULL', 'OFFLINE') THEN 100.0 ELSE 60.0 END AS c5 FROM episodes WHERE opened_at IS NOT NULL),
 scored AS (SELECT *, CASE WHEN risk IN ('EMPTY', 'FULL', 'OFFLINE') THEN 'CRITICAL' ELSE 'WARNING' END AS severity, CASE WHEN risk IN ('EMPTY', 'LOW_BIKES') THEN 'DELIVER_BIKES' WHEN risk IN ('FULL', 'LOW_DOCKS') THEN 'REMOVE_BIKES' ELSE 'INSPECT_STATION' END AS recommended_action,
 0.4 * CAST(c1 AS DECIMAL(7, 2)) + 0.2 * CAST(c2 AS DECIMAL(7, 2)) + 0.2 * CAST(c3 AS DECIMAL(7, 2)) + 0.1 * CAST(c4 AS DECIMAL(7, 2)) + 0.1 * CAST(c5 AS DECIMAL(7, 2)) AS raw_score FROM parts)"""
