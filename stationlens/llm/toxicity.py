@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stationlens.llm.common import in_one_task, own_caches, prepare
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1600, 2400
 WINDOW, STRIDE = 64, 48
 #: Entries of the vocabularies, at most; rarer ones (documents) are unknown.
 MAX_WORDS, MAX_GRAMS, LEAST_DOCS = 30_000, 30_000, 3
@@ -252,7 +252,9 @@ def train(names: list[str], bags: list[list[np.ndarray]], labels: list[int], sha
         own = grams(w)
         sizes[k] = len(own)
         hashed.extend(map(xxhash.xxh3_64_intdigest, own))
-    gram_hashes, all_flat = np.unique(np.frombuffer(hashed, np.uint64) if hashed else np.empty(0, np.uint64), return_inverse=True)
+    gram_hashes = np.unique(np.frombuffer(hashed, np.uint64) if hashed else np.empty(0, np.uint64))
+    all_flat = np.searchsorted(gram_hashes, np.frombuffer(hashed, np.uint64)).astype(np.int32) if hashed else np.empty(0, np.int32)
+    del hashed
     all_start = np.concatenate([[0], np.cumsum(sizes)])
     many_grams = len(gram_hashes)
     doc_words = [np.unique(np.concatenate(bag)) for bag in bags]
@@ -270,7 +272,7 @@ def train(names: list[str], bags: list[list[np.ndarray]], labels: list[int], sha
     word_pick, gram_pick = _select(tw[0], tw[1], n0, n1, MAX_WORDS), _select(tg[0], tg[1], n0, n1, MAX_GRAMS)
     words, place = {names[j]: k + 1 for k, j in enumerate(word_pick)}, {int(gram_hashes[j]): k + 1 for k, j in enumerate(gram_pick)}
     gram_ids = {g: k for w in names for g in grams(w) if (k := place.get(xxhash.xxh3_64_intdigest(g)))}
-    del gram_hashes, hashed, place
+    del gram_hashes, place
     pad = lambda x, pick: np.concatenate([np.zeros((*x.shape[:-1], 1), x.dtype), x[..., pick]], axis=-1).astype(float)
     cw, cg, tw, tg = pad(cw, word_pick), pad(cg, gram_pick), pad(tw, word_pick), pad(tg, gram_pick)
     model = Model(words, gram_ids, _odds(tw[0], tw[1], n0, n1), _odds(tg[0], tg[1], n0, n1))
