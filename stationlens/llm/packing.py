@@ -262,10 +262,16 @@ def _placed(pieces: DataFrame, capacity: int, scratch: Scratch) -> list[DataFram
         waiting, sizes = of_class, {n: c for n, c in lengths.items() if low < n <= high}
         for round_ in range(ROUNDS):
             name = f"{at}-{round_}"
-            slots = gaps.filter(F.col("room") > low).withColumn("slots", F.greatest(F.lit(1), F.floor(F.col("room") / high)).cast("int")).select("gap", "room", F.explode(F.sequence(F.lit(1), F.col("slots"))).alias("slot"), F.least("room", F.lit(high)).alias("size"))
+            free = gaps.filter(F.col("room") > low)
+            rooms = {r["room"]: r["n"] for r in free.groupBy("room").agg(F.count("*").alias("n")).collect()}
+            # no gap bids for more pieces than twice the mean, as all bids need not be more than twice the pieces
+            most = max(1, -(-2 * sum(sizes.values()) // max(1, sum(rooms.values()))))
+            bids = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("room") / high))).cast("int")
+            slots = free.select("gap", "room", F.explode(F.sequence(F.lit(1), bids)).alias("slot"), F.least("room", F.lit(high)).alias("size"))
             counts = dict(sizes)
-            for r in slots.groupBy("size").agg(F.count("*").alias("n")).collect():
-                counts[r["size"]] = counts.get(r["size"], 0) + r["n"]
+            for room, n in rooms.items():
+                size = min(room, high)
+                counts[size] = counts.get(size, 0) + n * min(most, max(1, room // high))
             total = sum(counts.values())
             first, many = ranges(counts, low, high, max(1, -(-total // max(shuffle_partitions(spark), -(-total // RANGE_ROWS)))))
             items = waiting.select(F.col("length").alias("size"), F.lit(True).alias("is_piece"), F.col("pid").alias("id"), F.lit(0).cast("long").alias("room"), F.lit(0).alias("slot"))
@@ -277,8 +283,8 @@ def _placed(pieces: DataFrame, capacity: int, scratch: Scratch) -> list[DataFram
             left: dict[int, list[int]] = {}
             for r in swept.filter(F.col("kind") != TAKEN).groupBy("part", "kind").agg(F.count("*").alias("n")).collect():
                 left.setdefault(r["part"], [0, 0])[0 if r["kind"] == LEFT_OVER else 1] = r["n"]
-            over, free = meet({k: tuple(v) for k, v in left.items()})
-            rest = swept.filter(F.col("kind") != TAKEN).mapInArrow(_numbered(over, free), f"{_SWEPT}, number long, rank long")
+            over, under = meet({k: tuple(v) for k, v in left.items()})
+            rest = swept.filter(F.col("kind") != TAKEN).mapInArrow(_numbered(over, under), f"{_SWEPT}, number long, rank long")
             far = rest.filter(F.col("kind") == LEFT_OVER).select("number", "pid", "length").join(rest.filter(F.col("kind") == GAP_LEFT).select("number", "gap", "room"), "number")
             taken = swept.filter(F.col("kind") == TAKEN).select("gap", "room", "pid", "length").unionByName(far.select("gap", "room", "pid", "length"))
             put = [_put(taken.withColumn("used", F.lit(capacity) - F.col("room")), "pid")]
