@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationlens.llm.common import Scratch, own_caches, prepare, shuffle_partitions
@@ -36,7 +36,9 @@ LONG_RUN_CHARS = 4096
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-LEFT_OVER, GAP_LEFT, TAKEN = 1, 2, 0
+TAKEN, LEFT_OVER, GAP_LEFT, OF_RANGE = 0, 1, 2, 3
+PLACE, GAP = 0, 1
+_STEP = "kind int, pid long, gap long, offset long, length long"
 _SWEPT = "kind int, part long, turn long, pid long, length long, gap long, room long"
 
 
@@ -147,7 +149,8 @@ def ranges(counts: dict[int, int], low: int, high: int, rows: int) -> tuple[list
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, size, is_piece, id, room) by range, longest first, gaps before pieces of their size -> what was taken, and what is left."""
+    """Rows (part, size, is_piece, id, room) by range, longest first, gaps before pieces of their size -> what was taken, what is
+    left, and of each range how many pieces (turn) and gaps (length) that are."""
     names, part = [f.split()[0] for f in _SWEPT.split(", ")], None
     stack: list[tuple[int, int]] = []
     out: list[tuple] = []
@@ -158,7 +161,8 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(columns)], names)
 
     def close() -> list[tuple]:
-        return [(GAP_LEFT, part, k, None, None, gap, room) for k, (gap, room) in enumerate(stack)]
+        held = [(GAP_LEFT, part, k, None, None, gap, room) for k, (gap, room) in enumerate(stack)]
+        return [*held, (OF_RANGE, part, turn, None, len(stack), None, None)] if part is not None else []
 
     for rows in batches:
         for p, size, is_piece, ident, room in zip(*(c.to_pylist() for c in rows.columns), strict=True):
@@ -238,28 +242,73 @@ def _at(values: list[int], place: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), place.cast("int"))
 
 
-def _put(pieces: DataFrame, order: str) -> DataFrame:
-    """(gap, pid, length, used) -> (pid, gap, offset, length): the pieces of a gap one after the other."""
-    before = Window.partitionBy("gap").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.select("pid", "gap", (F.col("used") + F.coalesce(F.sum("length").over(before), F.lit(0))).alias("offset"), "length")
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "int" else pa.int64()) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+
+_PAIR = "gap long, pid long, length long"
+
+
+def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (number, kind, pid, length, gap) in order: under each number the piece, then the gap that it meets."""
+    piece = None
+    for batch in batches:
+        out = []
+        for _, kind, pid, length, gap in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind == LEFT_OVER:
+                piece = pid, length
+            else:
+                out.append((gap, *piece))
+        yield _batch(out, _PAIR)
+
+
+def _fill(capacity: int):
+    """Rows (group, gap, room, pid, length) by group, its gap first if it has one -> the places of its pieces, and the gap that remains.
+
+    A group without a gap opens a sequence, which is named by its first piece.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = gap = None
+        room = 0
+        for batch in batches:
+            out = []
+            for g, own, free, pid, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    if group is not None and room:
+                        out.append((GAP, None, gap, None, room))
+                    group, gap, room = g, (pid if own is None else own), (capacity if free is None else free)
+                if pid is not None:
+                    out.append((PLACE, pid, gap, capacity - room, length))
+                    room -= length
+            yield _batch(out, _STEP)
+        yield _batch([(GAP, None, gap, None, room)] if group is not None and room else [], _STEP)
+
+    return run
+
+
+def _lengths(pieces: DataFrame) -> dict[int, int]:
+    return {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
 
 
 def _placed(pieces: DataFrame, capacity: int, scratch: Scratch) -> list[DataFrame]:
     """Tables (pid, gap, offset, length) of all pieces' places; a sequence is named by the first piece in it."""
-    spark, none = pieces.sparkSession, "pid long, gap long, offset long, length long"
-    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    done: list[DataFrame] = []
+    spark = pieces.sparkSession
+    none = lambda c: F.lit(None).cast("long").alias(c)
+    lengths, done = _lengths(pieces), []
     gaps, before = spark.createDataFrame([], "gap long, room long"), ""
     for at, (low, high) in enumerate(classes(capacity)):
-        if not any(low < n <= high for n in lengths):
+        sizes = {n: c for n, c in lengths.items() if low < n <= high}
+        if not sizes:
             continue
-        of_class = pieces.filter((F.col("length") > low) & (F.col("length") <= high)).select("pid", "length")
+        waiting = pieces.filter((F.col("length") > low) & (F.col("length") <= high)).select("pid", "length")
         if capacity // high == 1 and low >= capacity // 2:  # no two of them fit together
-            done.append(of_class.select("pid", F.col("pid").alias("gap"), F.lit(0).cast("long").alias("offset"), "length"))
-            gaps = scratch.keep(of_class.select(F.col("pid").alias("gap"), (F.lit(capacity) - F.col("length")).alias("room")).filter("room > 0"), f"gaps-{at}")
+            done.append(waiting.select("pid", F.col("pid").alias("gap"), F.lit(0).cast("long").alias("offset"), "length"))
+            gaps = scratch.keep(waiting.select(F.col("pid").alias("gap"), (F.lit(capacity) - F.col("length")).alias("room")).filter("room > 0"), f"gaps-{at}")
             before = f"gaps-{at}"
             continue
-        waiting, sizes = of_class, {n: c for n, c in lengths.items() if low < n <= high}
         for round_ in range(ROUNDS):
             name = f"{at}-{round_}"
             free = gaps.filter(F.col("room") > low)
@@ -280,33 +329,30 @@ def _placed(pieces: DataFrame, capacity: int, scratch: Scratch) -> list[DataFram
             part = (_at(first, place) + F.pmod(F.xxhash64("id", "slot"), _at(many, place))).cast("long")
             items = items.withColumn("part", part).repartition("part").sortWithinPartitions("part", F.desc("size"), "is_piece", F.desc("room"), "id")
             swept = scratch.keep(items.select("part", "size", "is_piece", "id", "room").mapInArrow(_sweep, _SWEPT), f"swept-{name}")
-            left: dict[int, list[int]] = {}
-            for r in swept.filter(F.col("kind") != TAKEN).groupBy("part", "kind").agg(F.count("*").alias("n")).collect():
-                left.setdefault(r["part"], [0, 0])[0 if r["kind"] == LEFT_OVER else 1] = r["n"]
-            over, under = meet({k: tuple(v) for k, v in left.items()})
-            rest = swept.filter(F.col("kind") != TAKEN).mapInArrow(_numbered(over, under), f"{_SWEPT}, number long, rank long")
-            far = rest.filter(F.col("kind") == LEFT_OVER).select("number", "pid", "length").join(rest.filter(F.col("kind") == GAP_LEFT).select("number", "gap", "room"), "number")
-            taken = swept.filter(F.col("kind") == TAKEN).select("gap", "room", "pid", "length").unionByName(far.select("gap", "room", "pid", "length"))
-            put = [_put(taken.withColumn("used", F.lit(capacity) - F.col("room")), "pid")]
+            over, under = meet({r["part"]: (r["turn"], r["length"]) for r in swept.filter(F.col("kind") == OF_RANGE).collect()})
+            rest = swept.filter(F.col("kind").isin(LEFT_OVER, GAP_LEFT)).mapInArrow(_numbered(over, under), f"{_SWEPT}, number long, rank long")
+            far = rest.filter("number IS NOT NULL").select("number", "kind", "pid", "length", "gap").repartition("number").sortWithinPartitions("number", "kind").mapInArrow(_pair, _PAIR)
+            taken = swept.filter(F.col("kind") == TAKEN).select("gap", "pid", "length").unionByName(far)
+            rows = gaps.select(F.col("gap").alias("group"), "gap", "room", none("pid"), none("length"))
+            rows = rows.unionByName(taken.select(F.col("gap").alias("group"), "gap", none("room"), "pid", "length"))
+            step = rows.repartition("group").sortWithinPartitions("group", F.col("pid").asc_nulls_first()).mapInArrow(_fill(capacity), _STEP)
             unmet = any(n < 0 for _, _, n in over)
             lonely = rest.filter("rank IS NOT NULL").select("pid", "length", "rank")
             if unmet and round_ == ROUNDS - 1:  # the rest opens sequences, each for as many as fit for certain
-                own = lonely.withColumn("g", F.floor(F.col("rank") / (capacity // high)))
-                head = own.withColumn("gap", F.first("pid").over(Window.partitionBy("g").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-                put.append(_put(head.withColumn("used", F.lit(0).cast("long")), "rank"))
-            new = scratch.keep(reduce(DataFrame.unionByName, put), f"placed-{name}")
-            done.append(new)
-            opened = new.filter("offset = 0").select("gap", F.lit(capacity).cast("long").alias("room"))
-            changed = reduce(DataFrame.unionByName, (gaps, opened, new.select("gap", (-F.col("length")).alias("room"))))
-            gaps = scratch.keep(changed.groupBy("gap").agg(F.sum("room").alias("room")).filter("room > 0"), f"gaps-{name}")
-            if unmet and round_ < ROUNDS - 1:
-                waiting = scratch.keep(lonely.select("pid", "length"), f"waiting-{name}")
-                sizes = {r["length"]: r["n"] for r in waiting.groupBy("length").agg(F.count("*").alias("n")).collect()}
-            scratch.drop(f"swept-{name}", before)
-            before = f"gaps-{name}"
+                own = lonely.select(F.floor(F.col("rank") / (capacity // high)).alias("group"), none("gap"), none("room"), "pid", "length", "rank")
+                step = step.unionByName(own.repartition("group").sortWithinPartitions("group", "rank").drop("rank").mapInArrow(_fill(capacity), _STEP))
+            kept = scratch.keep(step, f"step-{name}")
+            done.append(kept.filter(F.col("kind") == PLACE).drop("kind"))
+            gaps = kept.filter(F.col("kind") == GAP).select("gap", F.col("length").alias("room"))
             if not unmet:
+                scratch.drop(f"swept-{name}", before)
                 break
-    return done or [spark.createDataFrame([], none)]
+            if round_ < ROUNDS - 1:
+                waiting = scratch.keep(lonely.select("pid", "length"), f"waiting-{name}")
+                sizes = _lengths(waiting)
+            scratch.drop(f"swept-{name}", before)
+            before = ""
+    return done or [spark.createDataFrame([], "pid long, gap long, offset long, length long")]
 
 
 def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
