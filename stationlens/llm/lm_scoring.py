@@ -30,7 +30,7 @@ CACHE_ENTRIES = 200_000
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Characters of a chunk, about, and keys that chunks ask of a range of the key space, about.
-CHUNK_CHARS, RANGE_KEYS = 2_000_000, 1_000_000
+CHUNK_CHARS, RANGE_KEYS = 4_000_000, 1_000_000
 
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&@^~`+-=_/\\¿¡«»“”‘’…–—"
 SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
@@ -38,8 +38,9 @@ _ASKED = "range long, chunk long, payload binary"
 _ANSWERED = "chunk long, range long, words long, t long, b long, payload binary"
 _CHUNK = "chunk long, kind int, range long, doc_id long, side int, text string, payload binary"
 
-#: What a key is of, in its two lowest bits.
+#: What a key is of, in its two lowest bits; the others are a hash. Fewer bits make smaller differences of sorted keys.
 PAIR, WORD, HISTORY = 0, 1, 2
+KEY_BITS = 56
 _SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -63,7 +64,7 @@ def number(text: str | None) -> np.ndarray:
 
 def keys(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word that follows another: the keys of the pair, the word and its history."""
-    own = lambda x, kind: (mix(x + _SEEDS[kind]) & ~np.uint64(3)) | np.uint64(kind)
+    own = lambda x, kind: (mix(x + _SEEDS[kind]) >> np.uint64(66 - KEY_BITS) << np.uint64(2)) | np.uint64(kind)
     return own(mix(before) * _SEEDS[1] + word, PAIR), own(word, WORD), own(before, HISTORY)
 
 
@@ -125,7 +126,7 @@ class Chunk:
 
     def asked(self, shift: int) -> Iterator[tuple[int, bytes]]:
         """(range, payload) of the keys in each range of the key space."""
-        part = (self.keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(self.keys), np.int64)
+        part = (self.keys >> np.uint64(shift)).astype(np.int64)
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for a, e in zip(starts, [*starts[1:], len(part)], strict=False):
             own = self.keys[a:e]
@@ -262,7 +263,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     sided = _sides(docs, scratch.keep(target_ids.select("doc_id").distinct(), "target"))
     chars = sided.agg(F.sum(F.length("text"))).first()[0] or 0
     many = max(shuffle_partitions(spark), -(-chars // CHUNK_CHARS))
-    shift = 64 - max(0, (chars // 5 // RANGE_KEYS).bit_length())
+    shift = KEY_BITS - (chars // 5 // RANGE_KEYS).bit_length()
     dealt = sided.withColumn("chunk", _chunk_of(many))
     texts = dealt.select("chunk", "doc_id", "side", "text").repartition(many, "chunk")
     asked = texts.sortWithinPartitions("chunk").mapInArrow(_ask(shift), _ASKED)
