@@ -20,7 +20,9 @@ from stationlens.plans.catalog import _ARRIVALS_SQL, _LATEST_SQL, _LIFE, _REQUES
 from stationlens.plans.standin import CONFIG, EPISODES, OBSERVATIONS, RAW_TRIPS, SOURCE, load, observations, raw_trips
 from stationlens.session import work_dir
 from stationlens.sources.store import Store
-from stationlens.sources.streams import topic_spans
+from stationlens.sources.streams import file_records, topic_spans
+from stationlens.sources.trips import TRIP_COLUMNS, read_trips, write_tables
+from stationlens.streaming import jobs
 
 # ---------------------------------------------------------------- feeds
 
@@ -130,6 +132,57 @@ def topic_offsets(spark, sf_dir):
     return topic_spans(_records(spark, sf_dir))
 
 
+_LEGACY = {"started_at": "Start Time", "ended_at": "Stop Time", "start_station_id": "Start Station ID", "start_station_name": "Start Station Name", "end_station_id": "End Station ID", "end_station_name": "End Station Name", "start_lat": "Start Station Latitude"}
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(spark)}/{name}/{uuid.uuid4().hex}"
+
+
+@query(
+    f"""WITH {RAW_TRIPS} SELECT CASE WHEN _source_file = 'f2.csv' THEN 'legacy_aliases' ELSE 'modern' END AS variant, CASE WHEN _source_file <> 'f2.csv' THEN ride0 END AS ride_id, started_at, ended_at, nullif(start_station_id, '') AS start_station_id, nullif(end_station_id, '') AS end_station_id, nullif(end_station_name, '') AS end_station_name FROM raw"""
+)
+def trip_files(spark, sf_dir):
+    """Trips written as CSV files with two kinds of header and read back as one table."""
+    raw, path = raw_trips(spark, sf_dir), _folder(spark, "trip-files")
+    raw.filter("_source_file <> 'f2.csv'").select(*list(TRIP_COLUMNS), F.lit("x").alias("more")).write.option("header", True).csv(f"{path}/modern")
+    raw.filter("_source_file = 'f2.csv'").select(*(F.col(c).alias(h) for c, h in _LEGACY.items())).write.option("header", True).csv(f"{path}/legacy")
+    return read_trips(spark, path).select(F.col("_source_schema_variant").alias("variant"), F.trim("ride_id").alias("ride_id"), "started_at", "ended_at", "start_station_id", "end_station_id", "end_station_name")
+
+
+@query(f"WITH {RAW_TRIPS} SELECT station_id, local_date, local_hour, pickup_count, dropoff_count FROM hourly WHERE iso_weekday = 3 AND pickup_count > 0")
+def trip_tables(spark, sf_dir):
+    """The tables of a batch written by partitions and the hourly one read back: the weekday prunes folders."""
+    path = _folder(spark, "trip-tables")
+    write_tables(tr.trip_pipeline(raw_trips(spark, sf_dir)), path)
+    return spark.read.parquet(f"{path}/hourly").filter("iso_weekday = 3 AND pickup_count > 0").select("station_id", "local_date", "local_hour", "pickup_count", "dropoff_count")
+
+
+@query(f"WITH {OBSERVATIONS} SELECT station_id, date_trunc('millisecond', event_time) AS event_time, bikes, docks FROM obs QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY event_time DESC, event_id DESC) = 1")
+def job_snapshot(spark, sf_dir):
+    """Observation documents in files, through the station job into files, and the snapshot that is made of its states (to the millisecond)."""
+    o, path = observations(spark, sf_dir), _folder(spark, "station-job")
+    digest = F.sha2(_n().cast("string"), 256)
+    document = F.struct(
+        F.lit("1.0").alias("schema_version"), digest.alias("event_id"), F.lit("STATION_STATUS_OBSERVED").alias("event_type"), F.lit(SOURCE).alias("source_system"), F.struct("station_id", F.col("station_id").alias("short_name"), F.lit("MATCHED_BY_STATION_ID").alias("metadata_match_status")).alias("station"),
+        F.struct(F.col("bikes").alias("bikes_available"), F.lit(0).alias("bikes_disabled"), F.col("docks").alias("docks_available"), F.lit(0).alias("docks_disabled")).alias("availability"), F.struct(*(F.lit(True).alias(c) for c in ("is_installed", "is_renting", "is_returning"))).alias("service"),
+        F.struct(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("snapshot_updated_at_utc"), "source_age_seconds").alias("time"), F.struct(F.lit("2.3").alias("feed_version"), digest.alias("snapshot_sha256")).alias("source"),
+        F.struct(F.lit("VALID").alias("timestamp_status"), F.lit("EXACT").alias("capacity_consistency"), F.array().cast("array<string>").alias("issue_codes")).alias("quality"),
+    )
+    o.select(F.to_json(document).alias("value")).write.text(f"{path}/in")
+    stats = ", ".join(f"{s}_{d} double" for d in ("pickups", "dropoffs") for s in ("avg", "p50", "p95"))
+    baseline = spark.createDataFrame([], f"station_id string, iso_weekday int, local_hour int, calendar_days int, {stats}")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        jobs.finish(jobs.station_job(file_records(spark, f"{path}/in", files_per_trigger=100_000), baseline, jobs.file_sink(f"{path}/out", f"{path}/checkpoints")))
+    finally:
+        spark.conf.set(provider, before)
+    n = lambda f: F.get_json_object("current_state_json", f"$.availability.{f}").cast("bigint")
+    return plain(jobs.current_snapshot(spark, f"{path}/out").select("station_id", "event_time", n("bikes_available").alias("bikes"), n("docks_available").alias("docks")))
+
+
 # ---------------------------------------------------------------- contracts
 
 
