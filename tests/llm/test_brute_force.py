@@ -371,3 +371,14 @@ def test_alignment_of_a_long_passage_needs_little_memory():
     assert tracemalloc.get_traced_memory()[1] < 20e6
     tracemalloc.stop()
     assert score >= 4000 and matched >= 2000 and first <= 5000 and last >= 6999
+
+
+def test_the_last_layer_does_not_run_away():
+    rng = np.random.default_rng(5)
+    for gap in (0.5, 3.0, 40.0):
+        y = np.arange(80) % 8 == 0
+        top = np.where(y, gap, -gap) + rng.normal(0, 0.3, 80)
+        Z = np.stack([top, top - 0.1, top - 0.2], axis=1)
+        beta = toxicity._logistic(Z, y.astype(int), np.ones(80))
+        p = 1 / (1 + np.exp(-(Z @ beta[:3] + beta[3])))
+        assert np.abs(beta).max() < 50 and p[y].min() > p[~y].max() and p[y].mean() > 0.5 > p[~y].mean()
